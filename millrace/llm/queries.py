@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 
 
+def _p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .nlcode import languages_in_code
+
+    return languages_in_code(table(spark, d, "source_file"), table(spark, d, "documents"))
+
+
+def _p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    from .nlcode import language_shares
+
+    return language_shares(table(spark, d, "source_file"), table(spark, d, "documents"))
+
+
 def _p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .docpairs import described_functions
 
@@ -34,6 +46,8 @@ def _p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": _p2_found,
+    "p2_shares": _p2_shares,
     "p3_found": _p3_found,
     "p3_pairs": _p3_pairs,
     "p5_found": _p5_found,
