@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 
 
+def _p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from .secrets import secrets_found
+
+    return secrets_found(table(spark, d, "source_file"), table(spark, d, "batch_job"))
+
+
+def _p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from .secrets import redacted_files
+
+    return redacted_files(table(spark, d, "source_file"))
+
+
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:
     from .nlcode import languages_in_code
 
@@ -46,6 +58,8 @@ def _p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": _p1_found,
+    "p1_redacted": _p1_redacted,
     "p2_found": _p2_found,
     "p2_shares": _p2_shares,
     "p3_found": _p3_found,
