@@ -45,6 +45,18 @@ def _p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return code_pairs(table(spark, d, "source_file"))
 
 
+def _p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from .handwritten import files_not_by_hand
+
+    return files_not_by_hand(table(spark, d, "source_file"), table(spark, d, "repo"))
+
+
+def _p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    from .handwritten import file_reasons
+
+    return file_reasons(table(spark, d, "source_file"), table(spark, d, "repo"))
+
+
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     from .parse_check import broken_files
 
@@ -64,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_shares": _p2_shares,
     "p3_found": _p3_found,
     "p3_pairs": _p3_pairs,
+    "p4_found": _p4_found,
+    "p4_reasons": _p4_reasons,
     "p5_found": _p5_found,
     "p5_rates": _p5_rates,
 }
