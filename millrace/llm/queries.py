@@ -69,6 +69,18 @@ def _p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return broken_rates(table(spark, d, "source_file"))
 
 
+def _p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from .leakage import leaks_exact
+
+    return leaks_exact(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def _p7_report(spark: SparkSession, d: str) -> DataFrame:
+    from .leakage import leak_report
+
+    return leak_report(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_redacted": _p1_redacted,
@@ -80,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_reasons": _p4_reasons,
     "p5_found": _p5_found,
     "p5_rates": _p5_rates,
+    "p7_found": _p7_found,
+    "p7_report": _p7_report,
 }
 
 #: none of these operators can be stated in SQL; tests compare them with brute force
