@@ -81,6 +81,24 @@ def _p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def _p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from .truncation import truncated
+
+    return truncated(table(spark, d, "documents"))
+
+
+def _p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    from .truncation import truncation_rates
+
+    return truncation_rates(table(spark, d, "documents"))
+
+
+def _p8_hazards(spark: SparkSession, d: str) -> DataFrame:
+    from .truncation import length_hazards
+
+    return length_hazards(table(spark, d, "documents")).where("significant").select("source", "unit", "length", "n", "at_risk")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_redacted": _p1_redacted,
@@ -94,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_rates": _p5_rates,
     "p7_found": _p7_found,
     "p7_report": _p7_report,
+    "p8_found": _p8_found,
+    "p8_rates": _p8_rates,
+    "p8_hazards": _p8_hazards,
 }
 
 #: none of these operators can be stated in SQL; tests compare them with brute force
