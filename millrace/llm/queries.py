@@ -69,6 +69,18 @@ def _p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return broken_rates(table(spark, d, "source_file"))
 
 
+def _p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, d, "documents"), table(spark, d, "pack_target"))
+
+
+def _p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    from .packing import fill
+
+    return fill(table(spark, d, "documents"), table(spark, d, "pack_target"))
+
+
 def _p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .leakage import leaks_exact
 
@@ -110,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_reasons": _p4_reasons,
     "p5_found": _p5_found,
     "p5_rates": _p5_rates,
+    "p6_packing": _p6_packing,
+    "p6_fill": _p6_fill,
     "p7_found": _p7_found,
     "p7_report": _p7_report,
     "p8_found": _p8_found,
