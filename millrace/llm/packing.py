@@ -255,10 +255,10 @@ def pack(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS)
     if any(c is None or c < 1 for _, c in wanted):
         raise ValueError("a capacity is below one token")
     spark = documents.sparkSession
-    caps = F.broadcast(spark.createDataFrame([(int(t), int(c)) for t, c in wanted], "target_id int, capacity int"))
-    # full containers cut from long texts, and the rest
+    caps = F.array(*[F.struct(F.lit(int(t)).alias("target_id"), F.lit(int(c)).alias("capacity")) for t, c in wanted])
+    # full containers cut from long texts, and the rest, for every capacity
     pieces = (
-        sized.join(caps)
+        sized.select("doc_id", "n_tokens", F.inline(caps))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr("(n_tokens - 1) div capacity").cast("int"))))
         .withColumn("token_start", (F.col("piece") * F.col("capacity")).cast("int"))
         .withColumn("length", F.least(F.col("capacity"), F.col("n_tokens") - F.col("token_start")).cast("int"))
