@@ -83,10 +83,9 @@ def scale_vector(arr, factors: list[float]) -> Column:
 
 
 def delta_delta(arr) -> Column:
-    """Second differences of an array; the first two values stay as first differences against zero."""
+    """Second differences of an array, values before its start being zero: ``x[i] - 2 x[i-1] + x[i-2]``."""
     a = _col(arr)
-    at = lambda i: F.coalesce(F.try_element_at(a, i), F.lit(0))
-    step = lambda i: F.when(i < 1, 0).otherwise(at(F.greatest(i, F.lit(1))))
+    at = lambda i: F.when(i < 1, 0).otherwise(F.try_element_at(a, F.greatest(i, F.lit(1))))
     return F.when(F.size(a) == 0, a).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), lambda i: step(i) - 2 * step(i - 1) + step(i - 2))
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), lambda i: at(i) - 2 * at(i - 1) + at(i - 2))
     )

@@ -111,10 +111,13 @@ def property_tree(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col(name).isNotNull()).select(F.inline(prefixes)).groupBy("prefix", "depth").agg(F.count("*").alias("n"))
 
 
-def lag_correlation(df: DataFrame, key: str, t: str, a: str, b: str, lag: int) -> DataFrame:
-    """Correlation per key of series ``a`` with series ``b`` shifted by ``lag``."""
-    w = Window.partitionBy(key).orderBy(t)
-    return df.withColumn("__b", F.lag(b, lag).over(w)).groupBy(key).agg(F.corr(a, "__b").alias("r"), F.count("__b").alias("n"))
+def lag_correlation(df: DataFrame, key: str, t: str | Sequence[str], a: str, b: str, lag: int) -> DataFrame:
+    """(key, r, n): correlation per key of series ``a`` with series ``b`` shifted by ``lag``; NULL where one does not vary."""
+    w = Window.partitionBy(key).orderBy(*([t] if isinstance(t, str) else t))
+    x = F.when(F.col("__b").isNotNull(), F.col(a))
+    spread = F.stddev_samp(x) * F.stddev_samp("__b")
+    r = F.try_divide(F.covar_samp(x, "__b"), F.nullif(spread, F.lit(0.0)))
+    return df.withColumn("__b", F.lag(b, lag).over(w)).groupBy(key).agg(r.alias("r"), F.count("__b").alias("n"))
 
 
 def gram_counts(df: DataFrame, key: str, text: str, n: int = 1) -> DataFrame:

@@ -161,7 +161,8 @@ def discretize(df: DataFrame, c: str, bins: int | None = None, name: str = "bin"
     """Equal-frequency bins of rank order; ``bins`` defaults to the square root of the row count."""
     n = df.where(clean(c).isNotNull()).count() if bins is None else 0
     k = bins or max(1, int(round(n**0.5)))
-    cuts = stat(df, F.percentile(clean(c), F.array(*[F.lit(i / k) for i in range(1, k)]))) if k > 1 else F.array().cast("array<double>")
+    row = df.select(F.percentile(clean(c), F.array(*[F.lit(i / k) for i in range(1, k)])).alias("v")).first() if k > 1 else None
+    cuts = F.array(*[F.lit(x) for x in (row["v"] if row and row["v"] else [])]).cast("array<double>")
     return df.withColumn(name, F.when(clean(c).isNull(), None).otherwise(F.size(F.filter(cuts, lambda x: x < clean(c))) + 1))
 
 

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import aggregations, filters, ordering, preparation, texts  # noqa: F401  (importing registers the queries)
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
