@@ -69,8 +69,8 @@ def runs(df: DataFrame, key: str, order: str, aggs: Sequence[Column]) -> DataFra
 
 def frequent_values(df: DataFrame, c: str, k: int, order: str) -> DataFrame:
     """Rows whose value is among the ``k`` most frequent; missing values stay, ties go to the value seen first."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"), F.min(order).alias("o"))
-    top = counts.orderBy(F.desc("n"), "o").limit(k).select(c)
+    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__n"), F.min(order).alias("__o"))
+    top = counts.orderBy(F.desc("__n"), "__o").limit(k).select(c)
     return df.where(F.col(c).isNull()).unionByName(df.join(top, c, "left_semi").select(df.columns))
 
 
@@ -91,8 +91,8 @@ def coverage(df: DataFrame, start: str, end: str) -> DataFrame:
 
 def weighted_mode(df: DataFrame, keys: Sequence[str], symbol: str, weight: str) -> DataFrame:
     """Consensus: the symbol with the largest summed weight per key, ties to the smaller one."""
-    g = df.groupBy(*keys, symbol).agg(F.sum(weight).alias("w"))
-    return g.groupBy(*keys).agg(F.min_by(symbol, F.struct((-F.col("w")).alias("w"), symbol)).alias("consensus"), F.max("w").alias("weight"))
+    g = df.groupBy(*keys, symbol).agg(F.sum(weight).alias("__w"))
+    return g.groupBy(*keys).agg(F.min_by(symbol, F.struct((-F.col("__w")).alias("w"), symbol)).alias("consensus"), F.max("__w").alias("weight"))
 
 
 def weighted_mean(value: str, weight: str) -> Column:

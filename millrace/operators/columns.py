@@ -66,15 +66,9 @@ def row_normalize(df: DataFrame, cols: Sequence[str], norm: float = 1.0) -> Data
 
 def mode_value(df: DataFrame, c: str, domain: Sequence | None = None) -> Column:
     """The most frequent value; ties go to the level declared first, or the smallest."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-    rank = F.array_position(F.array(*[F.lit(x) for x in domain]), F.col(c)) if domain else F.col(c)
-    return counts.select(F.max_by(F.col(c), F.struct("n", _descending(rank, domain is not None))).alias("v")).scalar() if domain else (
-        counts.select(F.min_by(F.col(c), F.struct((-F.col("n")).alias("n"), rank.alias("r"))).alias("v")).scalar()
-    )
-
-
-def _descending(rank: Column, numeric: bool) -> Column:
-    return (-rank if numeric else rank).alias("r")
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n"))
+    rank = F.array_position(F.array(*[F.lit(x) for x in domain]), F.col("__v")) if domain else F.col("__v")
+    return counts.select(F.min_by("__v", F.struct((-F.col("__n")).alias("n"), rank.alias("r"))).alias("v")).scalar()
 
 
 def replace_missing(df: DataFrame, numeric: Sequence[str] = (), nominal: Sequence[str] = (), domains: Mapping[str, Sequence] | None = None) -> DataFrame:

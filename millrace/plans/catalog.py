@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregations, filters, ordering, preparation, texts  # noqa: F401  (importing registers the queries)
+from . import aggregations, filters, formats, learning, ordering, preparation, texts  # noqa: F401  (importing registers the queries)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
