@@ -257,14 +257,15 @@ def test_files_not_by_hand(spark):
         ("third_party/d.js", "function f() {\n  return 1;\n}\n"),
         ("src/org/other/E.java", hand.replace("my.own", "org.other")),
         ("web/f.css", ".a { margin: 1px; color: #fff; }\n.b { margin: 2px; }\n"),
+        ("x_pb.py", "\ufeff# Generated from X.schema, changes made here will be overwritten.\nA = 1\n"),
         ("x/G.java", '{"a": 1, "b": [1, 2, 3, 4, 5, 6, 7, 8]}'),
         (None, None),
         ("h.java", ""),
     ]
     repos = spark.createDataFrame([(1, "my.own"), (2, None)], "repo_id bigint, root_package string")
     df = files(spark, *rows)
-    assert ids(handwritten.files_not_by_hand(df.unionByName(df), repos)) == [3, 4, 5, 7, 8]
-    assert ids(handwritten.files_not_by_hand(df, repos.limit(0))) == [3, 4, 5, 7]
+    assert ids(handwritten.files_not_by_hand(df.unionByName(df), repos)) == [3, 4, 5, 7, 8, 10]
+    assert ids(handwritten.files_not_by_hand(df, repos.limit(0))) == [3, 4, 5, 7, 10]
     assert handwritten.files_not_by_hand(df.limit(0), repos).count() == 0
 
 
