@@ -75,8 +75,11 @@ _PREFIXED = re.compile(r"[A-Za-z]{2,8}[_.\-](?:live[_\-]|test[_\-])?([A-Za-z0-9]
 _GROUPS = re.compile(r"[A-Z0-9]{4,6}(?:-[A-Z0-9]{4,6}){3,}")
 
 
-def key_shaped(value: str) -> bool:
-    """Generated keys that are told by their shape: signed tokens, prefixed keys, key ids, grouped keys, long random letters."""
+def key_shaped(value: str, named: bool = False) -> bool:
+    """Generated keys that are told by their shape: signed tokens, prefixed keys, key ids, grouped keys, long random letters.
+
+    Where a name says that a key stands here, a key id may hold few digits.
+    """
     n = len(value)
     if n < 16 or " " in value or _HEX.fullmatch(value) or _UUID.fullmatch(value):
         return False
@@ -91,7 +94,8 @@ def key_shaped(value: str) -> bool:
         return any(c.isdigit() for c in flat) and any(c.isalpha() for c in flat) and entropy(flat) >= threshold(flat)
     if re.fullmatch(r"[A-Z0-9]{16,40}", value):
         spread = changes(value) >= 0.2 and sum(c.isdigit() for c in value) >= 2
-        return (spread or unpronounceable(value)) and entropy(value) >= threshold(value)
+        odd = named and (any(c.isdigit() for c in value) or re.search(r"[B-DF-HJ-NP-TV-XZ]{3,}", value))
+        return bool(spread or odd or unpronounceable(value)) and entropy(value) >= threshold(value)
     if n >= 32 and re.fullmatch(r"[a-z]+", value):
         return unpronounceable(value) and entropy(value) >= threshold(value)
     return False
@@ -140,7 +144,7 @@ def weak_secret(value: str) -> bool:
     if v.isalpha() and v.isascii() and len(v) >= 8 and not v.islower() and not v.isupper():
         if changes(v) >= 0.34 or re.search(r"[b-df-hj-np-tv-xz]{4,}", v.lower()):
             return True
-    return key_shaped(v) or len(v) >= 20 and letters and changes(v) >= 0.3 and entropy(v) >= threshold(v)
+    return key_shaped(v, True) or len(v) >= 20 and letters and changes(v) >= 0.3 and entropy(v) >= threshold(v)
 
 
 # ------------------------------------------------------------------- context
@@ -184,7 +188,7 @@ def accepts(kind: int, value: str) -> bool:
     if kind == 2:
         return weak_secret(value)
     if kind == 1:
-        return key_shaped(value) or bool(_HEX.fullmatch(value)) or (
+        return key_shaped(value, True) or bool(_HEX.fullmatch(value)) or (
             len(value) >= 20 and " " not in value and "://" not in value and changes(value) >= 0.3 and entropy(value) >= threshold(value)
         )
     return key_shaped(value)
@@ -292,7 +296,7 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
             continue
         if "://" in inner or inner.startswith("-----"):
             continue
-        if not any(c.isdigit() for c in inner) and len(inner) < 24 and not re.search(r"[a-z][-_.][a-z]+[-_.][a-z]+[-_.]|[^\w.\-/: ,]", inner):
+        if not any(c.isdigit() for c in inner) and len(inner) < 24 and not re.search(r"[a-z][-_.][a-z]+[-_.][a-z]+[-_.]|[^\w.\-/: ,]|[a-z][A-Z]|[A-Z]{2}", inner):
             continue
         opening = begin - (2 if inner is not value else 1)
         before = text[max(0, opening - 240) : opening]
