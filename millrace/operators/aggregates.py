@@ -86,7 +86,7 @@ def coverage(df: DataFrame, start: str, end: str) -> DataFrame:
     """(begin, depth): depth of half-open ranges by a sweep over their ends, aggregated per position first."""
     ends = df.select(F.explode(F.array(F.struct(F.col(start).alias("begin"), F.lit(1).alias("d")), F.struct(F.col(end).alias("begin"), F.lit(-1).alias("d")))).alias("e"))
     points = ends.groupBy("e.begin").agg(F.sum("e.d").alias("d"))
-    return points.withColumn("depth", F.sum("d").over(Window.orderBy("begin"))).drop("d")
+    return running_total(with_ordinal(points, "begin"), F.col("d"), name="depth").select("begin", "depth")
 
 
 def weighted_mode(df: DataFrame, keys: Sequence[str], symbol: str, weight: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordinal import with_ordinal
+
 
 def clean(c: Column | str) -> Column:
     """NaN as NULL."""
@@ -116,9 +118,9 @@ def swap_levels(c: str, a: str, b: str) -> Column:
 
 
 def domain(df: DataFrame, c: str) -> DataFrame:
-    """(level, n, code): distinct values and their sorted 1-based code."""
+    """(level, n, code): distinct values and their sorted 1-based code, numbered without one task for all levels."""
     levels = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("level")).agg(F.count("*").alias("n"))
-    return levels.withColumn("code", F.row_number().over(Window.orderBy("level")))
+    return with_ordinal(levels, "level", name="code").withColumn("code", F.col("code").cast("int"))
 
 
 def class_order(df: DataFrame, c: str) -> DataFrame:
@@ -130,7 +132,7 @@ def class_order(df: DataFrame, c: str) -> DataFrame:
 def first_seen_code(df: DataFrame, c: str, order: str, name: str = "code") -> DataFrame:
     """1-based code of each value in order of first appearance."""
     seen = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias("__o"))
-    seen = seen.withColumn(name, F.row_number().over(Window.orderBy("__o"))).drop("__o")
+    seen = with_ordinal(seen, "__o", c, name=name).withColumn(name, F.col(name).cast("int")).drop("__o")
     return df.join(seen, c, "left")
 
 

@@ -53,16 +53,27 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     return p.join(r, "__cell").where((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))).drop("__cell")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, values: Sequence[str]) -> DataFrame:
-    """Each left row with the latest right values at or before its time: one union and one window, no pairs."""
-    side = [F.col(v).alias(v) for v in values]
-    a = left.select("*", *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values], F.lit(1).alias("__left"))
-    b = right.select(key, t, *side).withColumn("__left", F.lit(0))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(t), F.col("__left")).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("__left") == 0, F.struct(*values)), ignorenulls=True).over(w)
-    out = both.withColumn("__v", last).where("__left = 1")
-    return out.select(*left.columns, *[F.col("__v")[v].alias(v) for v in values])
+def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, values: Sequence[str], cell: Column | None = None) -> DataFrame:
+    """Each left row with the latest right values at or before its time: one union and one window, no pairs.
+
+    A key with very many rows is split by ``cell``, a Column that does not fall
+    as the time rises (a day, say): windows run inside (key, cell), and what a
+    cell starts with comes from a second window over one row per cell.
+    """
+    kind = [F.lit(None).cast(right.schema[v].dataType).alias(f"__r_{v}") for v in values]
+    a = left.select("*", *kind, F.lit(1).alias("__left"))
+    b = right.select(key, t, *[F.col(v).alias(f"__r_{v}") for v in values], F.lit(0).alias("__left"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__cell", cell if cell is not None else F.lit(0))
+    w = Window.partitionBy(key, "__cell").orderBy(F.col(t), F.col("__left")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.when(F.col("__left") == 0, F.struct(*[F.col(f"__r_{v}").alias(v) for v in values]))
+    out = both.withColumn("__v", F.last(seen, ignorenulls=True).over(w))
+    if cell is not None:
+        ends = both.where("__left = 0").groupBy(F.col(key).alias("__k"), F.col("__cell").alias("__c")).agg(F.max_by(F.struct(*[F.col(f"__r_{v}").alias(v) for v in values]), t).alias("__e"))
+        cells = both.select(F.col(key).alias("__k"), F.col("__cell").alias("__c")).distinct()
+        ahead = Window.partitionBy("__k").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+        carried = cells.join(ends, ["__k", "__c"], "left").withColumn("__from", F.last("__e", ignorenulls=True).over(ahead)).drop("__e")
+        out = out.join(carried, F.col(key).eqNullSafe(F.col("__k")) & F.col("__cell").eqNullSafe(F.col("__c")), "left").withColumn("__v", F.coalesce("__v", "__from"))
+    return out.where("__left = 1").select(*left.columns, *[F.col("__v")[v].alias(v) for v in values])
 
 
 def near_miles(a: DataFrame, b: DataFrame, miles: float) -> DataFrame:

@@ -275,7 +275,7 @@ def _(t):
 def _(t):
     views = t.events.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("last_view"))
     clicks = t.events.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    return J.asof_join(clicks, views, "user_id", "ts", ["last_view"]).select("event_id", "last_view")
+    return J.asof_join(clicks, views, "user_id", "ts", ["last_view"], F.date_trunc("day", F.col("ts"))).select("event_id", "last_view")
 
 
 @query(

@@ -186,6 +186,10 @@ def test_asof_takes_the_latest(spark):
     right = spark.createDataFrame([(1, 3, "x"), (1, 5, "y"), (2, 10, "z")], "k int, t int, v string")
     got = {(r["k"], r["t"]): r["v"] for r in J.asof_join(left, right, "k", "t", ["v"]).collect()}
     assert got == {(1, 5): "y", (1, 1): None, (2, 9): None}
+    left = spark.createDataFrame([(i % 3, i) for i in range(0, 200, 7)], "k int, t int")
+    right = spark.createDataFrame([(i % 3, i, str(i)) for i in range(0, 200, 11)], "k int, t int, v string")
+    whole = sorted(map(tuple, J.asof_join(left, right, "k", "t", ["v"]).collect()))
+    assert whole == sorted(map(tuple, J.asof_join(left, right, "k", "t", ["v"], F.floor(F.col("t") / 25)).collect()))
 
 
 def test_near_miles_against_brute_force(spark):
