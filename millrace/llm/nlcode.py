@@ -29,6 +29,8 @@ EXTS = ("java", "py", "js")
 LATIN = ("en", "de", "fr", "es", "pt", "it", "nl", "pl")
 MIN_WORDS = 4
 MIN_CJK = 8
+#: words from which a line of consecutive line comments stands on its own
+LONG_LINE = 6
 #: documents per language from which the models are trained
 SAMPLE_DOCUMENTS = 400
 #: characters of each sampled document that are used
@@ -70,6 +72,7 @@ _KANA = re.compile(r"[぀-ヿㇰ-ㇿｦ-ﾟ]")
 _HAN = re.compile(r"[㐀-䶿一-鿿々豈-﫿]")
 _CJK = re.compile(r"[぀-ヿㇰ-ㇿｦ-ﾟ㐀-䶿一-鿿々豈-﫿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+_PARAGRAPH = re.compile(r"</?(?:p|br|hr|li|ul|ol|dl|dt|dd|div|table|tr|td|th|h[1-6]|blockquote)\b[^<>]*>", re.I)
 _DROP = re.compile(
     r"<(pre|code|script|style)\b[^>]*>.*?</\1\s*>|\{@\w+[^{}]*\}|</?[A-Za-z][^<>\n]*>|\b\w+://\S+|\S+@\S+\.\S+|(?<!\S)[\w.\-]*[/\\][\w./\\\-]+",
     re.S | re.I,
@@ -108,9 +111,15 @@ def _comment_text(raw: str, block: bool) -> str:
     else:
         lines = [line.strip().lstrip("/#!*").strip() for line in raw.split("\n")]
     out = []
+    before = 0
     for s in lines:
-        # a tag or a line of code ends the sentence before it and is none itself
-        out.append("\n\n" if s and _CODE_LINE.search(s) else s)
+        size = len(s.split())
+        if s and _CODE_LINE.search(s):
+            s = "\n\n"  # a tag or a line of code ends the sentence before it and is none itself
+        elif not block and before >= LONG_LINE and size >= LONG_LINE:
+            s = "\n\n" + s  # long line comments are sentences of their own, or pieces long enough to tell the language
+        out.append(s)
+        before = size
     return "\n".join(out)
 
 
@@ -162,6 +171,8 @@ def texts(language: str, contents: list[str]) -> tuple[list[int], list[str]]:
 def sentences(text: str) -> list[str]:
     """Sentences and clauses of a cleaned text that could be natural language."""
     if "<" in text or "{@" in text or "/" in text or "@" in text or "\\" in text:
+        if "<" in text:
+            text = _PARAGRAPH.sub("\n\n", text)
         text = _DROP.sub(" ", text)
     if len(text) < 8:
         return []
