@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sources import map_rows
+from .sources import map_rows, spread
 
 MIN_WORDS = 20
 #: items are sent to every task; more rows or characters than this are refused
@@ -254,7 +254,7 @@ def leaks_exact(documents: DataFrame, items: DataFrame, q: int = 32, stride: int
         return out
 
     src = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return map_rows(src, scan, "item_id bigint, doc_id bigint").distinct()
+    return map_rows(spread(src, "doc_id"), scan, "item_id bigint, doc_id bigint").distinct()
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sources import map_rows
+from .sources import map_rows, spread
 
 MIN_LENGTH = 6
 #: share of the highest entropy a string of its length and alphabet can have
@@ -462,7 +462,7 @@ def content_secrets(files: DataFrame) -> DataFrame:
 
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9_]+)$", 1))
     src = files.where(F.length("content") >= MIN_LENGTH).select("file_id", ext.alias("ext"), "content")
-    return map_rows(src, scan, "row_id bigint, line_no bigint")
+    return map_rows(spread(src, "file_id"), scan, "row_id bigint, line_no bigint")
 
 
 def job_secrets(jobs: DataFrame) -> DataFrame:
@@ -504,4 +504,4 @@ def redacted_files(files: DataFrame) -> DataFrame:
 
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9_]+)$", 1))
     src = files.where(F.length("content") >= MIN_LENGTH).select("file_id", ext.alias("ext"), "content")
-    return map_rows(src, scan, "file_id bigint, n_secrets int, content string").distinct()
+    return map_rows(spread(src, "file_id"), scan, "file_id bigint, n_secrets int, content string").distinct()

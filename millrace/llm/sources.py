@@ -15,13 +15,24 @@ def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9_]+)$", 1))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    A scan has as many tasks as its files have splits; the lexers cost far more
+    than the scan, so a few large splits are dealt out by a unique key.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_ext(files: DataFrame, exts: tuple[str, ...], content: str = "content") -> DataFrame:
     """Rows with content whose path ends in one of ``exts``; only the needed columns are read."""
-    return (
+    rows = (
         files.where(F.col(content).isNotNull())
         .select("file_id", extension("path").alias("ext"), F.col(content).alias("content"))
         .where(F.col("ext").isin(*exts))
     )
+    return spread(rows, "file_id")
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructType) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import syntax
-from .sources import map_rows
+from .sources import map_rows, spread
 
 #: neighbouring lengths on either side that set the expected hazard
 NEIGHBOURS = 40
@@ -200,7 +200,7 @@ def endings(documents: DataFrame) -> DataFrame:
         return out
 
     src = documents.where(F.length("text") > 0).select("doc_id", "source", "doc_kind", "text")
-    return map_rows(src, scan, "doc_id bigint, source string, chars int, bytes int, state int")
+    return map_rows(spread(src, "doc_id"), scan, "doc_id bigint, source string, chars int, bytes int, state int")
 
 
 def truncated(documents: DataFrame) -> DataFrame:
