@@ -44,6 +44,21 @@ class _Classes(dict):
         return value
 
 
+#: levels of nesting that are reduced; deeper texts are only checked for matching brackets
+MAX_DEPTH = 1_000
+
+
+def nested(s: str) -> bool:
+    """True when the brackets of a class string match."""
+    stack = []
+    for c in s:
+        if c in "([{":
+            stack.append(c)
+        elif c in ")]}" and (not stack or stack.pop() + c not in ("()", "[]", "{}")):
+            return False
+    return not stack
+
+
 # --------------------------------------------------------------------- Java
 JAVA_TOKEN = re.compile(
     r'//[^\r\n]*|/\*.*?\*/|"""[ \t\f]*\r?\n(?:[^\\]|\\.)*?"""|"(?:[^"\\\r\n]|\\.)*"'
@@ -294,13 +309,15 @@ def java_reduces(classes: str) -> bool:
             if t == s:
                 break
             s = t
-    while True:
+    for _ in range(MAX_DEPTH):
         t = _INNER_PAREN.sub(_java_region, s)
         if "!" in t:
             return False
         if t == s:
             break
         s = t
+    else:
+        return nested(s)
     return _J["unit"].fullmatch(_java_clean(s)) is not None
 
 
@@ -502,13 +519,15 @@ def js_reduces(classes: str) -> bool:
     if "!" in classes:
         return False
     s = classes
-    while True:
+    for _ in range(MAX_DEPTH):
         t = _INNER_PAREN.sub(_js_region, s)
         if "!" in t:
             return False
         if t == s:
             break
         s = t
+    else:
+        return nested(s)
     if re.search(r"[(){}\[\]]", s):
         return False
     return _js_stmts(s.strip("\n"))
@@ -536,11 +555,13 @@ _JSON_PAIR = re.compile(r"\{\}|\{(?:s:[slV])(?:,s:[slV])*\}|\[\]|\[[slV](?:,[slV
 def json_reduces(classes: str) -> bool:
     """Reduce ``{}`` and ``[]`` productions until one value is left."""
     s = classes
-    while True:
+    for _ in range(MAX_DEPTH):
         t = _JSON_PAIR.sub("V", s)
         if t == s:
             break
         s = t
+    else:
+        return nested(s)
     return s in ("V", "s", "l")
 
 

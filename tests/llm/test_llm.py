@@ -56,6 +56,14 @@ def test_other_grammars():
     assert syntax.broken("xml", "<a><b></a>") and syntax.broken("xml", "") and not syntax.broken("xsl", "<a b='1'>&amp;<!-- < --></a>")
 
 
+def test_deep_and_long_texts():
+    deep = "[" * 20_000 + "]" * 20_000
+    assert not syntax.broken("json", deep) and syntax.broken("json", deep[:-1])
+    assert syntax.broken("java", "class A { int x = " + "(" * 5_000 + "; }")
+    assert not syntax.broken("java", "class A { int[] x = {" + "1, " * 50_000 + "}; }")
+    assert not syntax.broken("js", "var a = " + "1 + " * 20_000 + "2;" + "f(a);" * 20_000)
+
+
 def test_broken_files_edges(spark):
     df = files(spark, ("a.java", None), ("b.java", ""), ("c.json", ""), ("d.java", "class D {"), ("e.txt", "{{{"), (None, "class {"), ("F.JAVA", "class"), ("g.java", JAVA))
     df = df.unionByName(df)
