@@ -21,13 +21,14 @@ from __future__ import annotations
 import base64
 import bisect
 import os
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .sources import map_rows
+from .sources import map_rows, spread
 
 #: folder of the public tokenizer files
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
@@ -35,7 +36,7 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: length classes of the fit; a class is ``capacity / CLASSES`` tokens wide
-CLASSES = 256
+CLASSES = 512
 #: shards in which the pieces of one length are ranked
 SHARDS = 64
 
@@ -62,34 +63,64 @@ def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS) -> DataFram
         return {"doc_id": cols["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) for t in cols["text"]]}
 
     src = documents.where(F.length("text") > 0).select("doc_id", "text")
-    return map_rows(src, count, "doc_id bigint, n_tokens int")
+    return map_rows(spread(src, "doc_id"), count, "doc_id bigint, n_tokens int")
 
 
 # ------------------------------------------------------------------ the plan
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
-    """Non-negative least squares by the active-set method of Lawson and Hanson."""
-    n = a.shape[1]
-    x, passive = np.zeros(n), np.zeros(n, bool)
-    gradient = a.T @ b
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Non-negative least squares of a dense matrix."""
+    return active_set(a.shape[1], lambda j: a[:, j], lambda r: a.T @ r, b)
+
+
+def active_set(n: int, column: Callable, transpose: Callable, b: np.ndarray, rounds: int = 5000) -> np.ndarray:
+    """Non-negative least squares by the method of Lawson and Hanson.
+
+    The matrix is given by its columns and by its transpose times a vector, so
+    a sparse one is never filled.  The normal equations of the active columns
+    are kept and extended by a column at a time; a singular system falls back
+    to a full solve.
+    """
+    x = np.zeros(n)
+    active: list[int] = []
+    matrix = np.zeros((len(b), 0))
+    gram, right = np.zeros((0, 0)), np.zeros(0)
+    gradient = transpose(b)
     tolerance = 1e-9 * max(1.0, float(np.abs(gradient).max(initial=0.0)))
     for _ in range(rounds):
-        free = ~passive
-        if not free.any() or gradient[free].max() <= tolerance:
+        gradient[active] = -np.inf
+        j = int(gradient.argmax()) if n else 0
+        if not n or gradient[j] <= tolerance:
             break
-        passive[np.flatnonzero(free)[gradient[free].argmax()]] = True
-        while True:
-            p = np.flatnonzero(passive)
-            s = np.linalg.lstsq(a[:, p], b, rcond=None)[0]
-            if len(s) == 0 or s.min() > 0:
+        new = column(j)
+        cross = matrix.T @ new
+        gram = np.block([[gram, cross[:, None]], [cross[None, :], np.array([[new @ new]])]])
+        matrix = np.column_stack([matrix, new])
+        right = np.append(right, new @ b)
+        active.append(j)
+        while active:
+            try:
+                s = np.linalg.solve(gram, right)
+                exact = np.isfinite(s).all() and np.abs(gram @ s - right).max() <= 1e-6 * max(1.0, float(np.abs(right).max()))
+            except np.linalg.LinAlgError:
+                exact = False
+            if not exact:
+                s = np.linalg.lstsq(matrix, b, rcond=None)[0]
+            if s.min() > 0:
                 x[:] = 0
-                x[p] = s
+                x[active] = s
                 break
+            old = x[active]
             down = s <= 0
-            step = (x[p][down] / np.maximum(x[p][down] - s[down], 1e-300)).min()
-            x[p] += step * (s - x[p])
-            x[x < 1e-12] = 0
-            passive &= x > 0
-        gradient = a.T @ (b - a @ x)
+            step = (old[down] / np.maximum(old[down] - s[down], 1e-300)).min()
+            moved = old + step * (s - old)
+            keep = moved > 1e-12
+            if keep.all():
+                keep = ~down
+            x[:] = 0
+            x[np.array(active)[keep]] = moved[keep]
+            active = [i for i, k in zip(active, keep) if k]
+            gram, right, matrix = gram[np.ix_(keep, keep)], right[keep], matrix[:, keep]
+        gradient = transpose(b - matrix @ x[active])
     return x
 
 
@@ -126,13 +157,16 @@ class Plan:
         pats = [p for p in pats if all(have[c] > 0 for c in p)]
         if not pats:
             return
-        a = np.zeros((classes + 1, len(pats)))
-        for k, p in enumerate(pats):
-            for c in p:
-                a[c, k] += 1
         # short pieces find a gap easily, so missing them costs less
         weight = np.where(np.arange(classes + 1) <= classes // 16, 0.1, 1.0)
-        repeat = np.rint(nnls(a * weight[:, None], have * weight)).astype(np.int64)
+        weight[0] = 0.0  # fills up the rows of patterns with fewer than three classes
+        rows = np.array([(*p, *[0] * (3 - len(p))) for p in pats])
+
+        def column(j: int) -> np.ndarray:
+            return np.bincount(rows[j], weights=weight[rows[j]], minlength=classes + 1)
+
+        fitted = active_set(len(pats), column, lambda r: (weight * r)[rows].sum(axis=1), have * weight)
+        repeat = np.rint(fitted).astype(np.int64)
         queue = {int(c): [[int(n), int(self.left[n])] for n in lengths[ok][cls[ok] == c][::-1]] for c in np.unique(cls[ok])}
         available = {c: sum(n for _, n in q) for c, q in queue.items()}
         for k in np.argsort(-np.array([max(p) for p in pats]), kind="stable"):
