@@ -89,3 +89,23 @@ def delta_delta(arr) -> Column:
     return F.when(F.size(a) == 0, a).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), lambda i: at(i) - 2 * at(i - 1) + at(i - 2))
     )
+
+
+def bencode(m) -> Column:
+    """A map of strings in bencoding: keys in order, lengths in UTF-8 bytes."""
+    part = lambda x: F.concat(F.octet_length(x).cast("string"), F.lit(":"), x)
+    entries = F.array_sort(F.map_entries(_col(m)))
+    body = F.array_join(F.transform(entries, lambda e: F.concat(part(e["key"]), part(e["value"]))), "")
+    return F.concat(F.lit("d"), body, F.lit("e"))
+
+
+def t_score(r, n) -> Column:
+    """Student's t of a correlation of ``n`` pairs; NULL for a perfect one or fewer than three pairs."""
+    r, n = _col(r), _col(n)
+    return F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt(n - 2) / F.sqrt(1 - r * r))
+
+
+def project(arr, matrix: list[list[float]]) -> Column:
+    """A vector times a fixed matrix given by rows."""
+    a = _col(arr)
+    return F.array(*[F.aggregate(F.zip_with(a, F.array(*[F.lit(float(v)) for v in row]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x) for row in matrix])

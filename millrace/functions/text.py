@@ -129,3 +129,14 @@ def char_bag(c) -> Column:
     """Map of each character to its number in the text."""
     chars = F.filter(F.split(_col(c), ""), lambda x: F.length(x) > 0)
     return F.map_from_entries(F.transform(F.array_distinct(chars), lambda k: F.struct(k, F.size(F.filter(chars, lambda x: x == k)))))
+
+
+def s_stem(c) -> Column:
+    """Plural endings removed: ``-ies`` to ``-y``, ``-es`` after a hissing sound, a single ``-s``."""
+    c = F.lower(_col(c))
+    return (
+        F.when(c.rlike("[^ae]ies$"), F.regexp_replace(c, "ies$", "y"))
+        .when(c.rlike("(s|x|z|ch|sh)es$"), F.regexp_replace(c, "es$", ""))
+        .when(c.rlike("[^us]s$"), F.regexp_replace(c, "s$", ""))
+        .otherwise(c)
+    )

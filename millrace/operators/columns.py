@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,22 @@ def stat(df: DataFrame, agg: Column) -> Column:
     return df.select(agg.alias("v")).scalar()
 
 
+def quantiles(df: DataFrame, c: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact interpolated quantiles: the column is sorted across partitions and only the rows at the wanted positions are read.
+
+    The exact aggregate would gather every distinct value in one task.  An
+    empty column has NULL quantiles.
+    """
+    values = with_ordinal(df.select(clean(c).cast("double").alias("v")).where("v IS NOT NULL"), "v", start=0)
+    n = values.count()
+    if not n:
+        return [None for _ in shares]
+    places = [(n - 1) * s for s in shares]
+    wanted = {int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places}
+    at = {r["ordinal"]: r["v"] for r in values.where(F.col("ordinal").isin(*wanted)).collect()}
+    return [at[int(p)] + (at[min(int(p) + 1, n - 1)] - at[int(p)]) * (p - int(p)) for p in places]
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
@@ -126,7 +142,7 @@ def domain(df: DataFrame, c: str) -> DataFrame:
 def class_order(df: DataFrame, c: str) -> DataFrame:
     """Levels by ascending frequency, ties by name."""
     levels = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("level")).agg(F.count("*").alias("n"))
-    return levels.withColumn("position", F.row_number().over(Window.orderBy("n", "level")))
+    return with_ordinal(levels, "n", "level", name="position").withColumn("position", F.col("position").cast("int"))
 
 
 def first_seen_code(df: DataFrame, c: str, order: str, name: str = "code") -> DataFrame:
@@ -145,7 +161,7 @@ def iqr_flags(df: DataFrame, cols: Sequence[str], outlier: float = 3.0, extreme:
     """Outlier and ExtremeValue: some column beyond the quartiles by so many interquartile ranges."""
     out, ext = F.lit(False), F.lit(False)
     for c in cols:
-        q1, q3 = stat(df, F.percentile(clean(c), 0.25)), stat(df, F.percentile(clean(c), 0.75))
+        q1, q3 = (F.lit(q).cast("double") for q in quantiles(df, c, [0.25, 0.75]))
         iqr, v = q3 - q1, clean(c)
         far = lambda k, v=v, q1=q1, q3=q3, iqr=iqr: F.coalesce((v > q3 + iqr * k) | (v < q1 - iqr * k), F.lit(False))
         ext = ext | far(extreme)
@@ -157,8 +173,7 @@ def discretize(df: DataFrame, c: str, bins: int | None = None, name: str = "bin"
     """Equal-frequency bins of rank order; ``bins`` defaults to the square root of the row count."""
     n = df.where(clean(c).isNotNull()).count() if bins is None else 0
     k = bins or max(1, int(round(n**0.5)))
-    row = df.select(F.percentile(clean(c), F.array(*[F.lit(i / k) for i in range(1, k)])).alias("v")).first() if k > 1 else None
-    cuts = F.array(*[F.lit(x) for x in (row["v"] if row and row["v"] else [])]).cast("array<double>")
+    cuts = F.array(*[F.lit(q) for q in quantiles(df, c, [i / k for i in range(1, k)]) if q is not None]).cast("array<double>")
     return df.withColumn(name, F.when(clean(c).isNull(), None).otherwise(F.size(F.filter(cuts, lambda x: x < clean(c))) + 1))
 
 
@@ -168,20 +183,31 @@ def equal_width(df: DataFrame, c: str, bins: int, name: str = "bin") -> DataFram
     return df.withColumn(name, F.when(clean(c).isNull(), None).otherwise(F.least(F.coalesce(at, F.lit(1)), F.lit(bins)).cast("int")))
 
 
+#: cells of neighbouring values an entropy split looks at
+MDL_CELLS = 100_000
+
+
 def mdl_cuts(df: DataFrame, c: str, label: str) -> list[float]:
     """Cut points of the entropy split with the minimum description length stop.
 
-    The driver sees class counts per distinct value of a column that is being
-    discretised, aggregated first; columns with more than a million distinct
-    values are rounded to a million quantiles by the caller.
+    Class counts are aggregated per distinct value, and neighbouring values are
+    joined until at most MDL_CELLS are left; only those reach the driver.
     """
     import math
 
-    rows = df.where(clean(c).isNotNull() & F.col(label).isNotNull()).groupBy(clean(c).alias("v"), F.col(label).alias("l")).count().collect()
+    counts = df.where(clean(c).isNotNull() & F.col(label).isNotNull()).groupBy(clean(c).cast("double").alias("v"), F.col(label).cast("string").alias("l")).agg(F.count("*").alias("n"))
+    values = with_ordinal(counts.select("v").distinct(), "v", start=0)
+    size = max(1, -(-values.count() // MDL_CELLS))
+    cells = counts.join(values, "v").groupBy(F.expr(f"ordinal div {size}").alias("cell"), "l").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rows = cells.collect()
     labels = sorted({r["l"] for r in rows})
-    table: dict[float, list[int]] = {}
+    table: dict[int, list[int]] = {}
+    low: dict[int, float] = {}
+    high: dict[int, float] = {}
     for r in rows:
-        table.setdefault(r["v"], [0] * len(labels))[labels.index(r["l"])] += r["count"]
+        k = r["cell"]
+        table.setdefault(k, [0] * len(labels))[labels.index(r["l"])] += r["n"]
+        low[k], high[k] = min(low.get(k, r["lo"]), r["lo"]), max(high.get(k, r["hi"]), r["hi"])
     values = sorted(table)
 
     def entropy(counts):
@@ -205,7 +231,7 @@ def mdl_cuts(df: DataFrame, c: str, label: str) -> list[float]:
         delta = math.log2(3**k - 2) - (k * entropy(total) - k1 * entropy(left) - k2 * entropy(right))
         if gain <= (math.log2(max(n - 1, 1)) + delta) / n:
             return []
-        return [*split(lo, i + 1), (values[i] + values[i + 1]) / 2, *split(i + 1, hi)]
+        return [*split(lo, i + 1), (high[values[i]] + low[values[i + 1]]) / 2, *split(i + 1, hi)]
 
     return split(0, len(values))
 

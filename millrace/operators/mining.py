@@ -12,7 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .columns import clean
+from .ordinal import with_ordinal
+from .rows import union_all
 
 
 def contingency(df: DataFrame, attributes: Sequence[str], cls: str) -> DataFrame:
@@ -133,45 +136,63 @@ def sequential_patterns(df: DataFrame, sequence: str, support: float, length: in
     return PrefixSpan(sequenceCol=sequence, minSupport=support, maxPatternLength=length).findFrequentSequentialPatterns(df)
 
 
-def nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
-    """(query, neighbour, distance): the ``k`` rows nearest to each query, the query itself left out.
+#: queries that travel to the rows at once
+QUERY_BLOCK = 50_000
 
-    A stated query set against all rows, in blocks: the queries travel to the
-    rows in numpy blocks, each block keeps its own ``k`` best, and only those
-    are merged.
+
+def nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query, neighbour, distance, rank): the ``k`` rows nearest to each query, the query itself left out.
+
+    A stated query set against all rows, in blocks of QUERY_BLOCK queries: a
+    block travels to the rows, every batch of rows keeps the block's ``k`` best,
+    and only those are merged.  With several blocks each one's result is
+    written before the next is sent, so the driver holds one block.
     """
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    wanted = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    first = wanted.limit(QUERY_BLOCK + 1).collect()
+    if len(first) <= QUERY_BLOCK:
+        return _ranked(_block_search(rows, first, k), k)
+    numbered = with_ordinal(wanted, "q", start=0)
+    blocks = -(-numbered.count() // QUERY_BLOCK)
+    parts = [cut(_ranked(_block_search(rows, numbered.where(F.expr(f"ordinal div {QUERY_BLOCK} = {i}")).select("q", "v").collect(), k), k)) for i in range(blocks)]
+    return union_all(parts)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy("distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _block_search(rows: DataFrame, block: list, k: int = 1) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    q = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v")).collect()
-    if not q:
-        return df.sparkSession.createDataFrame([], "query bigint, neighbour bigint, distance double")
-    ids = np.array([r["q"] for r in q])
-    mat = np.array([r["v"] for r in q], dtype=np.float64)
-    norms = (mat * mat).sum(1)
+    schema = "query bigint, neighbour bigint, distance double"
+    ids = np.array([r["q"] for r in block])
+    mat = np.array([r["v"] for r in block], dtype=np.float64)
+    norms = (mat * mat).sum(1) if len(block) else mat
+    shared = rows.sparkSession.sparkContext.broadcast((ids, mat, norms))
 
     def search(batches):
+        ids, mat, norms = shared.value
         for pdf in batches:
-            if not len(pdf):
+            if not len(pdf) or not len(ids):
                 continue
             x = np.array(pdf["v"].tolist(), dtype=np.float64)
-            own = pdf["id"].to_numpy()
-            out = []
-            for a in range(0, len(ids), max(1, 2_000_000 // max(len(x), 1))):
-                b = a + max(1, 2_000_000 // max(len(x), 1))
-                d = norms[a:b, None] + (x * x).sum(1)[None, :] - 2 * mat[a:b] @ x.T
+            own, square = pdf["id"].to_numpy(), (x * x).sum(1)
+            step = max(1, 2_000_000 // len(x))
+            for a in range(0, len(ids), step):
+                b = a + step
+                d = norms[a:b, None] + square[None, :] - 2 * mat[a:b] @ x.T
                 d[ids[a:b, None] == own[None, :]] = np.inf
                 m = min(k, d.shape[1])
                 best = np.argpartition(d, m - 1, axis=1)[:, :m]
-                dist = np.sqrt(np.maximum(np.take_along_axis(d, best, axis=1), 0))
-                out.append(pd.DataFrame({"query": np.repeat(ids[a:b], m), "neighbour": own[best].ravel(), "distance": dist.ravel()}))
-            o = pd.concat(out)
-            yield o[np.isfinite(o["distance"])]
+                dist = np.sqrt(np.maximum(np.take_along_axis(d, best, axis=1), 0)).ravel()
+                out = pd.DataFrame({"query": np.repeat(ids[a:b], m), "neighbour": own[best].ravel(), "distance": dist})
+                yield out[np.isfinite(out["distance"])]
 
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    found = rows.mapInPandas(search, "query bigint, neighbour bigint, distance double")
-    w = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rows.mapInPandas(search, schema)
 
 
 def outlier_factor(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -198,3 +219,51 @@ def smote(df: DataFrame, minority: DataFrame, key: str, vector: str, k: int, see
     gap = F.pmod(F.xxhash64("query", F.lit(seed + 1)), F.lit(10_000)) / 10_000.0
     mixed = F.zip_with(F.col("a").cast("array<double>"), F.col("b").cast("array<double>"), lambda x, y: x + (y - x) * gap)
     return pick.join(a, "query").join(b, "neighbour").select(F.col("query").alias(key), mixed.alias(vector))
+
+
+def one_rule(train: DataFrame, rows: DataFrame, key: str, attribute: str, cls: str) -> DataFrame:
+    """(key, predicted): the most frequent class of each level of one attribute, unseen levels get the overall one."""
+    c = contingency(train, [attribute], cls)
+    rule = c.groupBy("value").agg(F.min_by("class", F.struct((-F.col("n")).alias("n"), "class")).alias("predicted"))
+    d = rows.select(key, F.col(attribute).cast("string").alias("value")).join(rule, "value", "left")
+    return d.select(key, F.coalesce("predicted", zero_rule(train, cls).cast("string")).alias("predicted"))
+
+
+def cfs_select(df: DataFrame, attributes: Sequence[str], cls: str) -> list[str]:
+    """Attributes chosen by correlation-based merit, added one at a time while it grows.
+
+    Correlation is symmetrical uncertainty.  One pass counts every pair of
+    attributes (their number is the schema's, not the data's).
+    """
+    import math
+
+    names = [*attributes, cls]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    cell = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(names[i]).cast("string").alias("a"), F.col(names[j]).cast("string").alias("b")) for i, j in pairs])
+    n = df.select(F.inline(cell)).where("a IS NOT NULL AND b IS NOT NULL").groupBy("i", "j", "a", "b").agg(F.count("*").alias("n"))
+
+    def ent(keys: list[str], label: str) -> DataFrame:
+        g = n.groupBy("i", "j", *keys).agg(F.sum("n").alias("m"))
+        return g.groupBy("i", "j").agg((F.log2(F.sum("m").cast("double")) - F.sum(_xlog(F.col("m"))) / F.sum("m")).alias(label))
+
+    h = ent(["a"], "ha").join(ent(["b"], "hb"), ["i", "j"]).join(ent(["a", "b"], "hab"), ["i", "j"]).collect()
+    su = {}
+    for r in h:
+        total = r["ha"] + r["hb"]
+        su[r["i"], r["j"]] = su[r["j"], r["i"]] = 2 * (total - r["hab"]) / total if total > 0 else 0.0
+    last, chosen, merit = len(attributes), [], 0.0
+    while len(chosen) < len(attributes):
+        best = None
+        for a in range(len(attributes)):
+            if a in chosen:
+                continue
+            s = [*chosen, a]
+            rcf = sum(su.get((x, last), 0.0) for x in s)
+            rff = sum(su.get((x, y), 0.0) for x in s for y in s if x < y)
+            m = rcf / math.sqrt(len(s) + 2 * rff)
+            if best is None or m > best[0] + 1e-12:
+                best = (m, a)
+        if best[0] <= merit + 1e-12:
+            break
+        merit, chosen = best[0], [*chosen, best[1]]
+    return [attributes[i] for i in chosen]

@@ -184,3 +184,18 @@ def _(t):
 @query("burst_windows", "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, list_sort(list(DISTINCT event_type)) AS items FROM events GROUP BY 1")
 def _(t):
     return P.burst(t.events, "ts", "6 hours", F.col("event_type")).select(F.col("start").cast("timestamp_ntz").alias("start"), "items")
+
+
+@query("wire_codec", "SELECT event_id, user_id, event_type, value FROM events")
+def _(t):
+    from ..sources import wire
+
+    d = t.events.select("event_id", "user_id", "event_type", "value")
+    return wire.decode(wire.encode(d, compressed=True), "event", d.schema, compressed=True)
+
+
+@query("stream_stats", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, round(avg(value), 6) AS mean, max(value) AS high FROM events GROUP BY 1")
+def _(t):
+    s = P.event_time(P.event_source(t.spark, t.folder, "events"), "ts", "1 hour")
+    out = P.run_to_table(P.window_stats(s, "ts", "1 day", "value"), f"g{os.urandom(4).hex()}", "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("mean", 6).alias("mean"), "high")

@@ -122,3 +122,19 @@ def _(t):
 def _(t):
     minority = t.embeddings.where("label = 1").select("vec_id", "embedding")
     return M.smote(t.embeddings, minority, "vec_id", "embedding", 5, 1)
+
+
+@query(
+    "one_rule",
+    """WITH c AS (SELECT StringAtt2 AS value, NominalAtt2 AS class, count(*) AS n FROM filter_row WHERE StringAtt2 IS NOT NULL AND NominalAtt2 IS NOT NULL GROUP BY 1, 2),
+       r AS (SELECT value, arg_min(class, (-n, class)) AS predicted FROM c GROUP BY 1)
+       SELECT ord, coalesce(predicted, (SELECT NominalAtt2 FROM filter_row WHERE NominalAtt2 IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS predicted FROM filter_row LEFT JOIN r ON StringAtt2 = value""",
+)
+def _(t):
+    return M.one_rule(t.filter_row, t.filter_row, "ord", "StringAtt2", "NominalAtt2")
+
+
+@query("attribute_selection")
+def _(t):
+    chosen = M.cfs_select(t.filter_row, ["StringAtt1", "NominalAtt1", "StringAtt2"], "NominalAtt2")
+    return t.spark.createDataFrame([(i, c) for i, c in enumerate(chosen, 1)], "rank int, attribute string")

@@ -264,3 +264,29 @@ def _(t):
 def _(t):
     e = F.col("event_id")
     return t.events.select("event_id", S.delta_delta(F.array(e * e, e, F.lit(7).cast("bigint"))).alias("d"))
+
+
+@query("bencode", "SELECT n_nationkey, 'd4:name' || strlen(n_name) || ':' || n_name || '6:region' || length(n_regionkey::VARCHAR) || ':' || n_regionkey || 'e' AS v FROM nation")
+def _(t):
+    return t.nation.select("n_nationkey", S.bencode(F.create_map(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("name"), F.col("n_name"))).alias("v"))
+
+
+@query("t_score", "SELECT l_returnflag, round(r * sqrt(n - 2) / sqrt(1 - r * r), 3) AS t FROM (SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem GROUP BY 1)")
+def _(t):
+    d = t.lineitem.groupBy("l_returnflag").agg(F.corr("l_quantity", "l_extendedprice").alias("r"), F.count("*").alias("n"))
+    return d.select("l_returnflag", F.round(S.t_score("r", "n"), 3).alias("t"))
+
+
+@query("projection", "SELECT vec_id, round(embedding[1]::DOUBLE + 2 * embedding[2]::DOUBLE, 5) AS x, round(embedding[2]::DOUBLE, 5) AS y FROM embeddings")
+def _(t):
+    p = S.project(F.slice("embedding", 1, 2), [[1, 2], [0, 1]])
+    return t.embeddings.select("vec_id", F.round(p[0], 5).alias("x"), F.round(p[1], 5).alias("y"))
+
+
+@query(
+    "plural_stem",
+    """SELECT p_partkey, CASE WHEN regexp_matches(w, '[^ae]ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(s|x|z|ch|sh)es$') THEN regexp_replace(w, 'es$', '')
+       WHEN regexp_matches(w, '[^us]s$') THEN regexp_replace(w, 's$', '') ELSE w END AS v FROM (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) || 's' AS w FROM part)""",
+)
+def _(t):
+    return t.part.select("p_partkey", X.s_stem(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("s"))).alias("v"))

@@ -131,3 +131,43 @@ def batches_of(df: DataFrame, order: str, size: int) -> DataFrame:
 def burst(df: DataFrame, ts: str, width: str, item: Column) -> DataFrame:
     """(start, items): what arrived in each window, coalesced."""
     return df.groupBy(F.window(F.col(ts).cast("timestamp"), width).alias("w")).agg(F.array_sort(F.collect_set(item)).alias("items")).select(F.col("w.start").alias("start"), "items")
+
+
+def window_stats(stream: DataFrame, ts: str, width: str, value: str) -> DataFrame:
+    """(start, mean, high): what a graph of the stream shows."""
+    return stream.groupBy(F.window(ts, width).alias("w")).agg(F.avg(value).alias("mean"), F.max(value).alias("high")).select(F.col("w.start").alias("start"), "mean", "high")
+
+
+def periodic(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "30 seconds"):
+    """A running query that hands the sink a batch in a fixed rhythm; the caller stops it."""
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def await_or_stop(query, seconds: float) -> bool:
+    """Wait so long for a running query; stop it and return False when time is up."""
+    done = query.awaitTermination(seconds)
+    if not done:
+        query.stop()
+    return bool(done)
+
+
+def progress(spark: SparkSession, notify: Callable[[dict], None]):
+    """Register a listener told of every batch and of the end; returns it so that it can be removed."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            notify({"kind": "started", "id": str(event.id)})
+
+        def onQueryProgress(self, event):
+            notify({"kind": "progress", "rows": event.progress.numInputRows, "batch": event.progress.batchId})
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            notify({"kind": "ended", "error": event.exception})
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    return listener

@@ -129,6 +129,8 @@ def test_mode_ties_follow_the_domain(spark):
 def test_mdl_splits_and_stops(spark):
     d = spark.createDataFrame([(float(i), "x" if i < 50 else "y") for i in range(100)], "v double, c string")
     assert C.mdl_cuts(d, "v", "c") == [49.5]
+    assert C.quantiles(d, "v", [0.0, 0.25, 1.0]) == [0.0, 24.75, 99.0]
+    assert C.quantiles(d.limit(0), "v", [0.5]) == [None]
     noise = spark.createDataFrame([(float(i), "xy"[i * 7919 % 2]) for i in range(40)], "v double, c string")
     assert len(C.mdl_cuts(noise, "v", "c")) <= 1
 
@@ -214,6 +216,12 @@ def test_nearest_against_brute_force(spark):
         best = sorted((math.dist(v, w), i) for i, w in rows if i != q)[:4]
         want |= {(q, i) for _, i in best}
     assert got == want
+    old, M.QUERY_BLOCK = M.QUERY_BLOCK, 2
+    try:
+        assert {(r["query"], r["neighbour"]) for r in M.nearest(df, df.where("id % 50 = 0"), "id", "v", 4).collect()} == want
+    finally:
+        M.QUERY_BLOCK = old
+    assert M.nearest(df, df.limit(0), "id", "v", 4).count() == 0
 
 
 def test_naive_bayes_learns(spark):
