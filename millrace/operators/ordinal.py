@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 _BITS = 33
+#: partitions whose offsets are inlined
+MAX_INLINE = 256
 #: rows of one block in prefix sums
 BLOCK = 1 << 16
 
@@ -27,12 +29,16 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal", sta
     counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, offsets = 0, []
     for p in sorted(counts):
-        offsets += [F.lit(p), F.lit(before)]
+        offsets.append((p, before))
         before += counts[p]
+    inside = F.col("__at").bitwiseAND((1 << _BITS) - 1)
+    if len(offsets) > MAX_INLINE:  # one row per partition: a table is cheaper to plan than a literal map
+        shifts = df.sparkSession.createDataFrame(offsets, "__p bigint, __o bigint")
+        placed = placed.withColumn("__p", part).join(F.broadcast(shifts), "__p").withColumn(name, (inside + F.col("__o") + start).cast("bigint"))
+        return placed.drop("__at", "__p", "__o")
     if not offsets:
         return placed.withColumn(name, F.lit(start).cast("bigint")).drop("__at")
-    shift = F.create_map(*offsets)[part]
-    inside = F.col("__at").bitwiseAND((1 << _BITS) - 1)
+    shift = F.create_map(*[F.lit(x) for pair in offsets for x in pair])[part]
     return placed.withColumn(name, (inside + shift + start).cast("bigint")).drop("__at")
 
 

@@ -143,6 +143,14 @@ def test_ordinal_is_global(spark):
     assert t.where(F.col("t") != F.col("ordinal")).count() == 0
     assert lagged(d, {"k": "p"}).where("has_previous AND p <> k - 1").count() == 0
     assert with_ordinal(spark.range(0), "id").count() == 0
+    from millrace.operators import ordinal
+
+    old, ordinal.MAX_INLINE = ordinal.MAX_INLINE, 1
+    try:
+        d = with_ordinal(spark.range(1000).repartition(5), F.desc("id"), start=0)
+        assert d.columns == ["id", "ordinal"] and d.where("ordinal <> 999 - id").count() == 0
+    finally:
+        ordinal.MAX_INLINE = old
 
 
 def test_runs_join_equal_neighbours(spark):
