@@ -199,7 +199,7 @@ _JOIN = re.compile(r"\s*\+?\s*\Z|\s*\+\s*(?:\\\s*)?\Z")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"[\s\"'+#*/;\\nr,>|-]*[A-Za-z0-9+/=]{16,}")
-_URL_LOGIN = re.compile(r"://([^\s:/@\"'<>]*):([^\s@\"'<>]+)@(?=[\w\[$%{])")
+_URL_LOGIN = re.compile(r"://([^\s:/@\"'<>]{0,200}):([^\s@\"'<>]{1,400})@(?=[\w\[$%{])")
 _NAMED = re.compile(r"([\w.$\-]+)[\"'\]]*\s*(?:\)\s*)?(?:=>|:=|===?|!==?|[:=(,])\s*[urbfURBF]?\Z")
 _ATTRIBUTE = re.compile(r"(?:name|key|id|property)\s*=\s*([\"'])([\w.\-]+)\1[^<>]*?\b(?:value|select|content|default)\s*=\s*\Z")
 _TERNARY = re.compile(r"([\w.$]+)\s*=\s*[^;={}]*\?[^;{}]*:\s*\Z")

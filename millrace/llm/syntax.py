@@ -61,7 +61,7 @@ def nested(s: str) -> bool:
 
 # --------------------------------------------------------------------- Java
 JAVA_TOKEN = re.compile(
-    r'//[^\r\n]*|/\*.*?\*/|"""[ \t\f]*\r?\n(?:[^\\]|\\.)*?"""|"(?:[^"\\\r\n]|\\.)*"'
+    r'//[^\r\n]*|/\*.*?(?:\*/|\Z)|"""[ \t\f]*\r?\n(?:[^\\]|\\.)*?"""|"(?:[^"\\\r\n]|\\.)*"'
     r"|'(?:[^'\\\r\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'"
     r"|0[xX][0-9a-fA-F_.]+(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?"
     r"|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?"
@@ -119,7 +119,7 @@ def _java_class(token):
         return _JAVA_WORDS[token]
     head = token[0]
     if head == "/" and token[1:2] in ("/", "*"):
-        return ""
+        return "" if token[1] == "/" or token.endswith("*/") and len(token) > 3 else "!"
     if len(token) > 1 and head in "\"'" or head.isdigit() or head == "." and token[1:2].isdigit():
         return "l"
     if head == "_" or head == "$" or head == "\\" and len(token) > 1 or head.isalpha():
@@ -323,7 +323,7 @@ def java_reduces(classes: str) -> bool:
 
 # --------------------------------------------------------------- JavaScript
 JS_TOKEN = re.compile(
-    r"//[^\r\n  ]*|/\*.*?\*/|\A#![^\n]*"
+    r"//[^\r\n  ]*|/\*.*?(?:\*/|\Z)|\A#![^\n]*"
     r'|"(?:[^"\\\r\n]|\\.)*"|\'(?:[^\'\\\r\n]|\\.)*\'|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{[^{}]*\})*\})*`'
     r"|(?:&&|\|\||\?\?|===?|!==?|=>|[=(,:;!&|?\[{}+\-*%<>~^\n]|\breturn|\btypeof)[ \t]*/(?![*/])(?:[^/\\\r\n\[]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/\w*"
     r"|0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO]?[0-7_]+n?(?![.\d])"
@@ -381,6 +381,8 @@ def _js_class(token):
     if head == "/" and token[1:2] == "/" or token[:2] == "#!":
         return ""
     if token[:2] == "/*":
+        if not token.endswith("*/") or len(token) < 4:
+            return "!"
         return "\n" if "\n" in token else ""
     if len(token) > 1 and head in "\"'`" or head.isdigit() or head == "." and token[1:2].isdigit():
         return "l"
