@@ -20,6 +20,7 @@ file delivered again counts once.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ MIN_LITERALS = 4
 MAX_SINGLE_SHARE = 0.5
 #: share of statements that follow the numbered pattern of a tool
 MIN_UNIFORMITY = 0.8
-#: lines in which a notice of a tool or of a copy is looked for
+#: first lines in which a notice may also stand behind the first declaration
 NOTICE_LINES = 30
 
 _SLASH = frozenset("java js css c ts jsx".split())
@@ -58,6 +59,18 @@ _COMMENT = {
     "dash": re.compile(r"--[^\n]*|/\*.*?\*/", re.S),
 }
 
+# What stands before the first declaration: comments, strings and imports are passed over, group d ends the head.
+_STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+_HEAD = {
+    "java": re.compile(rf"/\*.*?(?:\*/|\Z)|//[^\n]*|{_STRING}|(?P<d>\b(?:class|interface|enum|record)\s+\w)", re.S),
+    "css": re.compile(rf"/\*.*?(?:\*/|\Z)|{_STRING}|(?P<d>\{{)", re.S),
+    "slash": re.compile(rf"/\*.*?(?:\*/|\Z)|//[^\n]*|{_STRING}|\bimport\b[\w$\s,*{{}}]*(?:\bfrom\b)?|(?P<d>\b(?:function|class|var|let|const|export)\b|[({{\[=])", re.S),
+    "py": re.compile(r"(?m)#[^\n]*|\A\s*(?:\"\"\"(?s:.*?)\"\"\"|'{3}(?s:.*?)'{3})|^(?:import|from)\b(?:[^\n(\\]|\\\n|\([^()]*\))*|(?P<d>[^\s#])"),
+    "hash": re.compile(r"(?m)^[ \t]*[#!][^\n]*|(?P<d>\S)"),
+    "markup": re.compile(r"<!--.*?(?:-->|\Z)|<[?!][^>]*>|(?P<d><\w)", re.S),
+    "dash": re.compile(r"--[^\n]*|/\*.*?(?:\*/|\Z)|(?P<d>\S)", re.S),
+}
+
 # How tools sign what they wrote.
 _TOOL = r"(?:tool|compiler|generator|maker|builder|processor|script|wizard|task|plugin|program|machine|test maker|class list|service description|schema|grammar|template)"
 _NOTICE = re.compile(
@@ -162,32 +175,51 @@ def uniformity(ext: str, text: str) -> float:
     return 0.0
 
 
-def notice(ext: str, path: str, text: str) -> bool:
-    """True when a leading comment, an annotation or the place says that a tool wrote the file."""
+def _style(ext: str) -> str | None:
+    return "slash" if ext in _SLASH else "hash" if ext in _HASH else "markup" if ext in _MARKUP else "dash" if ext == "sql" else None
+
+
+def head_end(ext: str, text: str) -> int:
+    """Where the first declaration starts (Java: the first type); the length of a text without one."""
+    pattern = _HEAD.get(ext) or _HEAD.get(_style(ext) or "markup")
+    return next((m.start() for m in pattern.finditer(text) if m.lastgroup == "d"), len(text))
+
+
+def leading_comments(ext: str, text: str, end: int) -> Iterator[re.Match]:
+    """The comments that start before ``end``, each to its own end."""
+    style = _style(ext) or "markup"
+    for m in (_TOKEN if style == "slash" else _COMMENT[style]).finditer(text):
+        if m.start() >= end:
+            return
+        if style != "slash" or m.lastgroup == "c":
+            yield m
+
+
+def notice(ext: str, path: str, text: str, head: int) -> bool:
+    """True when a comment or an annotation before the first declaration, which is at ``head``, or the place says that a tool wrote the file."""
     at = -1
     for _ in range(NOTICE_LINES):
         at = text.find("\n", at + 1)
         if at < 0:
             break
-    head = text if at < 0 else text[:at]
-    if ext == "java" and _ANNOTATED.search(head):
-        return True
+    head = len(text) if at < 0 else max(head, at)
+    if ext == "java" and "Generated" in text:
+        bare = _TOKEN.sub(lambda m: " " * len(m.group()) if m.lastgroup == "c" else m.group(), text)
+        if _ANNOTATED.search(bare, 0, head):
+            return True
     if _TOOL_PLACE.search(path):
         return True
-    style = "slash" if ext in _SLASH else "hash" if ext in _HASH else "markup" if ext in _MARKUP else "dash" if ext == "sql" else None
-    if style is None:
+    if _style(ext) is None:
         return False
-    for m in (_TOKEN if style == "slash" else _COMMENT[style]).finditer(head):
-        if style == "slash" and m.lastgroup != "c":
-            continue
+    for m in leading_comments(ext, text, head):
         c = re.sub(r"\s*\n\s*(?:\*|//|#)?\s*", " ", m.group())
         if _NOTICE.search(c) and not _STUB.search(c):
             return True
     return False
 
 
-def copied(ext: str, path: str, text: str) -> bool:
-    """True when place or notice tells that the file belongs to another project."""
+def copied(ext: str, path: str, text: str, head: int) -> bool:
+    """True when the place, or a comment before the first declaration, tells that the file belongs to another project."""
     dirs = path.lower().split("/")[:-1]
     if ext == "java":
         m = _SOURCE_ROOT.match(path)
@@ -195,12 +227,15 @@ def copied(ext: str, path: str, text: str) -> bool:
             dirs = m.group(0).lower().strip("/").split("/")
     if any(d in _PLACES for d in dirs) or ext == "js" and "lib" in dirs:
         return True
-    head = text[:600]
-    for m in _COMMENT["slash" if ext in _SLASH else "hash" if ext in _HASH else "markup"].finditer(head):
+    first = _COMMENT[_style(ext) or "markup"].search(text)
+    end = max(head, first.end()) if first is not None and first.start() < 600 else head
+    release = 400
+    for m in leading_comments(ext, text, end):
         if _COPIED.search(re.sub(r"\s+", " ", m.group())):
             return True
-        break
-    return ext in ("js", "css") and _RELEASE.match(text[:400]) is not None
+        if not text[release if release > 400 else 0 : m.start()].strip():
+            release = max(release, m.end())
+    return ext in ("js", "css") and _RELEASE.match(text[:release]) is not None
 
 
 _BLOB = re.compile(r"[\"'`][A-Za-z0-9+/]{1000,}={0,2}[\"'`]")
@@ -229,9 +264,10 @@ def judge(ext: str, path: str, text: str) -> tuple[list[str], float, float, floa
             reasons.append("data")
         if uniform >= MIN_UNIFORMITY:
             reasons.append("uniform")
-    if notice(ext, path, text):
+    head = head_end(ext, text)
+    if notice(ext, path, text, head):
         reasons.append("notice")
-    if copied(ext, path, text):
+    if copied(ext, path, text, head):
         reasons.append("copy")
     return reasons, expansion, share, uniform
 

@@ -1,0 +1,27 @@
+"""Whole texts: notices, keys and functions that a prefix, a length or a depth would lose."""
+
+from millrace.llm import handwritten
+
+LICENCE = "/*\n" + " * Permission is granted to whom it may concern.\n" * 40 + " */\n"
+CLASS = "public class A {\n  int a;\n}\n"
+
+
+def reasons(path, text):
+    return handwritten.judge(path.rsplit(".", 1)[-1], path, text)[0]
+
+
+def test_notices_after_a_long_licence():
+    imports = "".join(f"import a.b.C{i};\n" for i in range(60))
+    assert "notice" in reasons("a/A.java", f'{LICENCE}package a;\n{imports}@javax.annotation.Generated("tool")\n{CLASS}')
+    assert "notice" in reasons("a/A.java", f"{LICENCE}// Do not edit.\npackage a;\n{CLASS}")
+    assert "notice" in reasons("a/a.js", f"{LICENCE}/* do not edit */\nfunction f() {{}}\n")
+    assert "notice" in reasons("a/a.py", "# Permission is granted.\n" * 40 + "import os\n# do not edit\nx = 1\n")
+    assert "notice" in reasons("a/a.xml", "<?xml version='1.0'?>\n<!--" + "\nlicence" * 40 + "-->\n<!-- do not edit -->\n<a/>")
+    assert "copy" in reasons("a/A.java", f"{LICENCE}package a;\n/* Copied from commons-lang 2.4 */\n{CLASS}")
+    assert "copy" in reasons("a/a.js", "/* lib.js v1.2.3 |" + " words" * 100 + "\n * licence: MIT */\nvar a = 1;\n")
+
+
+def test_no_notice_behind_the_first_declaration():
+    body = "public class A {\n" + "  int a;\n" * 40 + "  // do not edit, copied from x 1.2\n  @Generated int b;\n}\n"
+    assert reasons("a/A.java", LICENCE + body) == []
+    assert reasons("a/A.java", f"{LICENCE}/*\n@Generated\n*/\n{CLASS}".replace("@Generated", "@ Generated")) == []
