@@ -114,7 +114,7 @@ _PLACEHOLDER = re.compile(
     r"""(?ix) ^(?:
         [*x.•#?_\-\s]+ | n/?a | none | null | nil | undefined | true | false | todo | tbd | empty | default | dummy | sample | example
       | (?:your|my|the|some|enter|insert|put|add|ask|see|use|type)[\s_\-.].* | change[\s_\-]?(?:me|it|this).* | prompt(?:ed)? | redacted | masked | hidden | removed
-      | <[^<>]*> | \[[^\[\]]*\] | \$\{?[^{}\s]*\}? | \$\{[^{}]*\} | \$\(.*\) | %[\w.]+% | %\{?[^{}]*\}?\w* | @[\w.\-]+@ | \{\{.*\}\} | \#\{.*\} | __\w+__
+      | <[^<>]*> | \[[^\[\]]*\] | \$\{?[^{}\s]*\}? | \$\{[^{}]*\} | \$\(.*\) | %[\w.]+% | %\{?[^{}]*+\}?\w* | @[\w.\-]+@ | \{\{.*\}\} | \#\{.*\} | __\w+__
       | enc\(.*\)? | \{(?:s?sha\d*|md5|bcrypt|crypt|pbkdf2|argon2\w*|cipher|enc|aes)\}.* | \$(?:2[abxy]|argon2\w*|1|5|6|pbkdf2\S*|apr1)\$.* | vault:.* | secretsmanager:.* | env[:.].* | arn:.* | file:.* | classpath:.*
       | ssh-(?:rsa|ed25519|dss)\s.* | -----BEGIN\ (?:RSA\ )?PUBLIC.*
       | (?:os\.|process\.)?env(?:iron)?\b.* | system\.getenv.* | getenv.*
@@ -128,7 +128,7 @@ _DOTTED = re.compile(r"[A-Za-z_][a-z_]*(?:\.[a-z_A-Z]+)+")
 def weak_secret(value: str) -> bool:
     """Passwords people choose: letters with digits, or several joined words."""
     v = value.strip()
-    if len(v) < MIN_LENGTH or len(v) > 512 or _PLACEHOLDER.match(v) or _CONSTANT.fullmatch(v) or _DOTTED.fullmatch(v):
+    if len(v) < MIN_LENGTH or _PLACEHOLDER.match(v) or _CONSTANT.fullmatch(v) or _DOTTED.fullmatch(v):
         return False
     if any(c.isspace() for c in v) or "://" in v or re.fullmatch(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+", v):
         return False
@@ -136,8 +136,8 @@ def weak_secret(value: str) -> bool:
         return False
     letters, digits = any(c.isalpha() for c in v), any(c.isdigit() for c in v)
     if letters and digits:
-        return not re.fullmatch(r"v?\d+(?:\.\d+)+\w*|\d+(?:px|em|ms|s|kb|mb|gb|%)|[a-z]{1,3}\d{1,2}", v, re.I)
-    if letters and len(re.findall(r"[a-z]{3,}[-_.](?=[a-z]{3,})", v)) >= 3:
+        return not re.fullmatch(r"v?\d++(?:\.\d++)+\w*|\d+(?:px|em|ms|s|kb|mb|gb|%)|[a-z]{1,3}\d{1,2}", v, re.I)
+    if letters and len(re.findall(r"(?<![a-z])[a-z]{3,}[-_.](?=[a-z]{3})", v)) >= 3:
         return True
     if letters and re.search(r"[^\w.\-/:,]", v) and re.search(r"[a-z]", v) and re.search(r"[A-Z]", v) and v.isascii():
         return True
@@ -199,7 +199,8 @@ _JOIN = re.compile(r"\s*\+?\s*\Z|\s*\+\s*(?:\\\s*)?\Z")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"[\s\"'+#*/;\\nr,>|-]*[A-Za-z0-9+/=]{16,}")
-_URL_LOGIN = re.compile(r"://([^\s:/@\"'<>]{0,200}):([^\s@\"'<>]{1,400})@(?=[\w\[$%{])")
+_URL_LOGIN = re.compile(r"://[^\s:/@\"'<>]*:")
+_URL_LOGIN_END = re.compile(r"[\s@\"'<>]")
 _NAMED = re.compile(r"([\w.$\-]+)[\"'\]]*\s*(?:\)\s*)?(?:=>|:=|===?|!==?|[:=(,])\s*[urbfURBF]?\Z")
 _ATTRIBUTE = re.compile(r"(?:name|key|id|property)\s*=\s*([\"'])([\w.\-]+)\1[^<>]*?\b(?:value|select|content|default)\s*=\s*\Z")
 _TERNARY = re.compile(r"([\w.$]+)\s*=\s*[^;={}]*\?[^;{}]*:\s*\Z")
@@ -213,7 +214,7 @@ _SHELL = re.compile(r"(?<!\S)(?:-u[ \t]*[\w.\-]+:|--(?:[\w\-]*password|passwd|to
 _SCHEME = re.compile(r"(?:Bearer|Token|Basic|ApiKey|Key|Digest)\s+(\S+)\Z", re.I)
 # unquoted forms
 _CONFIG = re.compile(
-    r"(?m)^[ \t]*(?:[#;!]|//|--|/\*|<!--|\*)?[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?([A-Za-z][\w.\-]*)[ \t]*[:=][ \t]*(\\\r?\n[ \t]*)?([^\s\"'<>(){},;]+)[ \t]*(?:-->|\*/)?[ \t]*\r?$"
+    r"(?m)^[ \t]*+(?:[#;!]|//|--|/\*|<!--|\*)?[ \t]*+(?:export[ \t]+|set[ \t]+|-[ \t]+)?([A-Za-z][\w.\-]*)[ \t]*[:=][ \t]*(\\\r?\n[ \t]*)?([^\s\"'<>(){},;]+)[ \t]*(?:-->|\*/)?[ \t]*\r?$"
 )
 _INLINE = re.compile(r"(?<![\w.\-])([A-Za-z][\w.\-]*)(=|:[ \t])([^\s\"'<>(){},;&=]+)")
 _ELEMENT = re.compile(r"<([\w:.\-]+)((?:\s+[\w:.\-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*>([^<>\s]+)</\1\s*>")
@@ -260,9 +261,12 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
                         end = b.end()
                     spans.append((m.start(), end))
     if "://" in text:
-        for m in _URL_LOGIN.finditer(text):
-            if not _PLACEHOLDER.match(m.group(2)) and not re.match(r"[$%{<*@]", m.group(2)) and len(m.group(2)) >= 4:
-                spans.append(m.span(2))
+        at = 0
+        while (m := _URL_LOGIN.search(text, at)) is not None and (e := _URL_LOGIN_END.search(text, m.end())) is not None:
+            at, word = e.start(), text[m.end() : e.start()]
+            if e.group() == "@" and len(word) >= 4 and re.match(r"[\w\[$%{]", text[e.end() : e.end() + 1]):
+                if not _PLACEHOLDER.match(word) and not re.match(r"[$%{<*@]", word):
+                    spans.append((m.end(), e.start()))
     # quoted literals, joined where the source joins them
     last: list[tuple[int, int]] = []
     lit_end = -1
@@ -278,7 +282,7 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
     for pieces in literals:
         begin, end = pieces[0][0], pieces[-1][1]
         value = text[begin:end] if len(pieces) == 1 else "".join(text[a:b] for a, b in pieces)
-        if len(value) < MIN_LENGTH or len(value) > 4096:
+        if len(value) < MIN_LENGTH:
             continue
         inner = value
         if value[0] in "'\"" and value[-1] == value[0] and len(value) > 2:
@@ -345,18 +349,13 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
             if text[stop - 1 : stop] == "\\" or text[stop - 2 : stop] == "\\\r":  # the value continues on the next line
                 stop = text.find("\n", stop + 1)
                 stop = len(text) if stop < 0 else stop
-            if stop - start > 2000:
-                stop = min(stop, k.end() + 1000)
-                start = max(start, k.start() - 1000)
-                at = max(at if at < stop else stop, k.end())
-            line = text[start:stop]
-            spans += [(start + a, start + b) for a, b in _unquoted(line, ext)]
+            spans += [(start + a, start + b) for a, b in _unquoted(text[start:stop], ext)]
         at = text.find(" / ")
         while at >= 0:
             start = text.rfind("\n", 0, at) + 1
             stop = text.find("\n", at)
             stop = len(text) if stop < 0 else stop
-            for m in _SLASH_PAIR.finditer(text, max(start, at - 300), min(stop, at + 1000)):
+            for m in _SLASH_PAIR.finditer(text, start, stop):
                 if weak_secret(m.group(2)):
                     user = m.group(1)
                     if "@" in user or re.search(r"(?i)\b(?:login|mailbox|account|user|pw|password|credentials?)\b[^/]*$", text[start : m.start()]):
@@ -383,19 +382,32 @@ def _unquoted(line: str, ext: str) -> list[tuple[int, int]]:
         kind = name_kind(m.group(1))
         if (kind or m.group(2)) and not (ext == "py" and not m.group(0).lstrip().startswith("#")) and accepts(kind, m.group(3)):
             out.append(m.span(3))
+    commented = _Commented(line, ext)
     for m in _PW_WORD.finditer(line):
-        if weak_secret(m.group(2)) and _commented(line, m.start(), ext):
+        if weak_secret(m.group(2)) and commented(m.start()):
             out.append(m.span(2))
     for m in _INLINE.finditer(line):
-        if name_kind(m.group(1)) == 2 and accepts(2, m.group(3)) and _commented(line, m.start(), ext):
+        if name_kind(m.group(1)) == 2 and accepts(2, m.group(3)) and commented(m.start()):
             out.append(m.span(3))
     return out
 
 
-def _commented(text: str, at: int, ext: str) -> bool:
-    if ext in _UNQUOTED_EXTS or not ext:
-        return True
-    return _COMMENT_LINE.search(text[text.rfind("\n", 0, at) + 1 : at]) is not None
+class _Commented:
+    """Tells whether unquoted text can hold a credential: anywhere in configuration, behind a comment sign of its line in code."""
+
+    def __init__(self, text: str, ext: str):
+        self.text, self.free = text, ext in _UNQUOTED_EXTS or not ext
+        self.start, self.sign = -1, -1
+
+    def __call__(self, at: int) -> bool:
+        if self.free:
+            return True
+        start = self.text.rfind("\n", 0, at) + 1
+        if start != self.start:  # the sign is looked for once a line
+            stop = self.text.find("\n", at)
+            m = _COMMENT_LINE.search(self.text[start : stop if stop >= 0 else len(self.text)])
+            self.start, self.sign = start, start + m.end() if m else len(self.text) + 1
+        return self.sign <= at
 
 
 def password_span(value: str) -> tuple[int, int] | None:

@@ -1,6 +1,6 @@
 """Whole texts: notices, keys and functions that a prefix, a length or a depth would lose."""
 
-from millrace.llm import handwritten
+from millrace.llm import handwritten, secrets
 
 LICENCE = "/*\n" + " * Permission is granted to whom it may concern.\n" * 40 + " */\n"
 CLASS = "public class A {\n  int a;\n}\n"
@@ -25,3 +25,23 @@ def test_no_notice_behind_the_first_declaration():
     body = "public class A {\n" + "  int a;\n" * 40 + "  // do not edit, copied from x 1.2\n  @Generated int b;\n}\n"
     assert reasons("a/A.java", LICENCE + body) == []
     assert reasons("a/A.java", f"{LICENCE}/*\n@Generated\n*/\n{CLASS}".replace("@Generated", "@ Generated")) == []
+
+
+def found(text, ext="java"):
+    return [text[a:b] for a, b in secrets.find(text, ext)]
+
+
+def test_secrets_of_any_length():
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "eyJ" + "zdWIi7Q9x" * 100 + ".c2lnbmF0dXJlMTIzNDU2"
+    assert found(f'authToken = "{jwt}";') == [jwt]
+    key = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC" * 200
+    assert found(f'privateKey = "{key}";') == [key]
+    assert found("url = ftp://joe:" + "aB3x" * 150 + "@host/") == ["aB3x" * 150]
+
+
+def test_secrets_on_long_lines():
+    word = "k7Fq2Lm9Xw4Z" * 120
+    assert found("x " * 1500 + f"password={word} " + "x " * 1500, "txt") == [word]
+    assert found("// " + "x " * 1500 + "password=k7Fq2Lm9Xw4Z") == ["k7Fq2Lm9Xw4Z"]
+    for pad in range(985, 1000):
+        assert found("x" * 900 + " secret " + "y" * pad + " password=k7Fq2Lm9Xw4Z " + "z " * 1000, "txt") == ["k7Fq2Lm9Xw4Z"]
