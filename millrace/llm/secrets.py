@@ -20,6 +20,7 @@ import binascii
 import json
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -109,6 +110,25 @@ def unpronounceable(value: str) -> bool:
     return len(letters) >= 12 and (vowels < 0.27 * len(letters) and bool(runs) or len(runs) >= 2)
 
 
+#: class changes per character from which a token without a name is drawn at random, not spelt
+TOKEN_CHANGES = 0.4
+_TOKEN_SIGNS = re.compile(r"[A-Za-z0-9+/_\-.]{16,}={0,2}")
+#: how files, keys, classes and hashes start when they are written as base64
+_ENCODED = re.compile(r"iVB|/9j/|R0lGOD|UEsDB|H4sI|d09G|AAEAAA|yv66v|rO0AB|JVBER|Qk0|PD94|PHN2|AAAAB3|MII[A-Za-z]|(?i:sha\d+|md5)[-_:]")
+
+
+def random_token(value: str) -> bool:
+    """A token that is measured only: mixed letters and digits, entropy over the threshold, and no word, path or encoded file."""
+    if _TOKEN_SIGNS.fullmatch(value) is None or _HEX.fullmatch(value) or _UUID.fullmatch(value) or _ENCODED.match(value):
+        return False
+    core = value.rstrip("=")
+    if sum(c.isdigit() for c in core) < 2 or core.islower() or core.isupper() or core.count(".") + core.count("/") + core.count("-") + core.count("_") > len(core) / 8:
+        return False
+    if sum(map(len, re.findall(r"[A-Z]?[a-z]{2,}", core))) >= 0.7 * len(core):  # words of an identifier
+        return False
+    return changes(core) >= TOKEN_CHANGES and entropy(core) >= threshold(core)
+
+
 # What stands where a secret would stand without being one.
 _PLACEHOLDER = re.compile(
     r"""(?ix) ^(?:
@@ -191,7 +211,7 @@ def accepts(kind: int, value: str) -> bool:
         return key_shaped(value, True) or bool(_HEX.fullmatch(value)) or (
             len(value) >= 20 and " " not in value and "://" not in value and changes(value) >= 0.3 and entropy(value) >= threshold(value)
         )
-    return key_shaped(value)
+    return key_shaped(value) or random_token(value)
 
 
 _LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'')
@@ -222,6 +242,11 @@ _ATTR_NAME = re.compile(r"(?:name|key|id)\s*=\s*[\"']([\w.\-]+)[\"']")
 _SLASH_PAIR = re.compile(r"(?<![\w./])((?:[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)|[\w.\-]+) / (\S+?)(?=\s*(?:\*/|-->|$|[\"';]))", re.M)
 _PAREN_PAIR = re.compile(r"@[\w\-]+(?:\.[\w\-]+)+ \(([^\s()]+)\)")
 _PW_WORD = re.compile(r"(?i)(?<![\w.])(?:pw|pwd|passwd|password|passwort|kennwort)[ \t]+(?:([\w.+\-]+(?:@[\w.\-]+)?)[ \t]*:[ \t]*)?([^\s\"'<>,;]+)")
+#: unquoted tokens; an address, a path or a reference goes on before or behind them
+_LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-.%@$#&\\])(?=[^\s=]{16})[A-Za-z0-9][A-Za-z0-9+/_\-.]{15,}+={0,2}(?![\w@(%$:\[{])")
+_BLOCK = re.compile(r"(?:[ \t]*(?:#|//|\*|;)?[ \t]*[A-Za-z0-9+/]{40,}={0,2}[ \t]*\r?\n){2,}(?:[ \t]*(?:#|//|\*|;)?[ \t]*[A-Za-z0-9+/]+={0,2})?")
+_HASHED = re.compile(r"(?i)(?:\b(?:sha\d*|md5|ssh-\w+)[-_: ]+|base64,\s*|\benc\()\Z")
+_PEM_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END|\Z)", re.S)
 #: lines on which an unquoted credential can stand
 _KEYWORD = re.compile(r"(?i)pass|pwd|\bpw\b|secret|token|credential|auth|[\w.\-]key[ \t]*[:=]|\bpin[ \t]*[:=]|licen[cs]e|kennwort")
 _COMMENT_LINE = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|;)|/\*|//\s|<!--|\s#\s")
@@ -269,6 +294,7 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
                     spans.append((m.end(), e.start()))
     # quoted literals, joined where the source joins them
     last: list[tuple[int, int]] = []
+    spaced: list[tuple[int, int]] = []
     lit_end = -1
     literals: list[list[tuple[int, int]]] = []
     for m in _LITERAL.finditer(text):
@@ -291,6 +317,7 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
         if " " in inner:
             s = _SCHEME.match(inner)
             if s is None:
+                spaced.append((begin, end))
                 continue
             scheme, word = inner.split(None, 1)
             before = text[max(0, begin - 120) : begin - 1]
@@ -326,7 +353,8 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
             if _decoded_login(inner):
                 spans.append((begin, end))
             continue
-        if accepts(kind, inner):
+        # long strings joined over several lines are encoded data
+        if accepts(kind, inner) and (kind or len(pieces) < 3 or key_shaped(inner)):
             spans.append((begin, end))
     # unquoted values
     if "=" in text or ":" in text or ">" in text or " / " in text or "@" in text:
@@ -365,6 +393,7 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
             spans += [m.span(1) for m in _PAREN_PAIR.finditer(text) if weak_secret(m.group(1))]
         if " -" in text:
             spans += [m.span(1) for m in _SHELL.finditer(text) if weak_secret(m.group(1))]
+    spans += _long_tokens(text, ext, spaced)
     if not spans:
         return spans
     spans.sort()
@@ -392,6 +421,33 @@ def _unquoted(line: str, ext: str) -> list[tuple[int, int]]:
     return out
 
 
+def _long_tokens(text: str, ext: str, spaced: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of unquoted tokens whose shape or entropy alone makes them keys; in code only in comments and in ``spaced`` literals."""
+    out = []
+    commented = _Commented(text, ext)
+    lines_end = -1
+    blocks = [m.span() for m in _PEM_BLOCK.finditer(text)] if "-----BEGIN" in text else []
+    for m in _LONG_TOKEN.finditer(text):
+        a, value = m.start(), m.group().rstrip(".-_/")
+        if not (key_shaped(value) or random_token(value)) or _PLACEHOLDER.match(value):
+            continue
+        before = text[max(0, text.rfind("\n", 0, a) + 1, a - 120) : a]
+        if "://" in before.rpartition(" ")[2] or _HASHED.search(before):
+            continue
+        n = _NAMED.search(before.rstrip("\"'"))
+        if n is not None and name_kind(n.group(1)) < 0:
+            continue
+        if not commented(a) and not ((k := bisect_right(spaced, (a, len(text)))) and spaced[k - 1][1] >= a + len(value)):
+            continue
+        # lines of nothing but base64 are a block of encoded data
+        if a >= lines_end and (b := _BLOCK.match(text, text.rfind("\n", 0, a) + 1)) is not None:
+            lines_end = b.end()
+        if a < lines_end or any(b <= a < e for b, e in blocks):
+            continue
+        out.append((a, a + len(value)))
+    return out
+
+
 class _Commented:
     """Tells whether unquoted text can hold a credential: anywhere in configuration, behind a comment sign of its line in code."""
 
