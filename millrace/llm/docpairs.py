@@ -14,6 +14,7 @@ same pairs, which are counted once; a null ``file_id`` is kept as null.
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 import warnings
 
@@ -193,7 +194,13 @@ def _lex_python(text: str, with_code: bool) -> list[tuple]:
         text = text[1:]
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        tree = compile(text, "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+        try:
+            tree = compile(text, "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+        except (RecursionError, MemoryError):  # the functions around the statements that are too deep
+            try:
+                tree = compile(syntax.shallow(text), "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+            except (RecursionError, MemoryError, SyntaxError, ValueError):
+                return []
     lines = re.split(r"(?<=\n)|(?<=\r)(?!\n)", text) if with_code else []
     physical = text.count("\n") != len(text.splitlines()) - (not text.endswith(("\n", "\r")))
     events = []
@@ -221,22 +228,19 @@ _SCHEMA = "file_id bigint, copy bigint, pos int, kind string, delta int, name st
 
 
 def lexed_rows(files: DataFrame, with_code: bool = False) -> DataFrame:
-    """The exploded rows; ``copy`` tells apart the deliveries of one file."""
+    """The exploded rows; ``copy`` is a hash of the id and the text, so a task that is rerun gives the same."""
     import pyarrow as pa
-    from pyspark import TaskContext
     from pyspark.sql.pandas.types import to_arrow_schema
 
     st = T._parse_datatype_string(_SCHEMA)
     arrow = to_arrow_schema(st)
 
     def run(batches):
-        base = TaskContext.get().partitionId() << 40
         for batch in batches:
             cols: list[list] = [[] for _ in arrow]
             names = batch.schema.names
             values = [batch.column(names.index(n)).to_pylist() for n in ("file_id", "ext", "content")]
             for file_id, ext, text in zip(*values):
-                base += 1
                 if syntax.broken(ext, text):
                     continue
                 rows = lex_functions(ext, text, with_code)
@@ -244,7 +248,8 @@ def lexed_rows(files: DataFrame, with_code: bool = False) -> DataFrame:
                     continue
                 n = len(rows)
                 cols[0] += [file_id] * n
-                cols[1] += [base] * n
+                row = hashlib.blake2b(f"{file_id} {ext} ".encode() + text.encode("utf-8", "surrogatepass"), digest_size=8)
+                cols[1] += [int.from_bytes(row.digest(), "big", signed=True)] * n
                 for k, col in enumerate(zip(*rows), 2):
                     cols[k] += col
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
@@ -252,11 +257,17 @@ def lexed_rows(files: DataFrame, with_code: bool = False) -> DataFrame:
     return with_ext(files, EXTS).mapInArrow(run, st)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """The rows of a text that was delivered again under its id only once, in the partitions of the windows that follow."""
+    order = Window.partitionBy("copy").orderBy("pos")
+    return rows.withColumn("last", F.lag("pos").over(order)).where(F.col("last").isNull() | (F.col("last") != F.col("pos"))).drop("last")
+
+
 def functions(files: DataFrame, with_code: bool = False) -> DataFrame:
     """(file_id, copy, name, line_no, desc, start, end): functions with a body and the comment just before them."""
     order = Window.partitionBy("copy").orderBy("pos")
     rows = (
-        lexed_rows(files, with_code)
+        _once(lexed_rows(files, with_code))
         .withColumn("depth", F.sum("delta").over(order))
         .withColumn("before", F.lag("kind").over(order))
         .withColumn("doc", F.lag("desc").over(order))
@@ -289,7 +300,7 @@ def described_functions(files: DataFrame) -> DataFrame:
 def code_pairs(files: DataFrame) -> DataFrame:
     """(file_id, method_name, line_no, description, code): the text of each described function with its description."""
     order = Window.partitionBy("copy").orderBy("pos")
-    rows = lexed_rows(files, with_code=True)
+    rows = _once(lexed_rows(files, with_code=True))
     rows = (
         rows.withColumn("depth", F.sum("delta").over(order))
         .withColumn("before", F.lag("kind").over(order))

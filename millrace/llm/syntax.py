@@ -21,6 +21,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+import tokenize
 import warnings
 from xml.parsers import expat
 
@@ -576,8 +577,64 @@ def python_parses(text: str) -> bool:
             return True
         except (SyntaxError, ValueError):
             return False
-        except (RecursionError, MemoryError):  # nesting beyond the parser's stack is not a syntax error
-            return True
+        except (RecursionError, MemoryError):  # nesting beyond the parser's stack is not a syntax error: the rest decides
+            try:
+                compile(shallow(text), "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+                return True
+            except (SyntaxError, ValueError):
+                return False
+            except (RecursionError, MemoryError):
+                return True
+
+
+#: characters from which a statement can be too deep for the parser
+_DEEP_CHARS = 200
+
+
+def shallow(text: str) -> str:
+    """Python with ``pass``, or a header without parameters, for each statement that is too deep for the parser.
+
+    Lines keep their numbers.  The statements replaced are judged by their tokens and brackets only; a text that
+    can not be split into tokens raises SyntaxError.
+    """
+    lines = text.splitlines(keepends=True) if "\f" not in text else re.split(r"(?<=\n)", text)
+    try:
+        tokens = list(tokenize.generate_tokens(iter([*lines, ""]).__next__))
+    except tokenize.TokenError as e:
+        raise SyntaxError(str(e)) from None
+    start = None
+    for t in tokens:
+        if start is None and t.type not in (tokenize.NL, tokenize.COMMENT, tokenize.INDENT, tokenize.DEDENT, tokenize.NEWLINE):
+            start = t.start
+        if t.type != tokenize.NEWLINE or start is None:
+            continue
+        (a, col), b = start, t.start[0]
+        start = None
+        statement = "".join(lines[a - 1 : b])[col:]
+        if len(statement) < _DEEP_CHARS:
+            continue
+        head = re.match(r"(?:async\s+)?(?:def\s+\w+|class\s+\w+|if|elif|while|for|with|else|try|finally|except|match|case)\b", statement)
+        block = head is not None and re.search(r":\s*(?:#[^\n]*)?\Z", statement) is not None
+        alone = statement if head is None else re.sub(r"^el(?=if\b)", "", statement) + (" pass" if block else "")
+        try:
+            compile(alone, "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+            continue
+        except (SyntaxError, ValueError):
+            continue  # the whole text tells
+        except (RecursionError, MemoryError):
+            pass
+        word = head.group() if head is not None else ""
+        if re.match(r"(?:async\s+)?def\b", word):
+            short = f"{word}():"
+        elif word.startswith("class"):
+            short = f"{word}:"
+        elif word == "elif":
+            short = "elif 1:"
+        else:
+            short = "if 1:" if word else ""
+        lines[a - 1] = lines[a - 1][:col] + (short if block else f"{short} pass".lstrip()) + "\n"
+        lines[a:b] = ["\n"] * (b - a)
+    return "".join(lines)
 
 
 def xml_parses(text: str) -> bool:

@@ -1,6 +1,8 @@
 """Whole texts: notices, keys and functions that a prefix, a length or a depth would lose."""
 
-from millrace.llm import handwritten, secrets
+from pyspark.sql import functions as F
+
+from millrace.llm import docpairs, handwritten, secrets, syntax
 
 LICENCE = "/*\n" + " * Permission is granted to whom it may concern.\n" * 40 + " */\n"
 CLASS = "public class A {\n  int a;\n}\n"
@@ -63,3 +65,27 @@ def test_no_tokens_without_a_name():
     for text in (f"sha512-{mixed}==", f"data:image/png;base64,{mixed}", f"x=ENC({mixed})", f"http://h/a/{mixed}", f"digest: {mixed}", "org.apache.commons.lang3.StringUtils2", "d41d8cd98f00b204e9800998ecf8427e", "getElementByIdAndClass2Name4", f"# {mixed}{mixed}\n" * 3, f"-----BEGIN PUBLIC KEY-----\n{mixed}\n-----END PUBLIC KEY-----\n"):
         assert found(text, "yml") == [], text
     assert found(f"int {mixed} = 1;") == []
+
+
+DEEP = "x = " + " + ".join(["1"] * 20000)
+DOCUMENTED = 'def f(a):\n    """Return the rows that follow."""\n    ' + DEEP + "\n    return a\n\n\ndef g(b):\n    '''Give back the last value seen.'''\n"
+
+
+def test_functions_around_a_deep_expression(spark):
+    df = spark.createDataFrame([(1, "a.py", DOCUMENTED), (1, "a.py", DOCUMENTED), (2, "b.py", DEEP)], "file_id bigint, path string, content string").repartition(3)
+    got = [(r["file_id"], r["method_name"], r["line_no"]) for r in docpairs.described_functions(df).collect()]
+    assert sorted(got) == [(1, "f", 1), (1, "g", 7)]
+    assert sorted(r["method_name"] for r in docpairs.code_pairs(df).collect()) == ["f", "g"]
+
+
+def test_windows_are_keyed_by_the_row(spark):
+    rows = [(i, f"{i}.py", DOCUMENTED.replace(DEEP, "x = 1")) for i in range(40)]
+    df = spark.createDataFrame(rows, "file_id bigint, path string, content string")
+    keys = lambda d: {(r["file_id"], r["copy"]) for r in docpairs.lexed_rows(d).collect()}
+    assert keys(df.repartition(3)) == keys(df.orderBy(F.desc("file_id")).coalesce(1)) and len(keys(df)) == 40
+
+
+def test_deep_python_is_judged_elsewhere():
+    assert not syntax.broken("py", DEEP) and not syntax.broken("py", DOCUMENTED)
+    for bad in ("def f(:\n  pass\n", "x = (1\n", "  y = 1\n", "a b\n"):
+        assert syntax.broken("py", DEEP + "\n" + bad), bad
