@@ -52,12 +52,26 @@ _JS_HEAD = re.compile(
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-# Openings of comments that describe nothing.
+# Sentences that describe nothing; a sentence that only starts with one of their words is prose.
 _PLACEHOLDER = re.compile(
-    r"(?:todo|fixme|xxx|tbd|hack)\b|auto-?generated\s+(?:method|constructor|function)?\s*stub|(?:non-javadoc|inherited|inherit|see)\b"
-    r"|(?:document|add|write)\s+(?:me|this|documentation)\b|description of the method|deprecated\.?$",
+    r"(?:(?:todo|fixme|xxx|tbd)\b|hack\s*(?:[:!.(]|$)|auto-?generated\s+(?:(?:method|constructor|function)\s+)?stub\b"
+    r"|\(?non-javadoc\b\)?|inherit(?:ed)?(?:\s+(?:java)?doc\w*|\s+from\s+[^\s.]+(?:\.\w+)*|\s+(?:description|javadocs?|comments?))*\s*(?:[.!]|$)"
+    r"|see\s+(?:also\b|above\b|below\b|https?:|\{@|the\b|(?:super\w*|parent|base|interface|general|overridden|overriden|class|java-?docs?|docs?|documentation)\b|[\w.$]*[#(]|[\w$]+(?:\.[\w$]+)+|(?-i:\w*[a-z]\w*[A-Z]\w*)|\w+\s*(?:[.!]|$))"
+    r"|(?:document|add|write)\s+(?:me|this(?:\s+(?:method|function|constructor|class))?|documentation\b[^.]*)(?:\s+(?:here|later|soon|please))?\s*(?:[.!]|$)"
+    r"|description of the method\s*(?:[.:!]|$)|deprecated\s*(?:[.!]|$))(?P<rest>)",
     re.I,
 )
+_SENTENCE_END = re.compile(r"[.!?](?:\s+|$)")
+
+
+def prose(desc: str) -> str:
+    """``desc`` behind the placeholders it starts with."""
+    while desc and (m := _PLACEHOLDER.match(desc)) is not None:
+        end = _SENTENCE_END.search(desc, max(m.start("rest") - 1, 0))
+        desc = desc[end.end() :].lstrip() if end is not None else ""
+    return desc
+
+
 _BLOCK_TAG = re.compile(r"(?m)^\s*@[A-Za-z][\w.]*.*?(?=^\s*@[A-Za-z]|\Z)", re.S)
 _PY_FIELD = re.compile(r"(?m)^\s*:\w[^\n:]*:[^\n]*$|^\s*(?:Args|Arguments|Parameters|Returns|Raises|Yields)\s*:?\s*$.*\Z|^\s*>>>.*$", re.S)
 
@@ -91,7 +105,8 @@ _DRESSING = frozenset(
 
 def is_described(desc: str, name: str) -> bool:
     """True when ``desc`` holds a real sentence that is not just ``name`` spelt out."""
-    if not desc or _PLACEHOLDER.match(desc):
+    desc = prose(desc)
+    if not desc:
         return False
     if len(_CJK.findall(desc)) >= MIN_CJK:
         return True

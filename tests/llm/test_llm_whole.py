@@ -89,3 +89,10 @@ def test_deep_python_is_judged_elsewhere():
     assert not syntax.broken("py", DEEP) and not syntax.broken("py", DOCUMENTED)
     for bad in ("def f(:\n  pass\n", "x = (1\n", "  y = 1\n", "a b\n"):
         assert syntax.broken("py", DEEP + "\n" + bad), bad
+
+
+def test_placeholders_are_whole_sentences():
+    for text in ("Add this listener to the list that is told of changes.", "Write this record to the output stream and flush it.", "See whether the buffer holds another line.", "Inherited settings are merged before the request is sent.", "Hack to keep old clients working with it.", "TODO: explain. Returns the rows that are still open."):
+        assert docpairs.is_described(text, "f"), text
+    for text in ("TODO write a description of what happens here", "See Foo#bar for all of the details", "See java.util.List for all of the details.", "Inherited from the.parent.", "Add documentation for this method please.", "Document this method.", "Auto-generated method stub for the caller", "Description of the Method", "FIXME: what does this method do here?", "Hack: to be explained by someone later"):
+        assert not docpairs.is_described(text, "f"), text
