@@ -45,19 +45,32 @@ class _Classes(dict):
         return value
 
 
-#: levels of nesting that are reduced; deeper texts are only checked for matching brackets
-MAX_DEPTH = 1_000
-
-
-def nested(s: str) -> bool:
-    """True when the brackets of a class string match."""
-    stack = []
-    for c in s:
-        if c in "([{":
-            stack.append(c)
-        elif c in ")]}" and (not stack or stack.pop() + c not in ("()", "[]", "{}")):
-            return False
-    return not stack
+#: levels of nesting that are reduced in passes over the text; deeper regions are reduced as their brackets close
+MAX_DEPTH = 30
+_PIECE = re.compile(r"[^()\[\]{}]+|[()\[\]{}]")
+_CLOSER = {"(": ")", "[": "]", "{": "}"}
+
+
+def closed(s: str, region) -> str:
+    """``s`` with each bracketed region replaced by ``region(bracket, content)`` when its bracket closes; ``!`` where one fails."""
+    stack: list[tuple[str, list[str]]] = []
+    parts: list[str] = []
+    for piece in _PIECE.findall(s):
+        if piece in "([{":
+            stack.append((piece, parts))
+            parts = []
+        elif piece in ")]}":
+            if not stack or _CLOSER[stack[-1][0]] != piece:
+                return "!"
+            inner = "".join(parts)
+            bracket, parts = stack.pop()
+            symbol = region(bracket, inner)
+            if symbol == "!":
+                return "!"
+            parts.append(symbol)
+        else:
+            parts.append(piece)
+    return "!" if stack else "".join(parts)
 
 
 # --------------------------------------------------------------------- Java
@@ -275,12 +288,11 @@ def _java_brace(s: str) -> int:
 
 def _java_region(m) -> str:
     paren, bracket, brace = m.groups()
-    if bracket is not None:
-        key = ("[", bracket)
-    elif paren is not None:
-        key = ("(", paren)
-    else:
-        key = ("{", brace)
+    return _java_symbol(*(("[", bracket) if bracket is not None else ("(", paren) if paren is not None else ("{", brace)))
+
+
+def _java_symbol(opener: str, inner: str) -> str:
+    key = (opener, inner)
     hit = _JMEMO.get(key)
     if hit is None:
         s = key[1]
@@ -318,7 +330,9 @@ def java_reduces(classes: str) -> bool:
             break
         s = t
     else:
-        return nested(s)
+        s = closed(s, _java_symbol)
+        if "!" in s:
+            return False
     return _J["unit"].fullmatch(_java_clean(s)) is not None
 
 
@@ -479,7 +493,11 @@ def _js_stmts(s: str) -> bool:
 
 def _js_region(m) -> str:
     paren, bracket, brace = m.groups()
-    key = ("(", paren) if paren is not None else ("[", bracket) if bracket is not None else ("{", brace)
+    return _js_symbol(*(("(", paren) if paren is not None else ("[", bracket) if bracket is not None else ("{", brace)))
+
+
+def _js_symbol(opener: str, inner: str) -> str:
+    key = (opener, inner)
     hit = _SMEMO.get(key)
     if hit is None:
         s = key[1]
@@ -530,7 +548,9 @@ def js_reduces(classes: str) -> bool:
             break
         s = t
     else:
-        return nested(s)
+        s = closed(s, _js_symbol)
+        if "!" in s:
+            return False
     if re.search(r"[(){}\[\]]", s):
         return False
     return _js_stmts(s.strip("\n"))
@@ -564,7 +584,7 @@ def json_reduces(classes: str) -> bool:
             break
         s = t
     else:
-        return nested(s)
+        s = closed(s, lambda b, x: "V" if _JSON_PAIR.fullmatch(f"{b}{x}{_CLOSER[b]}") else "!")
     return s in ("V", "s", "l")
 
 

@@ -96,3 +96,15 @@ def test_placeholders_are_whole_sentences():
         assert docpairs.is_described(text, "f"), text
     for text in ("TODO write a description of what happens here", "See Foo#bar for all of the details", "See java.util.List for all of the details.", "Inherited from the.parent.", "Add documentation for this method please.", "Document this method.", "Auto-generated method stub for the caller", "Description of the Method", "FIXME: what does this method do here?", "Hack: to be explained by someone later"):
         assert not docpairs.is_described(text, "f"), text
+
+
+def test_deep_texts_are_reduced():
+    n = 1200
+    assert not syntax.broken("json", '{"a": ' * n + "1" + "}" * n)
+    assert syntax.broken("json", '{"a": ' * n + '{"b": "c": 1}' + "}" * n)
+    java = "class A { void f() { int x = " + "(" * n + "1%s" + ")" * n + ";%s } }"
+    assert not syntax.broken("java", java % ("", "")) and syntax.broken("java", java % ("", " 1 + 2;"))
+    deep = "class A { void f() { " + "{ " * n + "%s" + "} " * n + "} }"
+    assert not syntax.broken("java", deep % "g();") and syntax.broken("java", deep % "a + b;")
+    js = "var a = " + "[" * n + "%s" + "]" * n + ";"
+    assert not syntax.broken("js", js % "1, 2") and syntax.broken("js", js % "1; 2")
