@@ -353,8 +353,8 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
             if _decoded_login(inner):
                 spans.append((begin, end))
             continue
-        # long strings joined over several lines are encoded data
-        if accepts(kind, inner) and (kind or len(pieces) < 3 or key_shaped(inner)):
+        # strings joined to others are encoded data, also where a conflict marker parts them
+        if accepts(kind, inner) and (kind or len(pieces) == 1 and not before.rstrip().endswith("+") or key_shaped(inner)):
             spans.append((begin, end))
     # unquoted values
     if "=" in text or ":" in text or ">" in text or " / " in text or "@" in text:
@@ -396,7 +396,7 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
     spans += _long_tokens(text, ext, spaced)
     if not spans:
         return spans
-    spans.sort()
+    spans.sort(key=lambda s: (s[0], -s[1]))
     out = [spans[0]]
     for s in spans[1:]:
         if s[0] >= out[-1][1]:
