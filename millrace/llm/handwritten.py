@@ -1,16 +1,23 @@
 """P4 - files nobody in the project wrote by hand.
 
-Each file is lexed once and re-emitted in a canonical layout (one statement a
-line, single blanks).  Comparing the two gives the measures that decide:
-
-* ``expansion`` - canonical lines per original line: minified files explode;
-* ``uniformity`` - how far names and statements follow one numbered pattern:
-  generated files are perfectly regular;
-* ``literal_share`` - characters that are literals and the signs joining them:
-  data saved as code is little else.
-
-A notice of a tool in a leading comment also tells a generated file; place,
-notice or a package outside the project's own tell a copy.
+First stage, layout: each file of code is lexed and emitted again in a
+canonical layout (one statement a line, single blanks, four blanks a level).
+The original is compared with it:
+
+* ``expansion`` - canonical lines per original line of code: minified files explode;
+* ``tightness`` - how many of the blanks the canonical layout sets are missing;
+* ``regularity`` - original lines that start where the layout of the file says;
+* ``uniformity`` - canonical lines that carry on a numbered sequence (``f0``,
+  ``f1``, ... or constants that step by one): what a template emits follows
+  one, and in a perfectly regular layout;
+* ``literal_share`` - canonical characters that are literals and the signs
+  joining them: data saved as code is little else.
+
+Second stage, provenance: a notice of a tool in a comment or an annotation
+before the first member, or a place, a banner or a package that belongs to
+another project.  Generated text that looks like any other code and copies of
+hand-written code can be told by nothing else.  :func:`stage_counts` reports
+what each stage decides.
 
 Defined results: null content is never a case and empty content has no
 measures; a file whose repository is unknown is not judged by its package; a
@@ -20,7 +27,9 @@ file delivered again counts once.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,29 +38,36 @@ from .sources import map_rows, spread
 
 #: canonical lines per original line from which a file counts as minified
 MIN_EXPANSION = 2.5
+#: share of missing blanks from which a file counts as minified
+MIN_TIGHTNESS = 0.5
 #: share of literal characters from which a file counts as data
 MIN_LITERAL_SHARE = 0.8
 MIN_LITERALS = 4
 #: a single literal beyond this share of all literal characters is a long string, not a table
 MAX_SINGLE_SHARE = 0.5
-#: share of statements that follow the numbered pattern of a tool
-MIN_UNIFORMITY = 0.8
-#: first lines in which a notice may also stand behind the first declaration
-NOTICE_LINES = 30
+#: share of canonical lines in a numbered sequence, and of lines laid out regularly, from which a file counts as generated
+MIN_UNIFORMITY = 0.7
+MIN_REGULARITY = 0.9
 
 _SLASH = frozenset("java js css c ts jsx".split())
 _HASH = frozenset("py sh yml yaml properties".split())
 _MARKUP = frozenset("xml xsl opml html".split())
 _CODE = frozenset("java js py css".split())
 
-_TOKEN = re.compile(
-    r"(?P<c>/\*.*?(?:\*/|\Z)|//[^\n]*)|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<n>(?<![\w$])[-+]?(?:0[xX][\da-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[lLfFdD]?\b)|(?P<o>[\[\](){};,+])",
-    re.S,
-)
-_PY_TOKEN = re.compile(
-    r"(?P<c>#[^\n]*|(?:(?<=\n)|^)[ \t]*(?:\"\"\".*?\"\"\"|'''.*?''')[ \t]*(?=\n|$))|(?P<s>\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<n>(?<![\w$])[-+]?(?:0[xX][\da-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[jJ]?\b)|(?P<o>[\[\](){};,+])",
+_SLASH_LITERAL = re.compile(r"(?P<c>/\*.*?(?:\*/|\Z)|//[^\n]*)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
+_PY_LITERAL = re.compile(
+    r"(?P<c>#[^\n]*|(?:(?<=\n)|^)[ \t]*(?:\"\"\".*?\"\"\"|'''.*?''')[ \t]*(?=\n|$))|\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'",
     re.S,
 )
+_NUMBER = re.compile(r"(?<![\w$])[-+]?(?:0[xX][\da-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[lLfFdDjJ]?\b")
+_FOR = re.compile(r"\bfor\s*\([^;(){}]*;[^;{}]*;")
+_STATEMENT = re.compile(r"[^;{}]*[;{}]|[^;{}]+")
+_RULE = re.compile(r"[^}]*\}|[^}]+")
+_HEAD_LINE = re.compile(r"(?:import|package|from|use|using|include|require)\b")
+_ANNOTATIONS = re.compile(r"(?:@\w[\w.]*(?:\s*\([^()]*\))?\s*)+(?!interface\b)")
+_SEQUENCED = re.compile(r"([A-Za-z_$][A-Za-z_$]*?)(\d+)(?![\w$])")
+_BLANKED = re.compile(r"[;,{](?=(\S)?)")
+_JOINED = re.compile(r"(?:\"|\b\d[\w.]*)\s*[,+]")
 _COMMENT = {
     "slash": re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*", re.S),
     "hash": re.compile(r"(?m)(?:^|(?<=\s))[#!][^\n]*"),
@@ -110,69 +126,133 @@ _RELEASE = re.compile(
 _PLACES = frozenset(
     "third_party third-party thirdparty node_modules bower_components vendor vendors vendored external externals ext extern deps contrib-ext jspm_packages".split()
 )
-_TOOL_PLACE = re.compile(r"(?:^|/)(?:evosuite-tests|generated-sources|generated-src|build/generated|target/generated[\w-]*)/")
-_SOURCE_ROOT = re.compile(r"^(?:.*/)?(?:src/(?:main|test)/java|src/java|java/src|evosuite-tests|src)/")
+_TOOL_PLACE = re.compile(r"(?:^|/)(?:generated-sources|generated-src|generated|target/generated[\w-]*)/")
+_SOURCE_ROOT = re.compile(r"^(?:.*/)?(?:src/(?:main|test)/java|src/java|java/src|[\w-]*tests?|src)/")
 _PACKAGE = re.compile(r"(?m)^[\s\ufeff]*package\s+([\w.]+)\s*;")
-_NUMBERED_VAR = re.compile(r"\b[a-z]\w*?\d+\b")
-_TEST_METHOD = re.compile(r"\bvoid\s+test(\d+)\s*\(")
-_METHOD = re.compile(r"\b(?:void|int|long|boolean|String|[A-Z]\w*(?:<[^<>]*>)?)\s+(\w+)\s*\([^()]*\)\s*(?:throws\s+[\w., ]+)?\s*[{;]")
-
-
-def layout(ext: str, text: str) -> tuple[float, float, int, float]:
-    """``(expansion, literal_share, literals, share of the longest literal)`` of a file against its canonical layout."""
-    pattern = _PY_TOKEN if ext == "py" else _TOKEN
-    lines = parens = 0
-    literal = count = comment = data = longest = 0
-    after_literal = False
-    comment_lines = 0
-    for m in pattern.finditer(text):
-        kind = m.lastgroup
-        if kind == "c":
-            comment += m.end() - m.start()
-            comment_lines += text.count("\n", m.start(), m.end()) + 1
-        elif kind == "o":
-            c = m.group()
-            if c in "([":
-                parens += 1
-            elif c in ")]":
-                parens = max(parens - 1, 0)
-            elif c == "}" or c in ";{" and ext != "css" and (parens == 0 or c == "{"):
-                lines += 1  # a style sheet has a line for each rule, a program for each statement
-            if after_literal and c in ",+" or c in "[](){}" and ext in ("js", "py"):
-                data += 1
-        else:
-            size = m.end() - m.start()
-            literal += size
-            longest = max(longest, size)
-            count += 1
-            after_literal = True
+
+
+class Layout(NamedTuple):
+    """A text in canonical layout, and what the original shows against it."""
+
+    lines: list[str]
+    expansion: float = 0.0
+    tightness: float = 0.0
+    regularity: float = 0.0
+    uniformity: float = 0.0
+    literal_share: float = 0.0
+    literals: int = 0
+    single: float = 0.0
+
+
+def layout(ext: str, text: str) -> Layout:
+    """``text`` emitted in canonical layout (comments dropped, each string as ``"``), with the measures of the original."""
+    text = text.replace("\r\n", "\n")
+    literal = longest = strings = comment = comment_lines = 0
+
+    def bare(m: re.Match) -> str:
+        nonlocal literal, longest, strings, comment, comment_lines
+        size = m.end() - m.start()
+        if m.lastgroup == "c":
+            comment += size
+            breaks = text.count("\n", m.start(), m.end())
+            comment_lines += breaks + 1
+            return ""
+        literal += size
+        longest = max(longest, size)
+        strings += 1
+        return '"'
+
+    code = (_PY_LITERAL if ext == "py" else _SLASH_LITERAL).sub(bare, text)
+    if ext == "py":
+        statements = code.split("\n")
+    elif ext == "css":
+        statements = _RULE.findall(code)  # a style sheet has a line for each rule, a program for each statement
+    else:
+        statements = _STATEMENT.findall(_FOR.sub(lambda m: m.group().replace(";", ","), code))
+    lines: list[str] = []
+    own: list[tuple[int, str]] = []  # (level, blanks before it) of each statement that starts a line of the original
+    depth = 0
+    broken = 0
+    for s in statements:
+        t = s.strip()
+        if not t:
             continue
-        after_literal = kind == "o" and m.group() in ",+" and after_literal
+        lead, brk, blanks = s[: s.index(t[0])].rpartition("\n")
+        if ext == "py":
+            blanks, brk = s[: s.index(t[0])], "\n"
+            depth = len(blanks.expandtabs(4)) // 4
+        elif t == "}":
+            depth = max(depth - 1, 0)
+        if brk or not lines:
+            own.append((depth, blanks))
+        if "@" in t:
+            t = _ANNOTATIONS.sub("", t) or t
+        if "\n" in t:
+            broken += 1
+        lines.append(" " * (4 * depth) + (" ".join(t.split()) if "\n" in t or "  " in t or "\t" in t else t))
+        if t[-1] == "{" and ext not in ("py", "css"):
+            depth += 1
+        elif t[-1] == "}" and t != "}" and ext != "css":
+            depth = max(depth - 1, 0)
+    if not lines:
+        return Layout(lines)
+    numbers = _NUMBER.findall(code)
+    literal += sum(map(len, numbers))
+    longest = max(longest, max(map(len, numbers), default=0))
+    data = len(_JOINED.findall(code)) + (sum(map(code.count, "[](){}")) if ext in ("js", "py") else 0)
     white = sum(map(text.count, " \n\t\r"))
     solid = max(len(text) - white - comment, 1)
-    physical = text.count("\n") + (not text.endswith("\n"))
-    code_lines = max(physical - comment_lines, 1)
-    return lines / code_lines, min((literal + data) / solid, 1.0), count, longest / max(literal, 1)
+    physical = max(text.count("\n") + (not text.endswith("\n")) - comment_lines, 1)
+    set_blanks = [m.group(1) for m in _BLANKED.finditer(code)]
+    missing = sum(c is not None and c not in "})];," for c in set_blanks)
+    return Layout(
+        lines,
+        sum(x[-1] in ";{}" for x in lines) / physical,
+        missing / max(len(set_blanks), 1),
+        1 - (_irregular(own) + (broken if ext != "css" else 0)) / max(len(own), 1),
+        uniformity(lines),
+        min((literal + data) / solid, 1.0),
+        strings + len(numbers),
+        longest / max(literal, 1),
+    )
 
 
-def uniformity(ext: str, text: str) -> float:
-    """Share of methods and statements that follow a tool's numbered pattern (Java)."""
-    if ext != "java":
+def _irregular(own: list[tuple[int, str]]) -> int:
+    """Statements whose indentation is not the one most statements of their level have."""
+    seen: dict[int, Counter] = {}
+    for level, blanks in own:
+        seen.setdefault(level, Counter())[blanks] += 1
+    return len(own) - sum(c.most_common(1)[0][1] for c in seen.values())
+
+
+def uniformity(lines: list[str]) -> float:
+    """Share of canonical lines that carry on a numbered sequence.
+
+    A name belongs to one when the numbers at its end first occur in order,
+    without a gap, from 0 or 1 on.  A line also does when it differs from the
+    one before only in its words and in an integer that is one higher.
+    """
+    body = [t for x in lines if (t := x.strip()) not in "{}" and not _HEAD_LINE.match(t)]
+    if not body:
         return 0.0
-    tests = [int(n) for n in _TEST_METHOD.findall(text)]
-    if tests and tests == list(range(tests[0], tests[0] + len(tests))) and tests[0] in (0, 1):
-        methods = _METHOD.findall(text)
-        body = text[text.find("{") + 1 :]
-        statements = [s for s in re.split(r"[;{}\n]\s*", body) if re.search(r"[=(]", s) and not re.search(r"@\w+|\bvoid\b|\bcatch\b", s)]
-        numbered = sum(bool(_NUMBERED_VAR.search(s)) for s in statements)
-        named = sum(bool(re.fullmatch(r"test\d+", m)) for m in methods)
-        if methods and named == len(methods) and "throws Throwable" in text:
-            return numbered / len(statements) if statements else 1.0
-    fields = [int(n) for n in re.findall(r"\bprivate\s+\w+\s+field(\d+)\s*;", text)]
-    if fields and fields == list(range(len(fields))):
-        methods = _METHOD.findall(text)
-        return sum(bool(re.fullmatch(r"[gs]etField\d+", m)) for m in methods) / len(methods) if methods else 0.0
-    return 0.0
+    order: dict[str, list[int]] = {}
+    names: list[list[tuple[str, str]]] = []
+    for t in body:
+        found = _SEQUENCED.findall(t) if any(map(str.isdigit, t)) else []
+        names.append(found)
+        for stem, n in found:
+            seen = order.setdefault(stem, [])
+            if len(n) < 9 and (not seen or seen[-1] < int(n)):
+                seen.append(int(n))
+    steady = {stem for stem, seen in order.items() if seen and seen[0] in (0, 1) and seen == list(range(seen[0], seen[0] + len(seen)))}
+    stepping = [False] * len(body)
+    previous: tuple[str, list[str]] = ("", [])
+    for i, t in enumerate(body):
+        shape = (re.sub(r"\w+", "w", t), re.findall(r"(?<![\w$])\d{1,9}(?![\w$])", t))
+        if shape[0] == previous[0] and any(int(y) == int(x) + 1 for x, y in zip(previous[1], shape[1])):
+            stepping[i] = stepping[i - 1] = True
+        previous = shape
+    return sum(s or any(stem in steady for stem, _ in found) for s, found in zip(stepping, names)) / len(body)
 
 
 def _style(ext: str) -> str | None:
@@ -185,10 +265,26 @@ def head_end(ext: str, text: str) -> int:
     return next((m.start() for m in pattern.finditer(text) if m.lastgroup == "d"), len(text))
 
 
+#: the sign that ends the first statement or opens the first block behind a point
+_FIRST_END = {
+    "slash": re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?P<d>[;{}])", re.S),
+    "hash": re.compile(r"[#][^\n]*|(?P<d>\n)"),
+}
+
+
+def member_end(ext: str, text: str, head: int) -> int:
+    """Where the first member of the first declaration ends: a notice may also stand before or in that member."""
+    style = _style(ext)
+    if style not in _FIRST_END:
+        return head
+    ends = [m.end() for m, _ in zip((m for m in _FIRST_END[style].finditer(text, head) if m.lastgroup == "d"), range(2 if ext == "java" else 1))]
+    return ends[-1] if ends else len(text)
+
+
 def leading_comments(ext: str, text: str, end: int) -> Iterator[re.Match]:
     """The comments that start before ``end``, each to its own end."""
     style = _style(ext) or "markup"
-    for m in (_TOKEN if style == "slash" else _COMMENT[style]).finditer(text):
+    for m in (_SLASH_LITERAL if style == "slash" else _COMMENT[style]).finditer(text):
         if m.start() >= end:
             return
         if style != "slash" or m.lastgroup == "c":
@@ -196,21 +292,16 @@ def leading_comments(ext: str, text: str, end: int) -> Iterator[re.Match]:
 
 
 def notice(ext: str, path: str, text: str, head: int) -> bool:
-    """True when a comment or an annotation before the first declaration, which is at ``head``, or the place says that a tool wrote the file."""
-    at = -1
-    for _ in range(NOTICE_LINES):
-        at = text.find("\n", at + 1)
-        if at < 0:
-            break
-    head = len(text) if at < 0 else max(head, at)
-    if ext == "java" and "Generated" in text:
-        bare = _TOKEN.sub(lambda m: " " * len(m.group()) if m.lastgroup == "c" else m.group(), text)
-        if _ANNOTATED.search(bare, 0, head):
-            return True
+    """True when a comment or an annotation before the end of the first member, or the place, says that a tool wrote the file."""
     if _TOOL_PLACE.search(path):
         return True
     if _style(ext) is None:
         return False
+    head = member_end(ext, text, head)
+    if ext == "java" and "Generated" in text:
+        bare = _SLASH_LITERAL.sub(lambda m: " " * len(m.group()) if m.lastgroup == "c" else m.group(), text)
+        if _ANNOTATED.search(bare, 0, head):
+            return True
     for m in leading_comments(ext, text, head):
         c = re.sub(r"\s*\n\s*(?:\*|//|#)?\s*", " ", m.group())
         if _NOTICE.search(c) and not _STUB.search(c):
@@ -227,15 +318,14 @@ def copied(ext: str, path: str, text: str, head: int) -> bool:
             dirs = m.group(0).lower().strip("/").split("/")
     if any(d in _PLACES for d in dirs) or ext == "js" and "lib" in dirs:
         return True
-    first = _COMMENT[_style(ext) or "markup"].search(text)
-    end = max(head, first.end()) if first is not None and first.start() < 600 else head
-    release = 400
-    for m in leading_comments(ext, text, end):
+    head = member_end(ext, text, head)
+    banner = 0
+    for m in leading_comments(ext, text, head):
         if _COPIED.search(re.sub(r"\s+", " ", m.group())):
             return True
-        if not text[release if release > 400 else 0 : m.start()].strip():
-            release = max(release, m.end())
-    return ext in ("js", "css") and _RELEASE.match(text[:release]) is not None
+        if not text[banner : m.start()].strip():
+            banner = m.end()  # the comments before any code are one banner
+    return ext in ("js", "css") and _RELEASE.match(text[:banner]) is not None
 
 
 _BLOB = re.compile(r"[\"'`][A-Za-z0-9+/]{1000,}={0,2}[\"'`]")
@@ -247,44 +337,53 @@ _SHAPE = {
 }
 
 
-def judge(ext: str, path: str, text: str) -> tuple[list[str], float, float, float]:
+#: the reasons of the first stage; the others are provenance
+LAYOUT_REASONS = ("minified", "data", "uniform")
+
+
+def judge(ext: str, path: str, text: str) -> tuple[list[str], Layout]:
     """Reasons for which the file was not written by hand, and the measures."""
     reasons = []
-    expansion = share = uniform = 0.0
     text = text.removeprefix("\ufeff")
+    y = Layout([])
     if ext in _CODE and text and _SHAPE[ext].search(text):
-        expansion, share, literals, single = layout(ext, text)
-        uniform = uniformity(ext, text)
-        solid = len(text)
-        if ext != "py" and expansion >= MIN_EXPANSION and solid >= 80:
+        y = layout(ext, text)
+        if ext != "py" and y.expansion >= MIN_EXPANSION and y.tightness >= MIN_TIGHTNESS:
             reasons.append("minified")
-        if ext != "css" and share >= MIN_LITERAL_SHARE and (
-            literals >= MIN_LITERALS and single <= MAX_SINGLE_SHARE or _BLOB.search(text) is not None
+        if ext != "css" and y.literal_share >= MIN_LITERAL_SHARE and (
+            y.literals >= MIN_LITERALS and y.single <= MAX_SINGLE_SHARE or _BLOB.search(text) is not None
         ):
             reasons.append("data")
-        if uniform >= MIN_UNIFORMITY:
+        if y.uniformity >= MIN_UNIFORMITY and y.regularity >= MIN_REGULARITY:
             reasons.append("uniform")
     head = head_end(ext, text)
     if notice(ext, path, text, head):
         reasons.append("notice")
     if copied(ext, path, text, head):
         reasons.append("copy")
-    return reasons, expansion, share, uniform
+    return reasons, y
+
+
+#: projects up to which the table of root packages is sent to every task
+MAX_BROADCAST_REPOS = 1_000_000
 
 
 def judged_files(files: DataFrame, repos: DataFrame) -> DataFrame:
-    """(file_id, reasons, expansion, literal_share, uniformity) of every file with content.
+    """(file_id, reasons, and the measures) of every file with content.
 
-    ``repos`` is joined by broadcast: one row per project, a table of fixed size.
+    The root packages are broadcast up to MAX_BROADCAST_REPOS projects, which
+    are counted first; beyond that they are joined by a shuffle of the verdicts,
+    which carry no text.
     """
+    measures = ("expansion", "tightness", "regularity", "uniformity", "literal_share")
 
     def lex(cols: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("file_id", "repo_id", "package", "reasons", "expansion", "literal_share", "uniformity")}
+        out: dict[str, list] = {k: [] for k in ("file_id", "repo_id", "package", "reasons", *measures)}
         for file_id, repo_id, path, text in zip(cols["file_id"], cols["repo_id"], cols["path"], cols["content"]):
             path = path or ""
             name = path.rsplit("/", 1)[-1]
             ext = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-            reasons, expansion, share, uniform = judge(ext, path, text)
+            reasons, y = judge(ext, path, text)
             package = None
             if ext == "java":
                 m = _PACKAGE.search(text)
@@ -297,18 +396,19 @@ def judged_files(files: DataFrame, repos: DataFrame) -> DataFrame:
             out["repo_id"].append(repo_id)
             out["package"].append(package)
             out["reasons"].append(reasons)
-            out["expansion"].append(expansion)
-            out["literal_share"].append(share)
-            out["uniformity"].append(uniform)
+            for k in measures:
+                out[k].append(getattr(y, k))
         return out
 
     src = files.where(F.col("content").isNotNull()).select("file_id", "repo_id", "path", "content")
     lexed = map_rows(
         spread(src, "file_id"),
         lex,
-        "file_id bigint, repo_id bigint, package string, reasons array<string>, expansion double, literal_share double, uniformity double",
+        "file_id bigint, repo_id bigint, package string, reasons array<string>, " + ", ".join(f"{k} double" for k in measures),
     )
-    roots = F.broadcast(repos.select("repo_id", "root_package").where("root_package <> ''").dropDuplicates(["repo_id"]))
+    roots = repos.select("repo_id", "root_package").where("root_package <> ''").dropDuplicates(["repo_id"])
+    if roots.limit(MAX_BROADCAST_REPOS + 1).count() <= MAX_BROADCAST_REPOS:
+        roots = F.broadcast(roots)
     foreign = (
         F.col("package").isNotNull()
         & F.col("root_package").isNotNull()
@@ -316,11 +416,7 @@ def judged_files(files: DataFrame, repos: DataFrame) -> DataFrame:
         & ~F.startswith(F.col("package"), F.concat("root_package", F.lit(".")))
     )
     return lexed.join(roots, "repo_id", "left").select(
-        "file_id",
-        F.when(foreign, F.array_append("reasons", "package")).otherwise(F.col("reasons")).alias("reasons"),
-        "expansion",
-        "literal_share",
-        "uniformity",
+        "file_id", F.when(foreign, F.array_append("reasons", "package")).otherwise(F.col("reasons")).alias("reasons"), *measures
     )
 
 
@@ -330,5 +426,20 @@ def files_not_by_hand(files: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def file_reasons(files: DataFrame, repos: DataFrame) -> DataFrame:
-    """(file_id, reason): every reason for which a file was not written by hand."""
-    return judged_files(files, repos).select("file_id", F.explode("reasons").alias("reason")).distinct()
+    """(file_id, reason, stage): every reason for which a file was not written by hand."""
+    stage = F.when(F.col("reason").isin(*LAYOUT_REASONS), "layout").otherwise("provenance")
+    return judged_files(files, repos).select("file_id", F.explode("reasons").alias("reason")).withColumn("stage", stage).distinct()
+
+
+def stage_counts(files: DataFrame, repos: DataFrame) -> DataFrame:
+    """(reason, stage, files, alone): the files each reason holds for, and those no other stage finds."""
+    own = F.array_intersect("reasons", F.array(*map(F.lit, LAYOUT_REASONS)))
+    seen = judged_files(files, repos).where(F.size("reasons") > 0).select("file_id", F.array_sort("reasons").alias("reasons")).distinct()
+    single = (F.size(own) == 0) | (F.size(own) == F.size("reasons"))
+    stage = F.when(F.col("reason").isin(*LAYOUT_REASONS), "layout").otherwise("provenance")
+    return (
+        seen.select(single.alias("single"), F.explode("reasons").alias("reason"))
+        .groupBy("reason")
+        .agg(F.count("*").alias("files"), F.count_if("single").alias("alone"))
+        .select("reason", stage.alias("stage"), "files", "alone")
+    )

@@ -57,6 +57,12 @@ def _p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     return file_reasons(table(spark, d, "source_file"), table(spark, d, "repo"))
 
 
+def _p4_stages(spark: SparkSession, d: str) -> DataFrame:
+    from .handwritten import stage_counts
+
+    return stage_counts(table(spark, d, "source_file"), table(spark, d, "repo"))
+
+
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     from .parse_check import broken_files
 
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_pairs": _p3_pairs,
     "p4_found": _p4_found,
     "p4_reasons": _p4_reasons,
+    "p4_stages": _p4_stages,
     "p5_found": _p5_found,
     "p5_rates": _p5_rates,
     "p6_packing": _p6_packing,

@@ -277,6 +277,40 @@ def test_files_not_by_hand(spark):
     assert handwritten.files_not_by_hand(df.limit(0), repos).count() == 0
 
 
+LICENCE = "/*\n" + " * The licence grants a right to use the files of this project.\n" * 60 + " */\n"
+
+
+@pytest.mark.parametrize(
+    "ext,path,text,want",
+    [
+        ("java", "A.java", LICENCE + "import a.B;\n" * 50 + "// Generated by the parser generator. Do not edit.\nclass A {\n  int f;\n}\n", ["notice"]),
+        ("java", "A.java", "class A {\n  /* DO NOT EDIT: built from A.y */\n  int f;\n}\n", ["notice"]),
+        ("java", "A.java", "class A {\n  int f;\n  // do not edit the next line\n  int g;\n}\n", []),
+        ("js", "a.js", LICENCE + "// Copied from widgets 1.2 without a change\nvar a = 1;\n", ["copy"]),
+        ("js", "a.js", "var a=1;b(a);c(a,b);d(c);", ["minified"]),
+        ("js", "a.js", "var a = 1; b(a); c(a, b); d(c);\n", []),
+        ("java", "A.java", "class A {\n" + "".join(f"  int f{i};\n  int getF{i}() {{ return f{i}; }}\n" for i in range(6)) + "}\n", ["uniform"]),
+        ("py", "a.py", "import b\n" + "".join(f"ROW_{i} = make({i}, kind={i % 3})\n" for i in range(9)), ["uniform"]),
+        ("java", "A.java", "class A {\n" + "".join(f"  static final int T_{x} = {i};\n" for i, x in enumerate("ABCDEFG")) + "}\n", ["uniform"]),
+        ("java", "A.java", "class A {\n  int x1 = 4;\n    int other = y();\n  void test3() { run(x1); }\n  void go() { stop(); }\n}\n", []),
+    ],
+)
+def test_layout_and_notices(ext, path, text, want):
+    assert handwritten.judge(ext, path, text)[0] == want
+
+
+def test_canonical_layout():
+    y = handwritten.layout("java", "class A{int a;/* c */ void f(){for(int i=0;i<3;i++){g( \"x;\" );}}\n}")
+    assert y.lines == ["class A{", "    int a;", "    void f(){", "        for(int i=0,i<3,i++){", '            g( " );', "        }", "    }", "}"]
+    assert handwritten.layout("java", "") == handwritten.Layout([])
+
+
+def test_stages(spark):
+    df = files(spark, ("a.js", "var a=1;b(a);c(a,b);d(c);"), ("b.java", "// do not edit this file\nclass B {\n  int f;\n}\n"), ("c.java", None))
+    repos = spark.createDataFrame([(1, "my.own")], "repo_id bigint, root_package string")
+    assert {tuple(r) for r in handwritten.stage_counts(df.unionByName(df), repos).collect()} == {("minified", "layout", 1, 1), ("notice", "provenance", 1, 1)}
+
+
 # ----------------------------------------------------------------- packing
 def test_nnls_against_known_solution():
     a = np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 2.0]])
