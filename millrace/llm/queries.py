@@ -105,6 +105,18 @@ def _p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated(table(spark, d, "documents"))
 
 
+def _p8_reasons(spark: SparkSession, d: str) -> DataFrame:
+    from .truncation import cuts
+
+    return cuts(table(spark, d, "documents")).drop("state")
+
+
+def _p8_causes(spark: SparkSession, d: str) -> DataFrame:
+    from .truncation import cause_counts
+
+    return cause_counts(table(spark, d, "documents"))
+
+
 def _p8_rates(spark: SparkSession, d: str) -> DataFrame:
     from .truncation import truncation_rates
 
@@ -134,6 +146,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": _p7_found,
     "p7_report": _p7_report,
     "p8_found": _p8_found,
+    "p8_reasons": _p8_reasons,
+    "p8_causes": _p8_causes,
     "p8_rates": _p8_rates,
     "p8_hazards": _p8_hazards,
 }

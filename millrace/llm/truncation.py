@@ -5,9 +5,15 @@ bytes) gives a discrete hazard: of the texts that reach a length, the share
 that ends there.  A window over neighbouring lengths gives the hazard to be
 expected; lengths whose count is beyond it are kept under false-discovery
 control and are the source's field limits.  Endings are classed from the text
-itself.  An ending that plainly stops inside a word, sentence or block is a
-cut wherever it occurs, since transfers break at any length; an ending that
-could also be complete counts only at a significant length.
+itself.  Two classes come out:
+
+* ``limit`` - the text has a significant length, most texts of that length are
+  in excess of what its neighbours let expect, and it is not closed by a
+  sentence end, a tag, a block or the like.  A signature, a list entry or a
+  heading is no close there: at a limit the length is the evidence.
+* ``transfer`` - any other length.  Transfers break anywhere, so no length can
+  tell them; only an ending that plainly stops inside a word, a sentence or a
+  block counts.
 
 Defined results: null and empty text is never a case; a text that reaches a
 limit but ends well is none; documents repeated under new ids count each; a
@@ -30,6 +36,8 @@ NEIGHBOURS = 40
 FALSE_DISCOVERY = 0.01
 #: fewest texts of one length
 MIN_COUNT = 3
+#: share of the texts of one length that must be in excess of the expected number for the length to be a limit
+MIN_EXCESS = 0.5
 
 COMPLETE, WEAK, STRONG = 0, 1, 2
 
@@ -147,6 +155,19 @@ def _ending(t: str, kind: str | None) -> int:
     return WEAK
 
 
+def closed(text: str, kind: str | None = None) -> bool:
+    """True where the last line itself shows an end: a sentence end, a closed tag, fence, block or row, a status line."""
+    t = text.rstrip()
+    if not t or kind == "code" or t.count("```") % 2:
+        return ending(text, kind) == COMPLETE
+    last = t.rsplit("\n", 1)[-1].strip()
+    if last == "```" or _TAG.search(last) or _STATUS.search(last) or last.startswith("|") and last.endswith("|") and len(last) > 1:
+        return True
+    if _MARK.search(t) and not _REMARK.search(t):
+        return ending(text, kind) == COMPLETE
+    return _TERMINAL.search(last) is not None or last.endswith("}") and t.count("{") <= t.count("}")
+
+
 def length_hazards(documents: DataFrame) -> DataFrame:
     """(source, unit, length, n, at_risk, hazard, expected, p, significant) of every observed text length.
 
@@ -185,13 +206,13 @@ def length_hazards(documents: DataFrame) -> DataFrame:
 
 
 def endings(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, chars, bytes, state) of documents whose ending is not plainly complete."""
+    """(doc_id, source, chars, bytes, state) of documents that are not closed, or whose ending is not complete."""
 
     def scan(cols: dict) -> dict:
         out: dict[str, list] = {"doc_id": [], "source": [], "chars": [], "bytes": [], "state": []}
         for doc_id, source, kind, text in zip(cols["doc_id"], cols["source"], cols["doc_kind"], cols["text"]):
             state = ending(text, kind)
-            if state:
+            if state or not closed(text, kind):
                 out["doc_id"].append(doc_id)
                 out["source"].append(source)
                 out["chars"].append(len(text))
@@ -203,23 +224,53 @@ def endings(documents: DataFrame) -> DataFrame:
     return map_rows(spread(src, "doc_id"), scan, "doc_id bigint, source string, chars int, bytes int, state int")
 
 
-def truncated(documents: DataFrame) -> DataFrame:
-    """Distinct ``doc_id`` of documents that were cut."""
-    limits = length_hazards(documents).where("significant").select("source", "unit", "length")
-    ends = endings(documents)
+def cuts(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, cause, unit, length, excess, state): why each cut document counts as cut.
+
+    ``cause`` is ``limit`` with the unit and length of the limit that fits best
+    and the share of its texts that are in excess, or ``transfer`` with nulls.
+    """
+    limits = (
+        length_hazards(documents)
+        .where("significant")
+        .select("source", "unit", "length", (1 - F.col("expected") / F.col("n")).alias("excess"))
+        .where(F.col("excess") >= MIN_EXCESS)
+    )
     at = F.explode(
         F.array(
             F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")),
             F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")),
         )
     )
-    e = ends.select("doc_id", "source", "state", at.alias("u")).select("doc_id", "source", "state", "u.unit", "u.length")
+    e = endings(documents).select("doc_id", "source", "state", at.alias("u")).select("doc_id", "source", "state", "u.unit", "u.length")
     j = e.join(
-        limits.withColumn("limit", F.lit(1)).alias("l"),
+        limits.alias("l"),
         F.col("l.source").eqNullSafe(e["source"]) & (F.col("l.unit") == e["unit"]) & (F.col("l.length") == e["length"]),
         "left",
+    ).select("doc_id", e["source"], "state", "excess", F.when(F.col("excess").isNotNull(), F.struct("excess", e["unit"], e["length"])).alias("limit"))
+    return (
+        j.where(F.col("limit").isNotNull() | (F.col("state") == STRONG))
+        .groupBy("doc_id", "source")
+        .agg(F.max("limit").alias("limit"), F.max("state").alias("state"))
+        .select(
+            "doc_id", "source", F.when(F.col("limit").isNotNull(), "limit").otherwise("transfer").alias("cause"),
+            "limit.unit", "limit.length", F.round("limit.excess", 6).alias("excess"), "state",
+        )
+    )
+
+
+def truncated(documents: DataFrame) -> DataFrame:
+    """Distinct ``doc_id`` of documents that were cut."""
+    return cuts(documents).select("doc_id").distinct()
+
+
+def cause_counts(documents: DataFrame) -> DataFrame:
+    """(source, cause, unit, length, documents, by_length): cuts per cause; ``by_length`` are those no ending alone shows."""
+    return (
+        cuts(documents)
+        .groupBy("source", "cause", "unit", "length")
+        .agg(F.count("*").alias("documents"), F.count_if(F.col("state") != STRONG).alias("by_length"))
     )
-    return j.where((F.col("state") == STRONG) | F.col("limit").isNotNull()).select("doc_id").distinct()
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:

@@ -445,6 +445,25 @@ def test_truncated_edges(spark):
     assert {r["source"]: r["truncated"] for r in truncation.truncation_rates(d).collect()} == {None: 1, "a": 0}
 
 
+def test_causes(spark):
+    rng = np.random.default_rng(4)
+    entry = "Some words come first.\n\n- " + "x" * 30  # could be a whole list entry, were it not for its length
+    rows = [(entry[:-20] if i % 2 else "All is well here" + "y" * int(n) + ".", "en", "capped", "page") for i, n in enumerate(rng.integers(100, 900, 80))]
+    rows += [("Some words come first. They were cut in the mid", "en", "capped", "page"), (entry, "en", "free", "page"), ("Z" * (len(entry) - 21) + ".", "en", "capped", "page")]
+    d = docs(spark, rows)
+    got = {(r["doc_id"], r["cause"], r["unit"], r["length"]) for r in truncation.cuts(d).collect()}
+    n = len(entry) - 20
+    assert {(i, c, m) for i, c, _, m in got} == {(i, "limit", n) for i in range(2, 81, 2)} | {(81, "transfer", None)}
+    counts = {r["cause"]: (r["documents"], r["by_length"]) for r in truncation.cause_counts(d).collect()}
+    assert counts == {"limit": (40, 40), "transfer": (1, 0)}
+    assert truncation.cause_counts(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,want", [("It ends.", True), ("Regards\nthe team", False), ("- Other", False), ("| a | 7 |", True), ("x\n```\ny\n```", True), ("```\ny", False), ("<p>x</p>", True), ("", True)])
+def test_closed(text, want):
+    assert truncation.closed(text, "page") == want
+
+
 # ------------------------------------------------------------------- entry
 def test_registered():
     from millrace.llm.queries import QUERIES
@@ -453,7 +472,7 @@ def test_registered():
     assert found <= set(QUERIES) and "p6_packing" in QUERIES
 
 
-@pytest.mark.parametrize("name", ["p1_redacted", "p2_shares", "p3_pairs", "p4_reasons", "p5_rates", "p6_fill", "p7_report", "p8_rates", "p8_hazards"])
+@pytest.mark.parametrize("name", ["p1_redacted", "p2_shares", "p3_pairs", "p4_reasons", "p4_stages", "p5_rates", "p6_fill", "p7_report", "p8_reasons", "p8_causes", "p8_rates", "p8_hazards"])
 def test_queries_run(spark, data, name):
     from millrace.llm.queries import QUERIES
 
