@@ -1,10 +1,14 @@
 """P3 - functions paired with their documentation.
 
-Each parseable Java, Python or JavaScript file is lexed into rows (braces,
-documentation comments, function headers).  A cumulative sum over the rows of
-a file gives the nesting depth; within one depth every opening row and its
-closing row form an island, so ``lead`` over (file, depth) finds where the
-function ends; ``lag`` over the file attaches the comment before a header.
+Each parseable Java, Python or JavaScript file is lexed into rows: braces or
+indentation levels that open and close, documentation comments, function
+headers.  A cumulative sum over the rows of a file gives the nesting depth;
+within one depth every opening row and its closing row form an island, so
+``lead`` over (file, depth) finds where the function ends; ``lag`` over the
+file attaches the comment before a header, ``lead`` the docstring behind one.
+The rows carry marks, no text: the lexer, which holds the text, tells whether
+a description is a real sentence, and for :func:`code_pairs` cuts the code of a
+described function, with the functions inside it, as its last bracket closes.
 
 Defined results: null content gives no rows, an empty file none; files that do
 not parse are skipped; a row delivered again under one ``file_id`` gives the
@@ -16,7 +20,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
-import warnings
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,26 +123,39 @@ def is_described(desc: str, name: str) -> bool:
     return len(rest) > 0
 
 
-def lex_functions(ext: str, text: str, with_code: bool) -> list[tuple]:
-    """Rows ``(pos, kind, delta, name, line_no, desc, code)`` in order of ``pos``.
+class Row(NamedTuple):
+    """One lexed row; ``pos`` is its number in the file.
 
-    ``kind`` is D (documentation), F (function header and its opening brace),
-    O / C (other brace opens / closes), X (anything that parts a comment from
-    the next header).  ``code`` is the source since the previous row.
+    ``kind`` is D (documentation), F (a function header that opens its body),
+    O / C (anything else that opens / whatever closes), X (anything that parts
+    a comment from the next header).  ``real`` tells of an F that the comment
+    belonging to it describes it; ``desc`` and ``code`` are its texts.
     """
+
+    pos: int
+    kind: str
+    delta: int = 0
+    name: str | None = None
+    line_no: int | None = None
+    real: bool = False
+    desc: str | None = None
+    code: str | None = None
+
+
+def lex_functions(ext: str, text: str, with_code: bool) -> list[Row]:
+    """The rows of one file in order."""
     if ext == "py":
         return _lex_python(text, with_code)
-    rows: list[tuple] = []
+    rows: list[Row] = []
     head_re = _JAVA_HEAD if ext == "java" else _JS_HEAD
     buf: list[str] = []
-    seg_start = prev = done = 0
-    pending = False
+    seg_start = prev = 0
+    pending: tuple[str, int] | None = None  # the description that waits for its header, and where its comment ends
+    opened: list[tuple[int, int]] = []  # the row that opened each level, and where the code of a described function starts
     annotation = 0
 
-    def add(pos, end, kind, delta=0, name=None, line=None, desc=None):
-        nonlocal done
-        rows.append((pos, kind, delta, name, line, desc, text[done:end] if with_code else None))
-        done = end
+    def add(kind, delta=0, *rest):
+        rows.append(Row(len(rows), kind, delta, *rest))
 
     for m in _SCAN.finditer(text):
         start, end = m.span()
@@ -152,11 +169,11 @@ def lex_functions(ext: str, text: str, with_code: bool) -> list[tuple]:
                 buf_blank = not gap.strip() and not "".join(buf).strip()
             if buf_blank:
                 if text.startswith("/**", start) and end - start > 4:
-                    add(start, end, "D", desc=description(text[start + 3 : end - 2]))
-                    pending = True
+                    add("D")
+                    pending = description(text[start + 3 : end - 2]), end
                 elif pending:
-                    add(start, end, "X")
-                    pending = False
+                    add("X")
+                    pending = None
                 buf = []
                 seg_start = end
             else:
@@ -185,61 +202,133 @@ def lex_functions(ext: str, text: str, with_code: bool) -> list[tuple]:
                     if h.group(g) not in _NOT_NAMES:
                         name, at = h.group(g), h.start(g)
             if name is not None:
-                add(start, end, "F", 1, name, text.count("\n", 0, seg_start + at) + 1)
+                real = pending is not None and is_described(pending[0], name)
+                opened.append((len(rows), pending[1] if real else -1))
+                add("F", 1, name, text.count("\n", 0, seg_start + at) + 1, real, pending[0] if real and with_code else None)
             else:
-                add(start, end, "O", 1)
-            pending = False
+                opened.append((len(rows), -1))
+                add("O", 1)
+            pending = None
         elif c == "}":
             if annotation:
                 annotation -= 1
                 buf.append(" ")
                 continue
-            add(start, end, "C", -1)
-            pending = False
+            row, begin = opened.pop() if opened else (-1, -1)
+            if with_code and begin >= 0:
+                rows[row] = rows[row]._replace(code=text[begin:end].strip())
+            add("C", -1)
+            pending = None
         elif pending:
-            add(start, end, "X")
-            pending = False
+            add("X")
+            pending = None
         buf = []
         seg_start = end
     return rows
 
 
-def _lex_python(text: str, with_code: bool) -> list[tuple]:
+_PY_STRING = r"[rRbBuUfF]{0,2}(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*')"
+_PY_SCAN = re.compile(rf"(?P<s>{_PY_STRING})|#[^\r\n]*|(?P<o>[(\[{{])|(?P<x>[)\]}}])|\\\r?\n|(?P<n>\r\n|\n|\r|\Z)", re.S)
+_PY_DEF = re.compile(r"(?:async\s+)?def(?:\s|\\\r?\n)+(\w+)")
+_PY_BLANK = re.compile(r"[ \t\f]*(?:#[^\r\n]*)?")
+_PY_DOC = re.compile(rf"(?:\(\s*)*((?:{_PY_STRING}\s*)+)[\s)]*(?=[;#]|\Z)", re.S)
+
+
+def _logical_lines(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, column, end of the header) of each logical line; a header ends behind the colon of a line with a body of its own."""
+    out = []
+    at, depth, colon = 0, 0, -1
+    for m in _PY_SCAN.finditer(text):
+        kind = m.lastgroup
+        if kind == "o":
+            depth += 1
+        elif kind == "x":
+            depth = max(depth - 1, 0)
+            if depth == 0:
+                colon = m.end()
+        elif kind == "n" and depth == 0:
+            blank = _PY_BLANK.match(text, at, m.start())
+            if blank.end() < m.start():
+                col = 0
+                start = at
+                for c in text[at : m.start()]:
+                    if c == "\t":
+                        col = col // 8 * 8 + 8
+                    elif c == " ":
+                        col += 1
+                    elif c == "\f":
+                        col = 0
+                    else:
+                        break
+                    start += 1
+                out.append((start, m.start(), col, colon if colon > start else start))
+            at, colon = m.end(), -1
+    return out
+
+
+def _docstring(text: str) -> str | None:
+    """The string a statement starts with, when it is nothing else."""
+    m = _PY_DOC.match(text)
+    if m is None:
+        return None
+    try:
+        value = ast.literal_eval("(" + m.group(1) + ")")
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return None
+    return value if isinstance(value, str) else None
+
+
+def _lex_python(text: str, with_code: bool) -> list[Row]:
+    """Levels are those of indentation; a docstring is the row behind its header."""
     if text[:1] == "﻿":
         text = text[1:]
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            tree = compile(text, "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
-        except (RecursionError, MemoryError):  # the functions around the statements that are too deep
-            try:
-                tree = compile(syntax.shallow(text), "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
-            except (RecursionError, MemoryError, SyntaxError, ValueError):
-                return []
-    lines = re.split(r"(?<=\n)|(?<=\r)(?!\n)", text) if with_code else []
-    physical = text.count("\n") != len(text.splitlines()) - (not text.endswith(("\n", "\r")))
-    events = []
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and node.name != "__init__":
-            doc = ast.get_docstring(node, clean=False) if node.body else None
-            if doc is None:
-                continue
-            code = "".join(lines[node.lineno - 1 : node.end_lineno]) if with_code else None
-            events.append((node.lineno, node.name, description(doc, True), code))
-    events.sort(key=lambda e: e[0])
-    rows, pos = [], 0
-    for line, name, desc, code in events:
-        no = line
-        if physical and "\r" in text:  # the parser also counts a lone carriage return as a line
-            no = "".join(re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)[: line - 1]).count("\n") + 1
-        rows.append((pos, "D", 0, None, None, desc, None))
-        rows.append((pos + 1, "F", 1, name, no, None, None))
-        rows.append((pos + 2, "C", -1, None, None, None, code))
-        pos += 3
+    rows: list[Row] = []
+    levels: list[tuple[int, int, int]] = []  # column, opening row, start of the code
+    last = (0, 0, 0, 0)  # the logical line before
+
+    def close(col: int) -> None:
+        while levels and levels[-1][0] >= col:
+            _, row, begin = levels.pop()
+            if with_code and rows[row].real:
+                rows[row] = rows[row]._replace(code=text[begin : last[1]].strip("\r\n"))
+            rows.append(Row(len(rows), "C", -1))
+
+    def document(statement: str) -> None:
+        row = levels[-1][1]
+        head = rows[row]
+        if head.kind == "F" and (doc := _docstring(statement)) is not None:
+            desc = description(doc, True)
+            real = head.name != "__init__" and is_described(desc, head.name)
+            rows[row] = head._replace(real=real, desc=desc if real and with_code else None)
+            rows.append(Row(len(rows), "D"))
+
+    fresh = False  # the line before is a header
+    for line in _logical_lines(text):
+        start, end, col, header = line
+        if fresh and levels[-1][0] < col:
+            document(text[start:end])
+        fresh = False
+        close(col)
+        d = _PY_DEF.match(text, start, end)
+        if d is not None:
+            begin = start
+            while begin and text[begin - 1] in " \t":
+                begin -= 1
+            levels.append((col, len(rows), begin))
+            rows.append(Row(len(rows), "F", 1, d.group(1), text.count("\n", 0, d.start(1)) + 1))
+            body = re.compile(r"[^:#\r\n]*:\s*(?=[^\s#])").match(text, header, end)
+            if body is not None:
+                document(text[body.end() : end])
+            fresh = body is None
+        elif text.startswith("class", start):
+            levels.append((col, len(rows), start))
+            rows.append(Row(len(rows), "O", 1))
+        last = line
+    close(-1)
     return rows
 
 
-_SCHEMA = "file_id bigint, copy bigint, pos int, kind string, delta int, name string, line_no bigint, desc string, code string"
+_SCHEMA = "file_id bigint, copy bigint, pos int, kind string, delta int, name string, line_no bigint, real boolean, desc string, code string"
 
 
 def lexed_rows(files: DataFrame, with_code: bool = False) -> DataFrame:
@@ -259,7 +348,7 @@ def lexed_rows(files: DataFrame, with_code: bool = False) -> DataFrame:
                 if syntax.broken(ext, text):
                     continue
                 rows = lex_functions(ext, text, with_code)
-                if not rows or not any(r[1] == "D" and (with_code or r[5]) for r in rows):
+                if not any(r.real for r in rows):
                     continue
                 n = len(rows)
                 cols[0] += [file_id] * n
@@ -279,64 +368,35 @@ def _once(rows: DataFrame) -> DataFrame:
 
 
 def functions(files: DataFrame, with_code: bool = False) -> DataFrame:
-    """(file_id, copy, name, line_no, desc, start, end): functions with a body and the comment just before them."""
+    """(file_id, copy, name, line_no, real, desc, code, start, end): functions with a body and a documentation of their own."""
     order = Window.partitionBy("copy").orderBy("pos")
     rows = (
         _once(lexed_rows(files, with_code))
         .withColumn("depth", F.sum("delta").over(order))
         .withColumn("before", F.lag("kind").over(order))
-        .withColumn("doc", F.lag("desc").over(order))
-        # an opening row and its closing row share the level outside the braces
+        .withColumn("behind", F.lead("kind").over(order))
+        # an opening row and its closing row share the level outside the body
         .withColumn("level", F.col("depth") - F.greatest("delta", F.lit(0)))
     )
     island = Window.partitionBy("copy", "level").orderBy("pos")
     return (
         rows.where("delta <> 0")
         .withColumn("end", F.lead("pos").over(island))
-        .where((F.col("kind") == "F") & (F.col("before") == "D") & F.col("end").isNotNull())
-        .select("file_id", "copy", "name", "line_no", F.col("doc").alias("desc"), F.col("pos").alias("start"), "end")
+        .where((F.col("kind") == "F") & ((F.col("before") == "D") | (F.col("behind") == "D")) & F.col("end").isNotNull())
+        .select("file_id", "copy", "name", "line_no", "real", "desc", "code", F.col("pos").alias("start"), "end")
     )
 
 
-def _described(desc: str, name: str):
-    return F.udf(is_described, T.BooleanType(), useArrow=True)(desc, name)
-
-
 def described_functions(files: DataFrame) -> DataFrame:
     """Distinct (file_id, method_name, line_no) of functions whose comment holds a real sentence."""
-    found = functions(files).where(F.length("desc") > 0)
-    return (
-        found.where(_described("desc", "name"))
-        .select("file_id", F.col("name").alias("method_name"), "line_no")
-        .distinct()
-    )
+    return functions(files).where("real").select("file_id", F.col("name").alias("method_name"), "line_no").distinct()
 
 
 def code_pairs(files: DataFrame) -> DataFrame:
-    """(file_id, method_name, line_no, description, code): the text of each described function with its description."""
-    order = Window.partitionBy("copy").orderBy("pos")
-    rows = _once(lexed_rows(files, with_code=True))
-    rows = (
-        rows.withColumn("depth", F.sum("delta").over(order))
-        .withColumn("before", F.lag("kind").over(order))
-        .withColumn("doc", F.lag("desc").over(order))
-        .withColumn("level", F.col("depth") - F.greatest("delta", F.lit(0)))
-    )
-    heads = (F.col("kind") == "F") & (F.col("before") == "D") & (F.length("doc") > 0)
-    # a documented function opens an island; rows up to its closing brace belong to it
-    opener = Window.partitionBy("copy").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("head", F.last(F.when(heads, F.struct("pos", "level", "name", "line_no", "doc")), True).over(opener))
-    closed = Window.partitionBy("copy", "head.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    shut = F.coalesce(
-        F.max(F.when((F.col("kind") == "C") & (F.col("level") == F.col("head.level")), 1).otherwise(0)).over(closed), F.lit(0)
-    )
+    """(file_id, method_name, line_no, description, code): the whole text of each described function with its description."""
     return (
-        rows.where("head is not null")
-        .withColumn("shut", shut)
-        .where("shut = 0")
-        .groupBy("file_id", "copy", F.col("head.name").alias("method_name"), F.col("head.line_no").alias("line_no"), F.col("head.doc").alias("description"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("parts"))
-        .where(_described("description", "method_name"))
-        .select("file_id", "method_name", "line_no", "description", F.btrim(F.array_join("parts.code", ""), F.lit(" \t\r\n")).alias("code"))
+        functions(files, with_code=True)
+        .where("real")
+        .select("file_id", F.col("name").alias("method_name"), "line_no", F.col("desc").alias("description"), "code")
         .distinct()
     )

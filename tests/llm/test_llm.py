@@ -112,6 +112,75 @@ def test_functions_and_descriptions(spark):
     assert docpairs.described_functions(df.limit(0)).count() == 0
 
 
+NESTED = """class A {
+  /** Runs the outer job until the queue is empty. */
+  int outer(int x) {
+    Runnable r = new Runnable() {
+      /** Runs the nested job one more time. */
+      public void run() { x(); }
+    };
+    return x + 42;
+  }
+}
+"""
+NESTED_JS = """/** Opens the outer door for the whole team. */
+function outer(a) {
+  /** Opens the inner door for one of them. */
+  var inner = function (b) { return { c: b }; };
+  return inner(a);
+}
+"""
+NESTED_PY = '''class A:
+    @staticmethod
+    async def outer(
+        a="def no(): pass",
+    ) -> int:
+        # before the text
+        r\'\'\'Open the outer door
+        for the whole team.\'\'\'
+        def inner(b): "Open the inner door " "for one of them."; return b
+
+        if a:
+            """Not a docstring of any function here."""
+        return inner(a)
+
+    def last(self):
+        x = 1
+        """Not a docstring of the last function."""
+'''
+
+
+def test_code_of_nested_functions_is_whole(spark):
+    df = files(spark, ("A.java", NESTED), ("a.js", NESTED_JS), ("a.py", NESTED_PY))
+    got = {(r["file_id"], r["method_name"], r["line_no"]): (r["description"], r["code"]) for r in docpairs.code_pairs(df.unionByName(df)).collect()}
+    assert set(got) == {(1, "outer", 3), (1, "run", 6), (2, "outer", 2), (2, "inner", 4), (3, "outer", 3), (3, "inner", 9)}
+    assert got[1, "outer", 3][1] == NESTED[NESTED.index("int outer") : NESTED.rindex("}", 0, -3) + 1]
+    assert got[1, "run", 6][1] == "public void run() { x(); }"
+    assert got[2, "outer", 2][1] == NESTED_JS[NESTED_JS.index("function outer") :].strip()
+    assert got[2, "inner", 4][1].endswith("return { c: b }; }")
+    assert got[3, "outer", 3] == ("Open the outer door for the whole team.", NESTED_PY[NESTED_PY.index("    async") : NESTED_PY.index("\n\n    def last")])
+    assert got[3, "inner", 9][0] == "Open the inner door for one of them."
+
+
+def test_python_rows_against_the_parser():
+    import ast
+    import glob
+    import os
+
+    for path in glob.glob(os.path.dirname(ast.__file__) + "/[a-d]*.py") + [docpairs.__file__]:
+        with open(path, encoding="utf-8", newline="") as f:
+            text = f.read()
+        want = set()
+        for node in ast.walk(ast.parse(text)):
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef) and node.name != "__init__":
+                doc = ast.get_docstring(node, clean=False)
+                if doc is not None and docpairs.is_described(docpairs.description(doc, True), node.name):
+                    want.add((node.name, node.lineno))
+        rows = docpairs.lex_functions("py", text, False)
+        assert {(r.name, r.line_no) for r in rows if r.real} == want, path
+        assert sum(r.delta for r in rows) == 0
+
+
 def test_description_rules():
     d = lambda t: docpairs.description(t)
     assert d(" <p>Reads</p> {@link Foo bar}.\n * @return x") == "Reads Foo bar."
