@@ -21,6 +21,18 @@ def _p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted_files(table(spark, d, "source_file"))
 
 
+def _p1_redacted_jobs(spark: SparkSession, d: str) -> DataFrame:
+    from .secrets import redacted_jobs
+
+    return redacted_jobs(table(spark, d, "batch_job"))
+
+
+def _p1_rules(spark: SparkSession, d: str) -> DataFrame:
+    from .secrets import branch_counts
+
+    return branch_counts(table(spark, d, "source_file"))
+
+
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:
     from .nlcode import languages_in_code
 
@@ -132,6 +144,8 @@ def _p8_hazards(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_redacted": _p1_redacted,
+    "p1_redacted_jobs": _p1_redacted_jobs,
+    "p1_rules": _p1_rules,
     "p2_found": _p2_found,
     "p2_shares": _p2_shares,
     "p3_found": _p3_found,

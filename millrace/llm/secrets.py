@@ -4,9 +4,10 @@ Quoted strings and unquoted long tokens are the candidates.  Each is measured:
 its alphabet, its Shannon entropy against a threshold that grows with its
 length, and how often the character class changes.  A candidate is a secret
 when its shape alone is that of a generated key, or when it stands where a
-credential stands (a password-like name, an address, a login pair) and is
-strong enough to be one.  Hashes, identifiers, labels, references and
-placeholders are excluded first.
+credential stands (a password-like name, an address, a login pair) and its
+entropy reaches the lower threshold of a chosen password.  Hashes, identifiers,
+labels, references and placeholders are excluded first.
+:func:`branch_counts` reports how many places each rule decides.
 
 Defined results: null or empty text has no secrets; a row delivered again under
 one key gives the same places, counted once; masking keeps the length of the
@@ -31,6 +32,12 @@ from .sources import map_rows, spread
 MIN_LENGTH = 6
 #: share of the highest entropy a string of its length and alphabet can have
 ENTROPY_SHARE = 0.74
+#: the same for a password that was chosen, not generated, and stands under a credential's name
+CHOSEN_SHARE = 0.6
+#: the threshold of a chosen password does not grow beyond this length: people repeat
+CHOSEN_LENGTH = 16
+#: lower-case letters alone are a password from this length on
+LETTERS_LENGTH = 10
 
 # ------------------------------------------------------------------ measures
 _SETS = (
@@ -57,9 +64,9 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def threshold(value: str) -> float:
+def threshold(value: str, share: float = ENTROPY_SHARE) -> float:
     """The entropy a generated string of this length and alphabet reaches."""
-    return ENTROPY_SHARE * min(math.log2(max(len(value), 2)), math.log2(alphabet(value)))
+    return share * min(math.log2(max(len(value), 2)), math.log2(alphabet(value)))
 
 
 def changes(value: str) -> float:
@@ -155,6 +162,8 @@ def weak_secret(value: str) -> bool:
     if re.search(r"[(){}\[\]<>;]", v) or v.startswith(("/", "./", "../", "#")) and changes(v) < 0.3:
         return False
     letters, digits = any(c.isalpha() for c in v), any(c.isdigit() for c in v)
+    if entropy(v) < min(threshold(v, CHOSEN_SHARE), CHOSEN_SHARE * math.log2(CHOSEN_LENGTH)):
+        return False
     if letters and digits:
         return not re.fullmatch(r"v?\d++(?:\.\d++)+\w*|\d+(?:px|em|ms|s|kb|mb|gb|%)|[a-z]{1,3}\d{1,2}", v, re.I)
     if letters and len(re.findall(r"(?<![a-z])[a-z]{3,}[-_.](?=[a-z]{3})", v)) >= 3:
@@ -167,10 +176,16 @@ def weak_secret(value: str) -> bool:
     return key_shaped(v, True) or len(v) >= 20 and letters and changes(v) >= 0.3 and entropy(v) >= threshold(v)
 
 
+def letters_only(value: str) -> bool:
+    """A password of lower-case letters: long enough, not a few repeated, and no word for a credential."""
+    return value.isascii() and value.isalpha() and value.islower() and len(value) >= LETTERS_LENGTH and entropy(value) >= threshold(value, CHOSEN_SHARE) and not any(w in value for w in _CREDENTIAL_WORDS)
+
+
 # ------------------------------------------------------------------- context
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PASSWORDS = frozenset("password passwd passwort pass pwd pw passphrase secret credential credentials pin kennwort".split())
 _TOKENS = frozenset("token auth authorization apikey bearer".split())
+_CREDENTIAL_WORDS = ("password", "passwort", "passphrase", "credential", "authoriz", "placeholder", "required", "kennwort", "secret", "token")
 _HASHES = frozenset("digest checksum etag hash sha sha1 sha256 md5 commit uuid fingerprint crc revision sum integrity public".split())
 _LABELS = frozenset("label labels title hint text placeholder caption field form length size min max dir path file name url header cookie".split())
 
@@ -215,7 +230,8 @@ def accepts(kind: int, value: str) -> bool:
 
 
 _LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'')
-_JOIN = re.compile(r"\s*\+?\s*\Z|\s*\+\s*(?:\\\s*)?\Z")
+#: what stands between two literals that the source joins
+_JOIN = re.compile(r"[ \t\r\n\\]*\+[ \t\r\n\\]*")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"[\s\"'+#*/;\\nr,>|-]*[A-Za-z0-9+/=]{16,}")
@@ -270,7 +286,16 @@ def _decoded_login(value: str) -> bool:
 
 def find(text: str, ext: str = "") -> list[tuple[int, int]]:
     """Spans of the secret values in ``text``, in order and not overlapping."""
-    spans: list[tuple[int, int]] = []
+    return [(a, b) for a, b, _ in decided(text, ext)]
+
+
+def _named(value: str) -> str:
+    return "named, generated" if entropy(value) >= threshold(value) else "named, chosen"
+
+
+def decided(text: str, ext: str = "") -> list[tuple[int, int, str]]:
+    """The spans of :func:`find`, each with the rule that decides it."""
+    spans: list[tuple[int, int, str]] = []
     if len(text) < MIN_LENGTH:
         return spans
     if "PRIVATE KEY" in text:
@@ -279,33 +304,37 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
                 e = _PEM_END.search(text, m.end())
                 nxt = _PEM.search(text, m.end())
                 if e and (nxt is None or e.start() < nxt.start()):
-                    spans.append((m.start(), e.end()))
+                    spans.append((m.start(), e.end(), "private key"))
                 else:  # cut off: to the end of its last line of key material
                     end = m.end()
                     while (b := _PEM_BODY.match(text, end)) is not None:
                         end = b.end()
-                    spans.append((m.start(), end))
+                    spans.append((m.start(), end, "private key"))
     if "://" in text:
         at = 0
         while (m := _URL_LOGIN.search(text, at)) is not None and (e := _URL_LOGIN_END.search(text, m.end())) is not None:
             at, word = e.start(), text[m.end() : e.start()]
             if e.group() == "@" and len(word) >= 4 and re.match(r"[\w\[$%{]", text[e.end() : e.end() + 1]):
                 if not _PLACEHOLDER.match(word) and not re.match(r"[$%{<*@]", word):
-                    spans.append((m.end(), e.start()))
+                    spans.append((m.end(), e.start(), "address"))
     # quoted literals, joined where the source joins them
     last: list[tuple[int, int]] = []
     spaced: list[tuple[int, int]] = []
     lit_end = -1
     literals: list[list[tuple[int, int]]] = []
+    contexts: list[int] = []  # where the context of each literal starts: at the third literal before it
+    starts = [0, 0, 0, 0]
     for m in _LITERAL.finditer(text):
         span = m.span(1) if m.group(1) is not None else m.span(2)
-        if last and m.start() - lit_end < 200 and "+" in (gap := text[lit_end : m.start()]) and not gap.replace("+", "", 1).strip(" \t\r\n\\"):
+        if last and (j := _JOIN.match(text, lit_end)) is not None and j.end() == m.start():
             last.append(span)
         else:
             last = [span]
             literals.append(last)
+            contexts.append(starts[0])
+            starts = [*starts[1:], m.start()]
         lit_end = m.end()
-    for pieces in literals:
+    for pieces, context in zip(literals, contexts):
         begin, end = pieces[0][0], pieces[-1][1]
         value = text[begin:end] if len(pieces) == 1 else "".join(text[a:b] for a, b in pieces)
         if len(value) < MIN_LENGTH:
@@ -320,20 +349,22 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
                 spaced.append((begin, end))
                 continue
             scheme, word = inner.split(None, 1)
-            before = text[max(0, begin - 120) : begin - 1]
+            before = _statement(text, context, begin - 1)
             ok = _decoded_login(word) if scheme.lower() == "basic" else not _PLACEHOLDER.match(word) and weak_secret(word)
             if ok and len(pieces) == 1 and re.search(r"(?i)auth|token|header|key", before):
-                spans.append((begin + len(inner) - len(word), end))
+                spans.append((begin + len(inner) - len(word), end, "header"))
             continue
         if "://" in inner or inner.startswith("-----"):
             continue
+        plain = False
         if not any(c.isdigit() for c in inner) and len(inner) < 24 and not re.search(r"[a-z][-_.][a-z]+[-_.][a-z]+[-_.]|[^\w.\-/: ,]|[a-z][A-Z]|[A-Z]{2}", inner):
-            continue
+            plain = letters_only(inner)
+            if not plain:
+                continue
         opening = begin - (2 if inner is not value else 1)
-        before = text[max(0, opening - 240) : opening]
+        before = _statement(text, context, opening)
         kind = 0
-        m = _NAMED.search(before[-120:])
-        after = text[end + 1 : end + 60]
+        m = _NAMED.search(before)
         if m is not None:
             kind = name_kind(m.group(1))
             if kind == 0 and (a := _ATTRIBUTE.search(before)) is not None:
@@ -347,15 +378,19 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
                 kind = name_kind(e.group(1))
             elif _SHELL_P.search(before):
                 kind = 2
-        if kind == 0 and (e := _AFTER_EQUALS.match(after)) is not None:
+        if kind == 0 and (e := _AFTER_EQUALS.match(text, end + 1)) is not None:
             kind = name_kind(e.group(1) or e.group(2))
-        if kind == 0 and _DECODE.search(before[-40:]):
+        if kind == 0 and _DECODE.search(before):
             if _decoded_login(inner):
-                spans.append((begin, end))
+                spans.append((begin, end, "encoded"))
+            continue
+        if plain:
+            if kind == 2 and len(pieces) == 1:
+                spans.append((begin, end, "named, letters"))
             continue
         # strings joined to others are encoded data, also where a conflict marker parts them
         if accepts(kind, inner) and (kind or len(pieces) == 1 and not before.rstrip().endswith("+") or key_shaped(inner)):
-            spans.append((begin, end))
+            spans.append((begin, end, _named(inner) if kind else "shape" if key_shaped(inner) else "entropy"))
     # unquoted values
     if "=" in text or ":" in text or ">" in text or " / " in text or "@" in text:
         if ext not in ("java", "js", "py"):
@@ -363,11 +398,11 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
                 names = [m.group(1), *_ATTR_NAME.findall(m.group(2))]
                 kind = max(name_kind(n) for n in names)
                 if accepts(kind, m.group(3)):
-                    spans.append(m.span(3))
+                    spans.append((*m.span(3), _named(m.group(3)) if kind else "entropy"))
         elif "</" in text:
             for m in _ELEMENT.finditer(text):
                 if m.group(1) in _PASSWORDS and accepts(2, m.group(3)):
-                    spans.append(m.span(3))
+                    spans.append((*m.span(3), _named(m.group(3))))
         at = 0
         while (k := _KEYWORD.search(text, at)) is not None:
             start = text.rfind("\n", 0, k.start()) + 1
@@ -377,7 +412,7 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
             if text[stop - 1 : stop] == "\\" or text[stop - 2 : stop] == "\\\r":  # the value continues on the next line
                 stop = text.find("\n", stop + 1)
                 stop = len(text) if stop < 0 else stop
-            spans += [(start + a, start + b) for a, b in _unquoted(text[start:stop], ext)]
+            spans += [(start + a, start + b, _named(text[start + a : start + b])) for a, b in _unquoted(text[start:stop], ext)]
         at = text.find(" / ")
         while at >= 0:
             start = text.rfind("\n", 0, at) + 1
@@ -387,12 +422,12 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
                 if weak_secret(m.group(2)):
                     user = m.group(1)
                     if "@" in user or re.search(r"(?i)\b(?:login|mailbox|account|user|pw|password|credentials?)\b[^/]*$", text[start : m.start()]):
-                        spans.append(m.span(2))
+                        spans.append((*m.span(2), "login"))
             at = text.find(" / ", stop)
         if " (" in text and "@" in text:
-            spans += [m.span(1) for m in _PAREN_PAIR.finditer(text) if weak_secret(m.group(1))]
+            spans += [(*m.span(1), "login") for m in _PAREN_PAIR.finditer(text) if weak_secret(m.group(1))]
         if " -" in text:
-            spans += [m.span(1) for m in _SHELL.finditer(text) if weak_secret(m.group(1))]
+            spans += [(*m.span(1), "login") for m in _SHELL.finditer(text) if weak_secret(m.group(1))]
     spans += _long_tokens(text, ext, spaced)
     if not spans:
         return spans
@@ -404,6 +439,11 @@ def find(text: str, ext: str = "") -> list[tuple[int, int]]:
     return out
 
 
+def _statement(text: str, start: int, end: int) -> str:
+    """The text before ``end`` back to ``start``, or to the last sign that ends a statement or opens a block."""
+    return text[max(start, *(text.rfind(c, start, end) + 1 for c in ";{}")) : end]
+
+
 def _unquoted(line: str, ext: str) -> list[tuple[int, int]]:
     """Spans of unquoted values on one line (with its continuation) that names a credential."""
     out = []
@@ -421,7 +461,15 @@ def _unquoted(line: str, ext: str) -> list[tuple[int, int]]:
     return out
 
 
-def _long_tokens(text: str, ext: str, spaced: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _line_before(text: str, at: int) -> str:
+    """The last three blank-separated parts of the line before ``at``."""
+    start = at
+    for _ in range(3):
+        start = max(text.rfind(" ", 0, start), 0)
+    return text[max(start, text.rfind("\n", start, at) + 1) : at]
+
+
+def _long_tokens(text: str, ext: str, spaced: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """Spans of unquoted tokens whose shape or entropy alone makes them keys; in code only in comments and in ``spaced`` literals."""
     out = []
     commented = _Commented(text, ext)
@@ -431,7 +479,7 @@ def _long_tokens(text: str, ext: str, spaced: list[tuple[int, int]]) -> list[tup
         a, value = m.start(), m.group().rstrip(".-_/")
         if not (key_shaped(value) or random_token(value)) or _PLACEHOLDER.match(value):
             continue
-        before = text[max(0, text.rfind("\n", 0, a) + 1, a - 120) : a]
+        before = _line_before(text, a)
         if "://" in before.rpartition(" ")[2] or _HASHED.search(before):
             continue
         n = _NAMED.search(before.rstrip("\"'"))
@@ -444,7 +492,7 @@ def _long_tokens(text: str, ext: str, spaced: list[tuple[int, int]]) -> list[tup
             lines_end = b.end()
         if a < lines_end or any(b <= a < e for b, e in blocks):
             continue
-        out.append((a, a + len(value)))
+        out.append((a, a + len(value), "shape" if key_shaped(value) else "entropy"))
     return out
 
 
@@ -502,15 +550,31 @@ def _json_password(value: str) -> tuple[int, int] | None:
     return None
 
 
+_JOINT = r"[\"'][ \t\r\n\\]*(?:\+[ \t\r\n\\]*)?[\"']"
+
+
 def mask(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` with letters and digits inside the spans replaced by ``*``."""
+    """``text`` with every character of the spans replaced by ``x``.
+
+    The letter keeps all formats readable (a star is an alias in YAML and a
+    pattern in a shell).  A value over several lines or literals keeps its line
+    breaks, the comment signs its lines start with, the joints of its literals
+    and its escapes.
+    """
     if not spans:
         return text
     out, at = [], 0
     for a, b in spans:
         out.append(text[at:a])
-        # a value over several lines or literals keeps its breaks, quotes and joins
-        out.append(re.sub(r"[^\s\"'\\+#]", "*", text[a:b]) if "\n" in text[a:b] or '"' in text[a:b] else "*" * (b - a))
+        value = text[a:b]
+        if "\n" in value or '"' in value or "'" in value or "\\" in value:
+            lead = re.match(r"[ \t]*(#+|//+|\*|;|--|>)?", text[text.rfind("\n", 0, a) + 1 : a])
+            sign = re.escape(lead.group(1)) if lead and lead.group(1) else ""
+            keep = rf"\r?\n[ \t]*(?:{sign}[ \t]+)?|" if sign else r"\r?\n[ \t]*|"
+            value = re.sub(rf"({keep}{_JOINT}|\\.|\s)|(.)", lambda m: m.group(1) or "x", value, flags=re.S)
+        else:
+            value = "x" * (b - a)
+        out.append(value)
         at = b
     out.append(text[at:])
     return "".join(out)
@@ -573,3 +637,38 @@ def redacted_files(files: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9_]+)$", 1))
     src = files.where(F.length("content") >= MIN_LENGTH).select("file_id", ext.alias("ext"), "content")
     return map_rows(spread(src, "file_id"), scan, "file_id bigint, n_secrets int, content string").distinct()
+
+
+def redacted_jobs(jobs: DataFrame) -> DataFrame:
+    """(job_id, email, password) of the jobs that held secrets, with the secrets masked."""
+
+    def scan(cols: dict) -> dict:
+        out: dict[str, list] = {"job_id": [], "email": [], "password": []}
+        for job, email, password in zip(cols["job_id"], cols["email"], cols["password"]):
+            spans = find(email) if email else []
+            span = password_span(password) if password else None
+            if spans or span:
+                out["job_id"].append(job)
+                out["email"].append(mask(email, spans) if spans else email)
+                out["password"].append(mask(password, [span]) if span else password)
+        return out
+
+    return map_rows(jobs.select("job_id", "email", "password"), scan, "job_id bigint, email string, password string").distinct()
+
+
+def branch_counts(files: DataFrame) -> DataFrame:
+    """(rule, places): how many distinct places in contents each rule decides."""
+
+    def scan(cols: dict) -> dict:
+        out: dict[str, list] = {"row_id": [], "start": [], "rule": []}
+        for file_id, ext, text in zip(cols["file_id"], cols["ext"], cols["content"]):
+            for a, _, rule in decided(text, ext):
+                out["row_id"].append(file_id)
+                out["start"].append(a)
+                out["rule"].append(rule)
+        return out
+
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9_]+)$", 1))
+    src = files.where(F.length("content") >= MIN_LENGTH).select("file_id", ext.alias("ext"), "content")
+    places = map_rows(spread(src, "file_id"), scan, "row_id bigint, start bigint, rule string").distinct()
+    return places.groupBy("rule").agg(F.count("*").alias("places"))
