@@ -1,9 +1,10 @@
 """P5 - source files that do not parse.
 
 Every file is lexed into rows of adjacent token-class pairs, which are
-anti-joined against the pairs the grammar permits; a file whose bracketed
-regions or statements do not reduce to the language's productions contributes
-the row :data:`PRODUCTION` that no grammar permits.  Python, JSON, XML, XSL
+anti-joined against the pairs the grammar permits.  A file all of whose pairs
+are permitted, but whose bracketed regions or statements do not reduce to the
+language's productions, contributes the row :data:`PRODUCTION` that no grammar
+permits.  Python, JSON, XML, XSL
 and OPML productions are checked by their exact grammars.
 
 Defined results: null content is never broken; empty content is broken only
@@ -53,6 +54,13 @@ def broken_files(files: DataFrame, exts: tuple[str, ...] = syntax.PARSED) -> Dat
     return violations(files, exts).select("file_id").distinct()
 
 
+def broken_causes(files: DataFrame) -> DataFrame:
+    """(ext, cause, files): broken files told by a pair alone, and by their productions."""
+    per_file = violations(files).groupBy("file_id", "ext").agg(F.max("pair").alias("pair"))
+    cause = F.when(F.col("pair") == PRODUCTION, "production").otherwise("pair")
+    return per_file.groupBy("ext", cause.alias("cause")).agg(F.count("*").alias("files"))
+
+
 def broken_rates(files: DataFrame) -> DataFrame:
     """Files, broken files and their rate per repository and extension (each ``file_id`` once)."""
     once = (

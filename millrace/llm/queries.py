@@ -81,6 +81,12 @@ def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_files(table(spark, d, "source_file"))
 
 
+def _p5_causes(spark: SparkSession, d: str) -> DataFrame:
+    from .parse_check import broken_causes
+
+    return broken_causes(table(spark, d, "source_file"))
+
+
 def _p5_rates(spark: SparkSession, d: str) -> DataFrame:
     from .parse_check import broken_rates
 
@@ -154,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_reasons": _p4_reasons,
     "p4_stages": _p4_stages,
     "p5_found": _p5_found,
+    "p5_causes": _p5_causes,
     "p5_rates": _p5_rates,
     "p6_packing": _p6_packing,
     "p6_fill": _p6_fill,

@@ -667,9 +667,13 @@ def xml_parses(text: str) -> bool:
 
 
 # ----------------------------------------------------------------- pairs
+#: stand before the first and behind the last token, so that pairs also tell how a text may start and end
+START, END = "^", "$"
+
+
 def pair_codes(classes: str) -> list[int]:
     """Distinct adjacent pairs as ``left << 8 | right`` (classes are ASCII)."""
-    b = classes.replace("\n", "")
+    b = START + classes.replace("\n", "") + END
     return [ord(x) << 8 | ord(y) for x, y in set(zip(b, b[1:]))]
 
 
@@ -703,48 +707,66 @@ def _js_forbidden(a: str, b: str) -> bool:
     return a == "(" and b in "=B,]}o" or a in "SW" and b not in "(:,;}=.?"
 
 
+def _ends(starts: str, ends: str, empty: bool) -> list[int]:
+    """Pairs of the first and of the last token with the edges of the text."""
+    pairs = [(START, c) for c in starts] + [(c, END) for c in ends] + [(START, END)] * empty
+    return [ord(a) << 8 | ord(b) for a, b in pairs]
+
+
 def _json_allowed() -> list[int]:
     ok = ["{s", "{}", "s:", "s,", "s}", "s]", ":s", ":l", ":{", ":[", ",s", ",l", ",{", ",[", "l,", "l}", "l]", "[s", "[l", "[{", "[[", "[]", "},", "}}", "}]", "],", "]}", "]]"]
     return [ord(p[0]) << 8 | ord(p[1]) for p in ok]
 
 
+def _but(alphabet: str, without: str) -> str:
+    return "".join(c for c in alphabet if c not in without)
+
+
 def permissible_pairs() -> list[tuple[str, int]]:
     """Every adjacent pair of token classes a language's grammar allows (a few thousand rows at most)."""
     return (
-        [("java", c) for c in _pairs(_JAVA_ALL, _java_forbidden)]
-        + [("js", c) for c in _pairs(_JS_ALL, _js_forbidden)]
-        + [("json", c) for c in _json_allowed()]
+        [("java", c) for c in _pairs(_JAVA_ALL, _java_forbidden) + _ends("Mmq@ceRi;", "};", True)]
+        + [("js", c) for c in _pairs(_JS_ALL, _js_forbidden) + _ends(_but(_JS_ALL, ")]},.?:=B*oEKkfx"), _but(_JS_ALL, "=B+*~([{,.?:oN_qcCvxTIFWSOwM"), True)]
+        + [("json", c) for c in _json_allowed() + _ends("{[sl", "}]sl", False)]
     )
 
 
 PARSED = ("java", "py", "js", "json", "xml", "xsl", "opml")
 
 
+_ALLOWED: dict[str, set[int]] = {}
+
+
+def permitted(ext: str, codes: list[int]) -> bool:
+    """True when all adjacent pairs are in the table of the language (or it has none)."""
+    if not _ALLOWED:
+        for lang, code in permissible_pairs():
+            _ALLOWED.setdefault(lang, set()).add(code)
+    return ext not in _ALLOWED or _ALLOWED[ext].issuperset(codes)
+
+
+_LEXERS = {"java": (java_classes, java_reduces), "js": (js_classes, js_reduces), "json": (json_classes, json_reduces)}
+
+
 def analyse(ext: str, text: str) -> tuple[bool, list[int]]:
-    """``(productions reduce, distinct adjacent pairs)`` of one file."""
-    if text[:1] == "﻿":
+    """``(productions reduce, distinct adjacent pairs)`` of one file.
+
+    A file with a pair that is not permitted is broken by that pair alone, so
+    its productions are not tried and count as reduced.
+    """
+    if text[:1] == "\ufeff":
         text = text[1:]
-    if ext == "java":
-        c = java_classes(text)
-        return java_reduces(c), pair_codes(c)
-    if ext == "js":
-        c = js_classes(text)
-        return js_reduces(c), pair_codes(c)
-    if ext == "json":
-        c = json_classes(text)
-        return json_reduces(c), pair_codes(c)
+    if ext in _LEXERS:
+        lex, reduces = _LEXERS[ext]
+        c = lex(text)
+        codes = pair_codes(c)
+        return not permitted(ext, codes) or reduces(c), codes
     if ext == "py":
         return python_parses(text), []
     return xml_parses(text), []
 
 
-_ALLOWED: dict[str, set[int]] = {}
-
-
 def broken(ext: str, text: str) -> bool:
     """The verdict of the parse check for one text, for operators that skip broken files as they lex."""
-    if not _ALLOWED:
-        for lang, code in permissible_pairs():
-            _ALLOWED.setdefault(lang, set()).add(code)
     ok, codes = analyse(ext, text)
-    return not ok or bool(codes) and not _ALLOWED[ext].issuperset(codes)
+    return not ok or not permitted(ext, codes)

@@ -73,6 +73,19 @@ def test_broken_files_edges(spark):
     assert rates["java"] == (4, 2) and rates["json"] == (1, 1)
 
 
+def test_causes_of_broken_files(spark):
+    df = files(spark, ("a.java", "class A { int x = ; }"), ("b.java", "class A { void f() { brea } }"), ("c.json", "[1]]"), ("d.py", "def f(:"), ("e.java", JAVA), ("f.java", None), ("g.java", "class A { void f() {"), ("h.json", "{"))
+    got = {(r["ext"], r["cause"]): r["files"] for r in parse_check.broken_causes(df.unionByName(df)).collect()}
+    assert got == {("java", "pair"): 2, ("java", "production"): 1, ("json", "pair"): 1, ("json", "production"): 1, ("py", "production"): 1}
+
+
+@pytest.mark.parametrize("n", [10, 900, 1_100, 5_000])
+def test_broken_at_any_depth(n):
+    assert syntax.broken("java", "class A{ x y z w; int a=" + "(" * n + "1" + ")" * n + "; }")
+    assert syntax.broken("json", "[" * n + '"a":1' + "]" * n)
+    assert not syntax.broken("java", "class A{ int a=" + "(" * n + "1" + ")" * n + "; }")
+
+
 def test_pairs_alone_find_malformed_neighbours(spark):
     assert ids(parse_check.violations(files(spark, ("a.java", "class A { int x = ; }"))).where(f"pair <> {parse_check.PRODUCTION}").select("file_id").distinct()) == [1]
 
@@ -613,7 +626,7 @@ def test_registered():
     assert found <= set(QUERIES) and "p6_packing" in QUERIES
 
 
-@pytest.mark.parametrize("name", ["p1_redacted", "p1_redacted_jobs", "p1_rules", "p2_shares", "p3_pairs", "p4_reasons", "p4_stages", "p5_rates", "p6_fill", "p7_report", "p8_reasons", "p8_causes", "p8_rates", "p8_hazards"])
+@pytest.mark.parametrize("name", ["p1_redacted", "p1_redacted_jobs", "p1_rules", "p2_shares", "p3_pairs", "p4_reasons", "p4_stages", "p5_causes", "p5_rates", "p6_fill", "p7_report", "p8_reasons", "p8_causes", "p8_rates", "p8_hazards"])
 def test_queries_run(spark, data, name):
     from millrace.llm.queries import QUERIES
 
