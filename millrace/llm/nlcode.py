@@ -153,7 +153,7 @@ def texts(language: str, contents: list[str]) -> tuple[list[int], list[str]]:
         if f == last[0] and k == last[2] and k != masks.BLOCK_COMMENT:
             between = data[last[1] : b]
             if k == masks.STRING:
-                same = len(between) < 400 and not between.translate(None, drop)
+                same = not between.translate(None, drop)
             else:
                 same = between.count(b"\n") <= 1 and between.strip() in (b"/", b"#", b"")
         else:
@@ -224,9 +224,10 @@ class Models:
 
         The mean log probability decides, raised by WORD_WEIGHT times the
         share of function words, which carries sentences whose content words
-        the bounded sample never held.  A sentence without any function word
-        of its language must reach that language's floor with as many
-        lower-case words as a sentence needs words.
+        the bounded sample never held.  The best language must reach its floor
+        with the score raised by WORD_MARGIN for each of at most two function
+        words; without any, as many lower-case words are asked for as a
+        sentence needs words.
         """
         if not lines:
             return []
@@ -244,7 +245,7 @@ class Models:
         over, own = (s[at] - self.floor[best]).tolist(), hits[at].tolist()
         out: list[str | None] = []
         for words, b, o, h in zip(split, best.tolist(), over, own):
-            if h >= 2 or h == 1 and o >= -WORD_MARGIN or o >= 0 and sum(w.islower() for w in words) >= MIN_WORDS:
+            if o + WORD_MARGIN * min(h, 2) >= 0 and (h or sum(w.islower() for w in words) >= MIN_WORDS):
                 out.append(self.languages[b])
             else:
                 out.append(None)
@@ -253,11 +254,10 @@ class Models:
 
 #: how far below the 1 % quantile of its training sentences a sentence may score
 FLOOR_MARGIN = 0.45
-#: further allowance for a sentence that holds one function word
-WORD_MARGIN = 2.5
+#: what each of the first two function words of a sentence adds to its score against the floor
+WORD_MARGIN = 2.0
 #: weight of the share of function words against the mean log probability
 WORD_WEIGHT = 2.0
-_MODELS: dict[int, Models] = {}
 
 
 def training_lines(documents: DataFrame) -> dict[str, list[str]]:
@@ -301,18 +301,15 @@ def training_lines(documents: DataFrame) -> dict[str, list[str]]:
 
 def language_rows(files: DataFrame, documents: DataFrame) -> DataFrame:
     """(file_id, nl_lang, chars, file_chars): characters of sentences per file delivery and language."""
-    lines = files.sparkSession.sparkContext.broadcast(training_lines(documents))
+    # fitted once; the tables have 27**4 rows and a column for each language, whatever the input
+    fitted = files.sparkSession.sparkContext.broadcast(Models(training_lines(documents)))
     st = T._parse_datatype_string("file_id bigint, nl_lang string, chars bigint, file_chars bigint")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(st)
 
     def run(batches):
-        key = hash(tuple((k, len(v), *v[-50:]) for k, v in lines.value.items()))
-        models = _MODELS.get(key)
-        if models is None:
-            _MODELS.clear()
-            models = _MODELS[key] = Models(lines.value)
+        models = fitted.value
         for batch in batches:
             names = batch.schema.names
             ids, exts, contents = (batch.column(names.index(n)).to_pylist() for n in ("file_id", "ext", "content"))
