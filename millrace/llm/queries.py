@@ -111,6 +111,12 @@ def _p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks_exact(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def _p7_near(spark: SparkSession, d: str) -> DataFrame:
+    from .leakage import leaks_near
+
+    return leaks_near(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def _p7_report(spark: SparkSession, d: str) -> DataFrame:
     from .leakage import leak_report
 
@@ -165,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_packing": _p6_packing,
     "p6_fill": _p6_fill,
     "p7_found": _p7_found,
+    "p7_near": _p7_near,
     "p7_report": _p7_report,
     "p8_found": _p8_found,
     "p8_reasons": _p8_reasons,

@@ -538,7 +538,59 @@ def test_leaks_against_brute_force(spark):
         leakage.leaks_exact(d, it, q=32, stride=16)
 
 
+def test_items_in_blocks(spark, monkeypatch):
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    it = spark.createDataFrame([(k, "s", say(k)) for k in range(40)] + [(90, "s", None), (91, "s", say(3))], "item_id bigint, suite string, text string")
+    d = docs(spark, [(f"Before. {say(k)}! After", "en", "s", "page") for k in range(50)])
+    want = {(k, k + 1) for k in range(40)} | {(91, 4)}
+    assert {tuple(r) for r in leakage.leaks_exact(d, it).collect()} == want
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 1_500)
+    monkeypatch.setattr(leakage, "STEP_HITS", 7)
+    assert len(list(leakage._blocks(it))) > 3
+    assert {tuple(r) for r in leakage.leaks_exact(d, it).collect()} == want
+
+
+def test_near_leaks_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    letters = list("abcdefgh ")
+    say = lambda n: "".join(rng.choice(letters, n))
+    items = [(i, "s", " ".join(say(110).split()) + " a b c d e f g h a b c d e f g h a b c d") for i in range(4)]
+    out = []
+    for k in range(60):
+        part = list(" ".join(leakage.words(items[k % 4][2]))[int(rng.integers(0, 40)) :][: int(rng.integers(45, 80))])
+        for _ in range(int(rng.integers(0, 5))):
+            j = int(rng.integers(0, len(part)))
+            part[j : j + 1] = [["z"], ["z", part[j]], []][int(rng.integers(0, 3))]
+        out.append(say(40) + "".join(part) + say(40))
+    out += [None, "", "a"]
+    d = docs(spark, [(t, "en", "s", "page") for t in out])
+    it = spark.createDataFrame([*items, (8, "s", None), (9, "s", "")], "item_id bigint, suite string, text string")
+    chars, edits = 50, 2
+
+    def near(doc, item):
+        for a in range(len(item) - chars + 1):
+            row = np.zeros(len(doc) + 1, int)  # edits of the window so far against any stretch that ends here
+            for x in item[a : a + chars]:
+                new = np.minimum(row[1:] + 1, row[:-1] + (np.array(list(doc)) != x))
+                row = np.concatenate([[row[0] + 1], new])
+                row = np.minimum.accumulate(row - np.arange(len(row))) + np.arange(len(row))
+            if row.min() <= edits:
+                return True
+        return False
+
+    norm = [" ".join(leakage.words(t or "")) for t in out]
+    want = {(i, k) for k, t in enumerate(norm, 1) for i, _, x in items if near(t, " ".join(leakage.words(x)))}
+    got = {(r["item_id"], r["doc_id"]): (r["chars"], r["edits"]) for r in leakage.leaks_near(d, it, chars, edits, 8, 4).collect()}
+    assert set(got) == want and 10 < len(want) < 60
+    assert all(n >= chars and 0 <= e <= edits for n, e in got.values())
+    assert leakage.leaks_near(d, it.limit(0)).count() == 0 and leakage.leaks_near(d.limit(0), it).count() == 0
+    with pytest.raises(ValueError):
+        leakage.leaks_near(d, it, 50, 5)
+
+
 def test_banded_alignment():
+    assert leakage.near_stretch("xxabcdefyy", "abcdef", 2, 2, 0) == (6, 0)
+    assert leakage.near_stretch("abcxdef", "abcdef", 0, 0, 1) == (6, -1)
     assert leakage.aligned("abcdef", "abcdef", 0) == 0 and leakage.aligned("abc", "abd", 0) is None
     assert leakage.aligned("abcdef", "abxdef", 1) == 1
     assert leakage.aligned("abcdef", "abdef", 1) == 1
@@ -626,7 +678,7 @@ def test_registered():
     assert found <= set(QUERIES) and "p6_packing" in QUERIES
 
 
-@pytest.mark.parametrize("name", ["p1_redacted", "p1_redacted_jobs", "p1_rules", "p2_shares", "p3_pairs", "p4_reasons", "p4_stages", "p5_causes", "p5_rates", "p6_fill", "p7_report", "p8_reasons", "p8_causes", "p8_rates", "p8_hazards"])
+@pytest.mark.parametrize("name", ["p1_redacted", "p1_redacted_jobs", "p1_rules", "p2_shares", "p3_pairs", "p4_reasons", "p4_stages", "p5_causes", "p5_rates", "p6_fill", "p7_near", "p7_report", "p8_reasons", "p8_causes", "p8_rates", "p8_hazards"])
 def test_queries_run(spark, data, name):
     from millrace.llm.queries import QUERIES
 
