@@ -1,14 +1,16 @@
 """P6 - filling containers of fixed capacity with texts measured in tokens.
 
-Only the histogram of piece lengths reaches the driver; it has one entry per
-length up to the capacity, whatever the number of documents.  Patterns of up
-to three length classes that fill a container are enumerated, their repeat
-counts are fitted to the histogram by non-negative least squares and rounded,
-and what is left is packed into the gaps and into new containers, longest
-first into the tightest place.  The plan is a list of segments "of length l,
-ranks a..b go to containers c.."; every piece finds its place from its length
-and its rank among the pieces of that length, which is computed in shards so
-that no length, however common, is one task's work.
+The plan of a capacity is made from the histogram of piece lengths, one task
+for each capacity; it has one entry per length up to the capacity, whatever the
+number of documents.  Patterns of up to three length classes that fill a
+container are enumerated, their repeat counts are fitted to the histogram by
+non-negative least squares and rounded, and what is left is packed into the
+gaps and into new containers, longest first into the tightest place.  The plan
+is a list of segments "of length l, ranks a..b go to containers c.."; every
+piece finds its place from its length and its rank among the pieces of that
+length, which is computed in shards so that no length, however common, is one
+task's work.  The full containers cut from a long text take no part in the
+plan: they are numbered by a running sum over texts, not over pieces.
 
 Defined results: null and empty texts have no tokens and get no container; a
 text longer than the capacity is cut into full containers and one rest, all
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import bisect
 import os
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -37,8 +40,9 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: length classes of the fit; a class is ``capacity / CLASSES`` tokens wide
 CLASSES = 512
-#: shards in which the pieces of one length are ranked
+#: fewest shards in which the pieces of one length are ranked, and the texts for which one more is added
 SHARDS = 64
+SHARD_TEXTS = 200_000
 
 _ENCODERS: dict[str, object] = {}
 
@@ -121,6 +125,8 @@ def active_set(n: int, column: Callable, transpose: Callable, b: np.ndarray, rou
             active = [i for i, k in zip(active, keep) if k]
             gram, right, matrix = gram[np.ix_(keep, keep)], right[keep], matrix[:, keep]
         gradient = transpose(b - matrix @ x[active])
+    else:
+        warnings.warn(f"the fit stopped after {rounds} rounds; what it leaves is packed as residuals", stacklevel=2)
     return x
 
 
@@ -244,6 +250,10 @@ class Plan:
             self.left[length] = 0
         self.groups = [g for free in keys for g in by_free[free]]
 
+    @property
+    def containers(self) -> int:
+        return sum(g[0] for g in self.groups)
+
     def segments(self) -> tuple[np.ndarray, ...]:
         """Sorted arrays (length, first rank, first container, pieces per container)."""
         seen: dict[int, int] = {}
@@ -278,42 +288,62 @@ def _locate(plans: dict[int, tuple[np.ndarray, ...]]):
     return place
 
 
+_SEGMENTS = "target_id int, capacity int, containers long, length long, start long, base long, each long"
+
+
+def _fit(rows):
+    """The segments of one capacity from its histogram (``length``, ``n``)."""
+    import pandas as pd
+
+    capacity = int(rows["capacity"].iloc[0])
+    h = np.zeros(capacity + 1, np.int64)
+    h[rows["length"].to_numpy()] = rows["n"].to_numpy()
+    plan = Plan(capacity, h)
+    length, start, base, each = plan.segments()
+    out = {"length": length, "start": start, "base": base, "each": each}
+    return pd.DataFrame({"target_id": rows["target_id"].iloc[0], "capacity": capacity, "containers": plan.containers, **out}, index=range(len(length)))
+
+
 def pack(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
     """(target_id, container_id, doc_id, piece, token_start, n_tokens): where every text goes.
 
-    ``targets`` is a table of a few capacities; it and one histogram per target
-    are all that the driver sees.
+    ``targets`` is a table of a few capacities; it and the segments of each
+    plan are all that the driver sees.
     """
     sized = cut(token_counts(documents, tokenizers).where("n_tokens > 0"))
     wanted = [(r["target_id"], r["capacity_tokens"]) for r in targets.select("target_id", "capacity_tokens").distinct().collect()]
     if any(c is None or c < 1 for _, c in wanted):
         raise ValueError("a capacity is below one token")
     spark = documents.sparkSession
+    shards = max(SHARDS, -(-sized.count() // SHARD_TEXTS))
     caps = F.array(*[F.struct(F.lit(int(t)).alias("target_id"), F.lit(int(c)).alias("capacity")) for t, c in wanted])
-    # full containers cut from long texts, and the rest, for every capacity
-    pieces = (
+    if not wanted:
+        caps = F.lit(None).cast("array<struct<target_id:int,capacity:int>>")
+    texts = (
         sized.select("doc_id", "n_tokens", F.inline(caps))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr("(n_tokens - 1) div capacity").cast("int"))))
-        .withColumn("token_start", (F.col("piece") * F.col("capacity")).cast("int"))
-        .withColumn("length", F.least(F.col("capacity"), F.col("n_tokens") - F.col("token_start")).cast("int"))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)).cast("int"))
-        .select("target_id", "length", "shard", "doc_id", "piece", "token_start")
+        .withColumn("full", F.expr("n_tokens div capacity").cast("int"))
+        .withColumn("length", (F.col("n_tokens") - F.col("full") * F.col("capacity")).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
     )
-    counts = cut(pieces.groupBy("target_id", "length", "shard").agg(F.count("*").alias("n")))
+    # every text, or what is left of one beyond its full containers, by the plan
+    rests = texts.where("length > 0").select("target_id", "capacity", "length", "shard", "doc_id", F.col("full").alias("piece"))
+    counts = cut(rests.groupBy("target_id", "capacity", "length", "shard").agg(F.count("*").alias("n")))
+    histogram = counts.groupBy("target_id", "capacity", "length").agg(F.sum("n").alias("n"))
+    # a number of its own keeps the few keys apart: adaptive execution would put the small histograms into one task
+    apart = histogram.repartition(8 * max(len(wanted), 1), "target_id")
+    segments = apart.groupBy("target_id").applyInPandas(_fit, _SEGMENTS).toPandas()
     plans = {}
-    histogram = counts.groupBy("target_id", "length").agg(F.sum("n").alias("n")).collect()
-    for t, c in wanted:
-        h = np.zeros(c + 1, np.int64)
-        for r in histogram:
-            if r["target_id"] == t:
-                h[r["length"]] = r["n"]
-        plans[int(t)] = Plan(c, h).segments()
+    planned = {int(t): 0 for t, _ in wanted}
+    for t, rows in segments.groupby("target_id"):
+        plans[int(t)] = tuple(rows[k].to_numpy() for k in ("length", "start", "base", "each"))
+        planned[int(t)] = int(rows["containers"].iloc[0])
     shared = spark.sparkContext.broadcast(plans)
     ahead = Window.partitionBy("target_id", "length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    offsets = counts.select("target_id", "length", "shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     own = Window.partitionBy("target_id", "length", "shard").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("r", F.row_number().over(own)).join(offsets, ["target_id", "length", "shard"])
-    ranked = ranked.select("target_id", "doc_id", "piece", "token_start", "length", (F.col("r") - 1 + F.col("ahead")).alias("rank"))
+    ranked = rests.withColumn("r", F.row_number().over(own)).join(offsets, ["target_id", "length", "shard"])
+    start = (F.col("piece") * F.col("capacity")).cast("int").alias("token_start")
+    ranked = ranked.select("target_id", "doc_id", "piece", start, "length", (F.col("r") - 1 + F.col("ahead")).alias("rank"))
 
     def assign(cols: dict) -> dict:
         place = _locate(shared.value)
@@ -327,7 +357,23 @@ def pack(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS)
             "n_tokens": cols["length"],
         }
 
-    return map_rows(ranked, assign, "target_id int, container_id bigint, doc_id bigint, piece int, token_start int, n_tokens int")
+    placed = map_rows(ranked, assign, "target_id int, container_id bigint, doc_id bigint, piece int, token_start int, n_tokens int")
+    # full containers: numbered behind the planned ones
+    long = texts.where("full > 0").select("target_id", "capacity", "shard", "doc_id", "n_tokens", "full")
+    before = Window.partitionBy("target_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sums = long.groupBy("target_id", "shard").agg(F.sum("full").alias("n")).select("target_id", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("target_id", "shard").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = long.withColumn("r", F.coalesce(F.sum("full").over(inside), F.lit(0))).join(sums, ["target_id", "shard"])
+    base = F.element_at(F.create_map(*[F.lit(x) for pair in planned.items() for x in pair]), F.col("target_id")) if planned else F.lit(0)
+    full = numbered.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).select(
+        "target_id",
+        (base + F.col("ahead") + F.col("r") + F.col("piece")).cast("bigint").alias("container_id"),
+        "doc_id",
+        F.col("piece").cast("int").alias("piece"),
+        start,
+        F.col("capacity").cast("int").alias("n_tokens"),
+    )
+    return placed.unionByName(full)
 
 
 def fill(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:

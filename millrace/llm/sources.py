@@ -15,14 +15,21 @@ def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9_]+)$", 1))
 
 
+#: bytes of a scan (as the planner estimates them) that one task of a lexer should take at most
+TASK_BYTES = 64 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores.
+    """``df`` over at least as many partitions as there are cores, and no partition far beyond TASK_BYTES.
 
     A scan has as many tasks as its files have splits; the lexers cost far more
     than the scan, so a few large splits are dealt out by a unique key.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = cores if size >= 1 << 55 else max(cores, -(-size // TASK_BYTES))  # beyond that the planner knows no size
+    parts = df.rdd.getNumPartitions()
+    return df.repartition(wanted, key) if parts < cores or 2 * parts < wanted else df
 
 
 def with_ext(files: DataFrame, exts: tuple[str, ...], content: str = "content") -> DataFrame:

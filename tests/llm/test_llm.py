@@ -512,6 +512,24 @@ def test_packing_round_trip(spark):
     assert packing.pack(d.limit(0), targets).count() == 0
 
 
+def test_packing_edges(spark):
+    d = docs(spark, [("x " * 700, "en", "s", "page")] * 3 + [(None, "en", "s", "page"), ("", "en", "s", "page")])
+    targets = spark.createDataFrame([(1, 50)], "target_id int, capacity_tokens int")
+    rows = packing.pack(d, targets).collect()
+    assert {r["n_tokens"] for r in rows} <= {50, next(r["n_tokens"] for r in rows if r["n_tokens"] < 50)}
+    assert sorted({r["container_id"] for r in rows}) == list(range(len({r["container_id"] for r in rows})))
+    assert packing.pack(d, targets.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(d, spark.createDataFrame([(1, 0)], "target_id int, capacity_tokens int"))
+
+
+def test_unfinished_fit_says_so():
+    rng = np.random.default_rng(0)
+    a = rng.random((20, 40))
+    with pytest.warns(UserWarning, match="stopped after 2 rounds"):
+        packing.active_set(40, lambda j: a[:, j], lambda r: a.T @ r, rng.random(20), rounds=2)
+
+
 # ----------------------------------------------------------------- leakage
 def test_leaks_against_brute_force(spark):
     rng = np.random.default_rng(5)
