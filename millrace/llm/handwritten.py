@@ -66,6 +66,9 @@ _RULE = re.compile(r"[^}]*\}|[^}]+")
 _HEAD_LINE = re.compile(r"(?:import|package|from|use|using|include|require)\b")
 _ANNOTATIONS = re.compile(r"(?:@\w[\w.]*(?:\s*\([^()]*\))?\s*)+(?!interface\b)")
 _SEQUENCED = re.compile(r"([A-Za-z_$][A-Za-z_$]*?)(\d+)(?![\w$])")
+_DIGIT = re.compile(r"\d")
+_INTEGER = re.compile(r"(?<![\w$])\d{1,9}(?![\w$])")
+_SHAPED = re.compile(r"\w+")
 _BLANKED = re.compile(r"[;,{](?=(\S)?)")
 _JOINED = re.compile(r"(?:\"|\b\d[\w.]*)\s*[,+]")
 _COMMENT = {
@@ -131,6 +134,9 @@ _SOURCE_ROOT = re.compile(r"^(?:.*/)?(?:src/(?:main|test)/java|src/java|java/src
 _PACKAGE = re.compile(r"(?m)^[\s\ufeff]*package\s+([\w.]+)\s*;")
 
 
+_INDENT = [" " * (4 * n) for n in range(32)]
+
+
 class Layout(NamedTuple):
     """A text in canonical layout, and what the original shows against it."""
 
@@ -189,7 +195,10 @@ def layout(ext: str, text: str) -> Layout:
             t = _ANNOTATIONS.sub("", t) or t
         if "\n" in t:
             broken += 1
-        lines.append(" " * (4 * depth) + (" ".join(t.split()) if "\n" in t or "  " in t or "\t" in t else t))
+            t = " ".join(t.split())
+        elif "  " in t or "\t" in t:
+            t = " ".join(t.split())
+        lines.append(_INDENT[depth] + t if depth < 32 else " " * (4 * depth) + t)
         if t[-1] == "{" and ext not in ("py", "css"):
             depth += 1
         elif t[-1] == "}" and t != "}" and ext != "css":
@@ -219,10 +228,11 @@ def layout(ext: str, text: str) -> Layout:
 
 def _irregular(own: list[tuple[int, str]]) -> int:
     """Statements whose indentation is not the one most statements of their level have."""
-    seen: dict[int, Counter] = {}
-    for level, blanks in own:
-        seen.setdefault(level, Counter())[blanks] += 1
-    return len(own) - sum(c.most_common(1)[0][1] for c in seen.values())
+    each = Counter(own)
+    most: dict[int, int] = {}
+    for (level, _), n in each.items():
+        most[level] = max(most.get(level, 0), n)
+    return len(own) - sum(most.values())
 
 
 def uniformity(lines: list[str]) -> float:
@@ -236,23 +246,27 @@ def uniformity(lines: list[str]) -> float:
     if not body:
         return 0.0
     order: dict[str, list[int]] = {}
-    names: list[list[tuple[str, str]]] = []
-    for t in body:
-        found = _SEQUENCED.findall(t) if any(map(str.isdigit, t)) else []
-        names.append(found)
+    names: list[tuple[int, list[str]]] = []  # (line, stems of its numbered names)
+    stepping: set[int] = set()
+    previous: tuple[int, str, list[str]] = (-1, "", [])
+    for i, t in enumerate(body):
+        if _DIGIT.search(t) is None:
+            continue
+        found = _SEQUENCED.findall(t)
+        if found:
+            names.append((i, [stem for stem, _ in found]))
         for stem, n in found:
             seen = order.setdefault(stem, [])
             if len(n) < 9 and (not seen or seen[-1] < int(n)):
                 seen.append(int(n))
+        numbers = _INTEGER.findall(t)
+        if numbers:
+            shape = _SHAPED.sub("w", t)
+            if (i - 1, shape) == previous[:2] and any(int(y) == int(x) + 1 for x, y in zip(previous[2], numbers)):
+                stepping |= {i - 1, i}
+            previous = i, shape, numbers
     steady = {stem for stem, seen in order.items() if seen and seen[0] in (0, 1) and seen == list(range(seen[0], seen[0] + len(seen)))}
-    stepping = [False] * len(body)
-    previous: tuple[str, list[str]] = ("", [])
-    for i, t in enumerate(body):
-        shape = (re.sub(r"\w+", "w", t), re.findall(r"(?<![\w$])\d{1,9}(?![\w$])", t))
-        if shape[0] == previous[0] and any(int(y) == int(x) + 1 for x, y in zip(previous[1], shape[1])):
-            stepping[i] = stepping[i - 1] = True
-        previous = shape
-    return sum(s or any(stem in steady for stem, _ in found) for s, found in zip(stepping, names)) / len(body)
+    return len(stepping | {i for i, stems in names if not steady.isdisjoint(stems)}) / len(body)
 
 
 def _style(ext: str) -> str | None:
