@@ -8,9 +8,9 @@ control and are the source's field limits.  Endings are classed from the text
 itself.  Two classes come out:
 
 * ``limit`` - the text has a significant length, most texts of that length are
-  in excess of what its neighbours let expect, and it is not closed by a
-  sentence end, a tag, a block or the like.  A signature, a list entry or a
-  heading is no close there: at a limit the length is the evidence.
+  in excess of what its neighbours let expect, and its ending is not complete.
+  A heading, a list entry of a few words or the like, which could be complete
+  elsewhere, counts there: at a limit the length is the evidence.
 * ``transfer`` - any other length.  Transfers break anywhere, so no length can
   tell them; only an ending that plainly stops inside a word, a sentence or a
   block counts.
@@ -37,7 +37,7 @@ FALSE_DISCOVERY = 0.01
 #: fewest texts of one length
 MIN_COUNT = 3
 #: share of the texts of one length that must be in excess of the expected number for the length to be a limit
-MIN_EXCESS = 0.5
+MIN_EXCESS = 0.7
 
 COMPLETE, WEAK, STRONG = 0, 1, 2
 
@@ -140,7 +140,7 @@ def _ending(t: str, kind: str | None) -> int:
     if item:
         others = [x.group(1).rstrip() for x in map(_LIST.match, lines[:-1]) if x]
         if len(words) <= 3 and cjk < 6:
-            return WEAK if len(words) == 0 else COMPLETE
+            return COMPLETE if 0 < len(words) < 3 else WEAK
         if len(others) >= 2 and sum(_TERMINAL.search(o) is None for o in others) * 2 > len(others):
             return WEAK
         return STRONG
@@ -155,19 +155,6 @@ def _ending(t: str, kind: str | None) -> int:
     return WEAK
 
 
-def closed(text: str, kind: str | None = None) -> bool:
-    """True where the last line itself shows an end: a sentence end, a closed tag, fence, block or row, a status line."""
-    t = text.rstrip()
-    if not t or kind == "code" or t.count("```") % 2:
-        return ending(text, kind) == COMPLETE
-    last = t.rsplit("\n", 1)[-1].strip()
-    if last == "```" or _TAG.search(last) or _STATUS.search(last) or last.startswith("|") and last.endswith("|") and len(last) > 1:
-        return True
-    if _MARK.search(t) and not _REMARK.search(t):
-        return ending(text, kind) == COMPLETE
-    return _TERMINAL.search(last) is not None or last.endswith("}") and t.count("{") <= t.count("}")
-
-
 def length_hazards(documents: DataFrame) -> DataFrame:
     """(source, unit, length, n, at_risk, hazard, expected, p, significant) of every observed text length.
 
@@ -206,13 +193,13 @@ def length_hazards(documents: DataFrame) -> DataFrame:
 
 
 def endings(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, chars, bytes, state) of documents that are not closed, or whose ending is not complete."""
+    """(doc_id, source, chars, bytes, state) of documents whose ending is not plainly complete."""
 
     def scan(cols: dict) -> dict:
         out: dict[str, list] = {"doc_id": [], "source": [], "chars": [], "bytes": [], "state": []}
         for doc_id, source, kind, text in zip(cols["doc_id"], cols["source"], cols["doc_kind"], cols["text"]):
             state = ending(text, kind)
-            if state or not closed(text, kind):
+            if state:
                 out["doc_id"].append(doc_id)
                 out["source"].append(source)
                 out["chars"].append(len(text))
