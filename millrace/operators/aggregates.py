@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import lagged, running_total, with_ordinal
+from .ordinal import Ordered
 
 
 def facet_field(df: DataFrame, field: str) -> DataFrame:
@@ -61,9 +61,8 @@ def share_of_total(df: DataFrame, key: str, value: Column, name: str = "share")
 
 def runs(df: DataFrame, key: str, order: str, aggs: Sequence[Column]) -> DataFrame:
     """Aggregate consecutive rows with an equal key (NULL equals NULL)."""
-    d = lagged(with_ordinal(df, order), {key: "__k"})
     change = (~F.col("has_previous") | ~F.col(key).eqNullSafe(F.col("__k"))).cast("bigint")
-    d = running_total(d, change, name="run")
+    d = Ordered(df, order).lag({key: "__k"}).total("run", change).rows()
     return d.groupBy("run", key).agg(*aggs)
 
 
@@ -86,7 +85,7 @@ def coverage(df: DataFrame, start: str, end: str) -> DataFrame:
     """(begin, depth): depth of half-open ranges by a sweep over their ends, aggregated per position first."""
     ends = df.select(F.explode(F.array(F.struct(F.col(start).alias("begin"), F.lit(1).alias("d")), F.struct(F.col(end).alias("begin"), F.lit(-1).alias("d")))).alias("e"))
     points = ends.groupBy("e.begin").agg(F.sum("e.d").alias("d"))
-    return running_total(with_ordinal(points, "begin"), F.col("d"), name="depth").select("begin", "depth")
+    return Ordered(points, "begin").total("depth", F.col("d")).rows().select("begin", "depth")
 
 
 def weighted_mode(df: DataFrame, keys: Sequence[str], symbol: str, weight: str) -> DataFrame:

@@ -6,11 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import great_circle_miles
 
 #: a side with up to this many rows is sent to every task
 BROADCAST_ROWS = 200_000
+#: cells of one width a range may meet before it is kept in wider ones
+RANGE_CELLS = 8
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -33,7 +36,8 @@ def inverted_search(entities: DataFrame, key: str, terms: Column, term: str) ->
 
 
 def natural_key(*parts: str) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
+    """One string for several parts: the separator is escaped in them and NULL is marked, so no two keys meet in one."""
+    return F.concat_ws("|", *[F.coalesce(F.regexp_replace(F.col(p).cast("string"), r"([|\\])", r"\\$1"), F.lit("\\N")) for p in parts])
 
 
 def merge_keyed(left: DataFrame, right: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
@@ -46,11 +50,20 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     """Points with the ranges ``[low, high]`` that hold them.
 
     Both sides are cut into cells of ``width``; the join is on the cell, so no
-    pair is formed outside a cell.  A range appears in each cell it meets.
+    pair is formed outside a cell.  A range appears in each cell it meets; one
+    that is wider than RANGE_CELLS cells is kept in cells twice, four times, ...
+    as wide, and points look into the widths that occur (some tens at most).
+    A range whose end lies before its start, or with an open end, holds nothing.
     """
-    p = points.withColumn("__cell", F.floor(F.col(value) / width).cast("bigint"))
-    r = ranges.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(low) / width).cast("bigint"), F.floor(F.col(high) / width).cast("bigint"))))
-    return p.join(r, "__cell").where((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))).drop("__cell")
+    cells = F.greatest((F.col(high) - F.col(low)).cast("double") / width, F.lit(1.0))
+    level = F.greatest(F.ceil(F.log2(cells / RANGE_CELLS)), F.lit(0)).cast("int")
+    r = ranges.where(F.col(low) <= F.col(high)).withColumn("__level", level)
+    levels = sorted(x["__level"] for x in r.select("__level").distinct().collect())
+    at = lambda c, n: F.floor(F.col(c).cast("double") / (width * F.pow(F.lit(2.0), n))).cast("bigint")
+    r = r.withColumn("__cell", F.explode(F.sequence(at(low, F.col("__level")), at(high, F.col("__level")))))
+    p = points.withColumn("__level", F.explode(F.lit(levels).cast("array<int>")))
+    p = p.withColumn("__cell", at(value, F.col("__level")))
+    return p.join(r, ["__level", "__cell"]).where((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))).drop("__level", "__cell")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, values: Sequence[str], cell: Column | None = None) -> DataFrame:
@@ -58,8 +71,11 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, values: Seque
 
     A key with very many rows is split by ``cell``, a Column that does not fall
     as the time rises (a day, say): windows run inside (key, cell), and what a
-    cell starts with comes from a second window over one row per cell.
+    cell starts with comes from a second window over one row per cell.  Without
+    one, times are split by the day and other orders not at all.
     """
+    if cell is None and isinstance(left.schema[t].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        cell = F.date_trunc("day", F.col(t))
     kind = [F.lit(None).cast(right.schema[v].dataType).alias(f"__r_{v}") for v in values]
     a = left.select("*", *kind, F.lit(1).alias("__left"))
     b = right.select(key, t, *[F.col(v).alias(f"__r_{v}") for v in values], F.lit(0).alias("__left"))
@@ -79,16 +95,38 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, values: Seque
 def near_miles(a: DataFrame, b: DataFrame, miles: float) -> DataFrame:
     """Pairs of places within ``miles``: (id_a, id_b, miles); both sides need id, lat, lon.
 
-    Joined on one-degree cells of latitude and their neighbours.  The cell is
-    as wide as the distance, so no pair beyond two cells is looked at.
+    Joined on cells of both axes and their neighbours.  A band of latitude is as
+    high as the distance; it is cut around the globe into a whole number of
+    cells at least as wide as the distance at the band's edge nearest a pole,
+    so partners lie in neighbouring cells, also across the 180th meridian.
     """
     size = max(miles / 69.0, 1e-6)
-    cell = lambda c: F.floor(F.col(c) / size).cast("bigint")
-    x = a.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a")).withColumn("__c", cell("lat_a"))
+    band = lambda c: F.floor(F.col(c) / size).cast("bigint")
+    # the highest latitude a place of the band or of its neighbours can have, and the longitudes the distance spans there
+    edge = F.least(F.greatest(F.abs(F.col("__b") - 1), F.abs(F.col("__b") + 2)) * size, F.lit(90.0))
+    ratio = F.sin(F.lit(min(miles / (2 * 3958.0), 1.5))) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    span = F.when(ratio < 1, F.degrees(2 * F.asin(ratio))).otherwise(F.lit(360.0))
+    count = F.greatest(F.floor(F.lit(360.0) / F.greatest(span, F.lit(1e-9))), F.lit(1)).cast("bigint")
+    cell = lambda c: F.least(F.floor(F.pmod(F.col(c).cast("double"), F.lit(360.0)) * F.col("__n") / 360.0).cast("bigint"), F.col("__n") - 1)
+    x = a.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a")).withColumn("__b", band("lat_a")).withColumn("__n", count)
+    x = x.withColumn("__c", cell("lon_a")).drop("__n")
     y = b.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    y = y.withColumn("__c", F.explode(F.sequence(cell("lat_b") - 1, cell("lat_b") + 1)))
+    y = y.withColumn("__b", F.explode(F.sequence(band("lat_b") - 1, band("lat_b") + 1))).withColumn("__n", count).withColumn("__c", cell("lon_b"))
+    y = y.withColumn("__c", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("__c") + k, F.col("__n")) for k in (-1, 0, 1)])))).drop("__n")
     d = great_circle_miles("lat_a", "lon_a", "lat_b", "lon_b")
-    return x.join(y, "__c").withColumn("miles", d).where(F.col("miles") <= miles).select("id_a", "id_b", "miles")
+    return x.join(y, ["__b", "__c"]).withColumn("miles", d).where(F.col("miles") <= miles).select("id_a", "id_b", "miles")
+
+
+def partners(reads: DataFrame, key: str, place: str, strand: str, least: int, most: int) -> DataFrame:
+    """(key, distance): pairs of rows of one key on opposite strands, the distance between them within ``[least, most]``.
+
+    A mate pair has two rows, so the rows of a key are aggregated, not joined;
+    a key with another number of rows or with both on one strand is none.
+    """
+    pair = reads.where(F.col(place).isNotNull()).groupBy(key).agg(
+        F.count("*").alias("n"), F.countDistinct(strand).alias("strands"), (F.max(place) - F.min(place)).alias("distance")
+    )
+    return pair.where((F.col("n") == 2) & (F.col("strands") == 2) & F.col("distance").between(least, most)).select(key, "distance")
 
 
 def first_container(elements: DataFrame, zones: DataFrame, key: str, zone: str, priority: Sequence[str]) -> DataFrame:

@@ -136,26 +136,28 @@ def sequential_patterns(df: DataFrame, sequence: str, support: float, length: in
     return PrefixSpan(sequenceCol=sequence, minSupport=support, maxPatternLength=length).findFrequentSequentialPatterns(df)
 
 
-#: queries that travel to the rows at once
+#: queries that travel to the rows at once, and numbers in their vectors, at most
 QUERY_BLOCK = 50_000
+BLOCK_VALUES = 4_000_000
 
 
 def nearest(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query, neighbour, distance, rank): the ``k`` rows nearest to each query, the query itself left out.
 
-    A stated query set against all rows, in blocks of QUERY_BLOCK queries: a
-    block travels to the rows, every batch of rows keeps the block's ``k`` best,
-    and only those are merged.  With several blocks each one's result is
-    written before the next is sent, so the driver holds one block.
+    A stated query set against all rows, in blocks of bounded size: a
+    block travels to the rows as one matrix, every batch of rows keeps the
+    block's ``k`` best, and only those are merged.  With several blocks each
+    one's result is written before the next is sent, so the driver holds one.
     """
     rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
     wanted = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    first = wanted.limit(QUERY_BLOCK + 1).collect()
-    if len(first) <= QUERY_BLOCK:
-        return _ranked(_block_search(rows, first, k), k)
+    size = wanted.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    block = min(QUERY_BLOCK, max(1, BLOCK_VALUES // max(size["d"] or 1, 1)))
+    if size["n"] <= block:
+        return _ranked(_block_search(rows, wanted.toArrow(), k), k)
     numbered = with_ordinal(wanted, "q", start=0)
-    blocks = -(-numbered.count() // QUERY_BLOCK)
-    parts = [cut(_ranked(_block_search(rows, numbered.where(F.expr(f"ordinal div {QUERY_BLOCK} = {i}")).select("q", "v").collect(), k), k)) for i in range(blocks)]
+    blocks = -(-size["n"] // block)
+    parts = [cut(_ranked(_block_search(rows, numbered.where(F.expr(f"ordinal div {block} = {i}")).select("q", "v").toArrow(), k), k)) for i in range(blocks)]
     return union_all(parts)
 
 
@@ -164,14 +166,14 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block_search(rows: DataFrame, block: list, k: int = 1) -> DataFrame:
+def _block_search(rows: DataFrame, block, k: int = 1) -> DataFrame:
     import numpy as np
     import pandas as pd
 
     schema = "query bigint, neighbour bigint, distance double"
-    ids = np.array([r["q"] for r in block])
-    mat = np.array([r["v"] for r in block], dtype=np.float64)
-    norms = (mat * mat).sum(1) if len(block) else mat
+    ids = block.column("q").to_numpy()
+    mat = block.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    norms = (mat * mat).sum(1)
     shared = rows.sparkSession.sparkContext.broadcast((ids, mat, norms))
 
     def search(batches):

@@ -8,19 +8,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import lagged, with_ordinal
+from .ordinal import Ordered
 
 
 def series_delta(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), lag: int = 1) -> DataFrame:
     """``value`` minus its value ``lag`` rows earlier; rows without one are dropped.
 
     With ``by`` the order is inside each key (a window); without, it is global
-    (an ordinal and an equi-join).
+    (one range shuffle, boundary rows carried from partition to partition).
     """
     if by:
         w = Window.partitionBy(*by).orderBy(*order)
         return df.withColumn("__r", F.row_number().over(w)).withColumn("delta", F.col(value) - F.lag(value, lag).over(w)).where(F.col("__r") > lag).drop("__r")
-    d = lagged(with_ordinal(df, *order), {value: "__v"}, by=lag)
+    d = Ordered(df, *order).lag({value: "__v"}, lag).rows()
     return d.where("has_previous").withColumn("delta", F.col(value) - F.col("__v")).drop("__v", "has_previous")
 
 
@@ -31,7 +31,7 @@ def series_translate(df: DataFrame, values: Sequence[str], order: Sequence[str],
         w = Window.partitionBy(*by).orderBy(*order)
         d = df.withColumn("__r", F.row_number().over(w)).withColumns({n: F.lag(v, lag).over(w) for v, n in names.items()})
         return d.where(F.col("__r") > lag).drop("__r")
-    return lagged(with_ordinal(df, *order), names, by=lag).where("has_previous").drop("has_previous")
+    return Ordered(df, *order).lag(names, lag).rows().where("has_previous").drop("has_previous")
 
 
 def second_difference(value: str, w) -> Column:

@@ -136,14 +136,14 @@ def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def reachable(edges: DataFrame, start: str, rounds: int = 50) -> DataFrame:
-    """Nodes reachable from a start over (src, dst): frontier joins until nothing new appears."""
+def reachable(edges: DataFrame, start: str) -> DataFrame:
+    """Nodes reachable from a start over (src, dst): frontier joins until nothing new appears, however long the paths."""
     from ..session import cut
 
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start,)], edges.select(F.col("src").alias("node")).schema)
     frontier = seen
-    for _ in range(rounds):
+    while True:
         nxt = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut(nxt.join(seen, "node", "left_anti"))
         if frontier.isEmpty():

@@ -75,17 +75,20 @@ def _(t):
     return R.ini(t.spark, path).groupBy("section").agg(F.count("*").alias("n"))
 
 
-@query("io_fixed_records", "SELECT CAST(10 AS BIGINT) AS n, 'n' AS kind")
+@query("io_fixed_records", "SELECT c_custkey, substr(c_name, 1, 30) AS c_name FROM customer")
 def _(t):
     path = _folder(t, "fixed")
-    t.spark.createDataFrame([("x" * 39,)], "value string").coalesce(1).write.text(path)
-    return R.fixed_records(t.spark, f"{path}/*.txt", 4).agg(F.count("*").alias("n")).withColumn("kind", F.lit("n"))
+    # the line break is the last byte of a record of 41 bytes
+    t.customer.select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 10, "0"), F.rpad("c_name", 30, " ")).alias("value")).write.text(path)
+    record = F.decode("record", "UTF-8")
+    return R.fixed_records(t.spark, f"{path}/*.txt", 41).select(F.substring(record, 1, 10).cast("bigint").alias("c_custkey"), F.trim(F.substring(record, 11, 30)).alias("c_name"))
 
 
-@query("io_shards", "SELECT n_name, s AS shard FROM nation, (SELECT unnest(['one', 'two']) AS s)")
+@query("io_shards", "SELECT o_orderkey, 's' || (o_custkey % 3) AS shard FROM orders")
 def _(t):
-    p = f"{t.folder}/nation.parquet"
-    return R.shards(t.spark, {"one": p, "two": p}).select("n_name", "shard")
+    path = _folder(t, "shards")
+    t.orders.withColumn("s", F.concat(F.lit("s"), F.pmod("o_custkey", F.lit(3)).cast("string"))).write.partitionBy("s").parquet(path)
+    return R.shards(t.spark, {f"s{i}": f"{path}/s=s{i}" for i in range(3)}).select("o_orderkey", "shard")
 
 
 @query("empty_relation")
@@ -98,10 +101,14 @@ def _(t):
     return R.to_array(t.region)
 
 
-@query("catalog_columns", "SELECT column_name AS \"column\" FROM (SELECT unnest(['r_regionkey', 'r_name']) AS column_name)")
+_CATALOG = ("region", "nation", "orders", "journal", "source_file")
+
+
+@query("catalog_columns", "SELECT table_name AS \"table\", column_name AS \"column\" FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'orders', 'journal', 'source_file')")
 def _(t):
-    t.region.createOrReplaceTempView("catalog_probe")
-    return R.catalog(t.spark).where("table = 'catalog_probe'").select("column")
+    for name in _CATALOG:
+        getattr(t, name).createOrReplaceTempView(name)
+    return R.catalog(t.spark).where(F.col("table").isin(*_CATALOG)).select("table", "column")
 
 
 @query("named_sql", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
@@ -194,6 +201,16 @@ def _(t):
     return wire.decode(wire.encode(d, compressed=True), "event", d.schema, compressed=True)
 
 
+@query(
+    "stream_join",
+    "SELECT a.event_id AS view_id, b.event_id AS click_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL '30 minutes' WHERE a.event_type = 'view' AND b.event_type = 'click'",
+)
+def _(t):
+    side = lambda kind: P.event_time(P.event_source(t.spark, t.folder, "events").where(F.col("event_type") == kind).select("event_id", "user_id", "ts"), "ts", "1 hour")
+    pairs = P.matched(side("view"), side("click"), "user_id", "ts", "ts", "30 minutes")
+    return P.run_to_table(pairs.select(F.col("l.event_id").alias("view_id"), F.col("r.event_id").alias("click_id")), "pairs")
+
+
 @query("stream_stats", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, round(avg(value), 6) AS mean, max(value) AS high FROM events GROUP BY 1")
 def _(t):
     s = P.event_time(P.event_source(t.spark, t.folder, "events"), "ts", "1 hour")

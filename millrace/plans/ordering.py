@@ -42,10 +42,10 @@ def _(t):
 
 @query("running_count", "SELECT event_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS clicks FROM events")
 def _(t):
-    from ..operators.ordinal import running_total, with_ordinal
+    from ..operators.ordinal import Ordered
 
-    d = with_ordinal(t.events.select("event_id", "event_type"), "event_id")
-    return running_total(d, (F.col("event_type") == "click").cast("bigint"), name="clicks").select("event_id", "clicks")
+    d = Ordered(t.events.select("event_id", "event_type"), "event_id")
+    return d.total("clicks", (F.col("event_type") == "click").cast("bigint")).rows().select("event_id", "clicks")
 
 
 @query("second_diff", "SELECT user_id, event_id, round(value - 2 * lag(value, 1) OVER w + lag(value, 2) OVER w, 6) AS d2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -98,9 +98,9 @@ def _(t):
     return with_ordinal(t.nation, "n_regionkey", "n_nationkey", name="position").select("n_nationkey", "position")
 
 
-@query("argsort", "SELECT vec_id, list_transform(list_sort(list_transform(range(1, 5), lambda i: {'v': embedding[i], 'i': (i - 1)::INT})), lambda p: p.i) AS idx FROM embeddings")
+@query("argsort", "SELECT vec_id, list_transform(list_sort(list_transform(range(1, len(embedding) + 1), lambda i: {'v': embedding[i], 'i': (i - 1)::INT})), lambda p: p.i) AS idx FROM embeddings")
 def _(t):
-    return t.embeddings.select("vec_id", F.slice("embedding", 1, 4).alias("e")).select("vec_id", R.argsort("e").alias("idx"))
+    return t.embeddings.select("vec_id", R.argsort("embedding").alias("idx"))
 
 
 @query("distinct_sorted", "SELECT arg_max(client, stat_id) AS client FROM client_stats WHERE client IS NOT NULL GROUP BY lower(client) ORDER BY lower(arg_max(client, stat_id))")

@@ -90,7 +90,7 @@ def arff(spark: SparkSession, path: str) -> DataFrame:
     @data); the rows are not.
     """
     text = spark.read.text(path)
-    head = text.where(F.lower(F.trim("value")).startswith("@attribute")).limit(10_000).collect()
+    head = text.where(F.lower(F.trim("value")).startswith("@attribute")).collect()
     attributes = arff_header([r["value"] for r in head])
     line = F.trim("value")
     data = text.withColumn("at", F.monotonically_increasing_id()).where((F.length(line) > 0) & ~line.startswith("@") & ~line.startswith("%"))

@@ -49,25 +49,41 @@ def deduplicated(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there and return it as a table; the checkpoint is on shared storage."""
+    """Process what is there and return it as a table.
+
+    Output and checkpoint are on shared storage; no row passes the driver.  In
+    complete mode each batch replaces the table, in the others it adds to it.
+    """
     spark = stream.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", f"{root}/stream-{name}-{os.urandom(6).hex()}").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.table(name)
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{name}-{os.urandom(6).hex()}"
+    journaled(stream, f"{root}/out", f"{root}/state", mode=mode)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out/*")
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, within: str) -> DataFrame:
+    """Events of two streams joined on a key where the right one comes at or up to ``within`` after the left one.
+
+    Both sides need watermarks; with the bound on the times Spark drops the
+    state of events that can find no partner any more.
+    """
+    l, r = left.alias("l"), right.alias("r")
+    near = F.expr(f"r.{right_time} >= l.{left_time} AND r.{right_time} <= l.{left_time} + INTERVAL {within}")
+    return l.join(r, (F.col(f"l.{key}") == F.col(f"r.{key}")) & near)
 
 
-def journaled(stream: DataFrame, path: str, checkpoint: str, process: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
-    """Exactly-once append by batch: each batch writes its own folder, so a repeated batch replaces itself."""
+def journaled(stream: DataFrame, path: str, checkpoint: str, process: Callable[[DataFrame, int], DataFrame] | None = None, mode: str = "append") -> None:
+    """Exactly-once output by batch: each batch writes its own folder, so a repeated batch replaces itself.
+
+    In complete mode every batch holds the whole result and all share one folder.
+    """
+    if mode == "update":
+        raise ValueError("a table of files can not update rows")
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         out = process(batch, batch_id) if process else batch
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        out.write.mode("overwrite").parquet(f"{path}/batch_id={0 if mode == 'complete' else batch_id}")
 
-    stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def fan_out(stream: DataFrame, sinks: Sequence[Callable[[DataFrame], None]], checkpoint: str) -> None:

@@ -14,7 +14,7 @@ from millrace.operators import joins as J
 from millrace.operators import mining as M
 from millrace.operators import ordered as O
 from millrace.operators import rows as R
-from millrace.operators.ordinal import lagged, running_total, with_ordinal
+from millrace.operators.ordinal import Ordered, lagged, running_total, with_ordinal
 from millrace.sources import readers
 from millrace.sources import writers as W
 from millrace.streaming import pipelines as P
@@ -295,3 +295,71 @@ def test_context_stack_is_bounded(spark):
     d = spark.createDataFrame([(1, i, "push", str(i)) for i in range(10)] + [(1, 10, "pop", None), (1, 11, "clear", None)], "k int, o int, op string, item string")
     got = [(r["depth"], r["top"]) for r in P.context_stacks(d, "k", "o", "op", "item", 3).orderBy("o").collect()]
     assert got[2:5] == [(3, "2"), (3, "2"), (3, "2")] and got[10:] == [(2, "1"), (0, None)]
+
+
+# ------------------------------------------------------------ order and scale
+def test_ordered_passes_against_one_process(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, rng.randint(-9, 9)]), rng.random()) for i in range(700)]
+    df = spark.createDataFrame(rows, "i int, k string, n int, x double").repartition(7)
+    for by in (1, 3, 900):
+        got = sorted(tuple(r) for r in Ordered(df, "i").lag({"k": "pk", "n": "pn"}, by).ordinal("o").rows().select("i", "pk", "pn", "has_previous", "o").collect())
+        assert got == [(i, rows[i - by][1] if i >= by else None, rows[i - by][2] if i >= by else None, i >= by, i + 1) for i in range(700)]
+    total = 0
+    sums = {r["i"]: r["t"] for r in Ordered(df, "i").total("t", F.col("n")).rows().collect()}
+    for i, _, n, _ in rows:
+        total += n or 0
+        assert sums[i] == total
+    empty = Ordered(df.limit(0), "i").lag({"k": "pk"}).total("t", F.col("x")).ordinal().rows()
+    assert empty.count() == 0 and empty.columns == ["i", "k", "n", "x", "pk", "has_previous", "t", "ordinal"]
+    with pytest.raises(TypeError):
+        Ordered(df, "i").total("t", F.col("x").cast("decimal(9, 2)"))
+
+
+def test_near_miles_over_the_edges(spark):
+    import random
+
+    rng = random.Random(3)
+    places = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(150)]
+    places += [(200, 10.0, 179.9), (201, 10.0, -179.9), (202, 89.95, 0.0), (203, 89.95, 180.0), (204, -89.99, 90.0), (205, -89.99, -90.0), (206, 0.0, 360.0), (207, 0.0, 0.5), (208, None, 1.0)]
+    df = spark.createDataFrame(places, "id int, lat double, lon double")
+
+    def miles(a, b):
+        p, q = map(math.radians, (a[1], b[1]))
+        c = math.sin(p) * math.sin(q) + math.cos(p) * math.cos(q) * math.cos(math.radians(a[2] - b[2]))
+        return math.acos(max(-1.0, min(1.0, c))) * 3958.7558657440547
+
+    for within in (30, 600, 9_000, 13_000):
+        got = {(r["id_a"], r["id_b"]) for r in J.near_miles(df, df, within).collect()}
+        assert got == {(a[0], b[0]) for a in places for b in places if a[1] is not None and b[1] is not None and miles(a, b) <= within}
+
+
+def test_range_join_with_wide_ranges(spark):
+    points = spark.createDataFrame([(i, i * 3.7) for i in range(300)] + [(999, None)], "p int, v double")
+    spans = [(0, 0.0, 1e9), (1, 5.0, 5.0), (2, 37.0, 500.0), (3, 9.0, 3.0), (4, None, 4.0), (5, -1e12, 10.0)]
+    got = {(r["p"], r["r"]) for r in J.range_join(points, spark.createDataFrame(spans, "r int, lo double, hi double"), "v", "lo", "hi", 2).collect()}
+    assert got == {(i, r) for i in range(300) for r, lo, hi in spans if lo is not None and lo <= i * 3.7 <= hi}
+
+
+def test_natural_keys_do_not_meet(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, ""), ("", None), ("", ""), ("\\N", ""), ("a\\", "b"), ("a", "\\b")]
+    keys = [r["k"] for r in spark.createDataFrame(rows, "x string, y string").select(J.natural_key("x", "y").alias("k")).collect()]
+    assert len(set(keys)) == len(rows)
+
+
+def test_partners(spark):
+    rows = [("a", 100, "+"), ("a", 400, "-"), ("b", 100, "+"), ("b", 400, "+"), ("c", 1, "+"), ("d", 1, "+"), ("d", 9000, "-"), ("e", 1, "+"), ("e", 300, "-"), ("e", 300, "-"), (None, 1, "+")]
+    got = [tuple(r) for r in J.partners(spark.createDataFrame(rows, "k string, p int, s string"), "k", "p", "s", 200, 500).collect()]
+    assert got == [("a", 300)]
+
+
+def test_long_paths_are_followed(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(55)], "src string, dst string").coalesce(1)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert R.reachable(edges, "0").count() == 56
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
