@@ -182,6 +182,18 @@ def simple_fragment(column: str, operator: str, value: str) -> str:
     return f"{column} {sign} '{value.replace(chr(39), chr(39) * 2)}'"
 
 
+def in_folder(path: Column | str, folder: str) -> Column:
+    """Directly below a folder."""
+    p, f = _col(path), folder.rstrip("/") + "/"
+    return F.startswith(p, F.lit(f)) & (F.length(p) > len(f)) & ~F.contains(F.substr(p, F.lit(len(f) + 1)), F.lit("/"))
+
+
+def in_tree(path: Column | str, folder: str) -> Column:
+    """Anywhere below a folder."""
+    f = folder.rstrip("/") + "/"
+    return F.startswith(_col(path), F.lit(f)) & (F.length(_col(path)) > len(f))
+
+
 def regex(c: Column | str, pattern: str, negate: bool = False) -> Column:
     hit = _col(c).rlike(pattern)
     return ~hit if negate else hit

@@ -117,6 +117,20 @@ def compare_sign(a, b) -> Column:
     return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
 
 
+def digest(c, algorithm: str, form: str = "text") -> Column:
+    """Lower-case hex digest (MD5, SHA-1, SHA-256, SHA-384, SHA-512) of a text, or of the bytes a hex or base64 text stands for."""
+    col = _col(c)
+    data = {"text": lambda: F.encode(col.cast("string"), "UTF-8"), "hex": lambda: F.unhex(col), "base64": lambda: F.unbase64(col)}[form]()
+    name = algorithm.upper().replace("-", "")
+    if name == "MD5":
+        return F.md5(data)
+    if name == "SHA1":
+        return F.sha1(data)
+    if name in ("SHA256", "SHA384", "SHA512"):
+        return F.sha2(data, int(name[3:]))
+    raise ValueError(f"unknown digest: {algorithm}")
+
+
 def ascii_fold(c) -> Column:
     """Accents dropped for the Latin letters that have a plain form; anything else beyond ASCII becomes ``?``."""
     # Accented letters and their plain forms.

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .ordinal import Ordered
 
 
-def facet_field(df: DataFrame, field: str) -> DataFrame:
-    return df.groupBy(F.col(field).alias("term")).agg(F.count("*").alias("frequency"))
+def facet_field(df: DataFrame, field: str, valid: Column | None = None) -> DataFrame:
+    """(term, frequency); ``valid`` tells which values may become terms."""
+    rows = df if valid is None else df.where(valid)
+    return rows.groupBy(F.col(field).alias("term")).agg(F.count("*").alias("frequency"))
 
 
 def facet_queries(df: DataFrame, queries: Mapping[str, Column]) -> DataFrame:
@@ -110,6 +112,17 @@ def property_tree(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col(name).isNotNull()).select(F.inline(prefixes)).groupBy("prefix", "depth").agg(F.count("*").alias("n"))
 
 
+def significance(df: DataFrame, score: Column, reference: DataFrame, reference_score: Column, matched: Column, width: float) -> DataFrame:
+    """``df`` with ``significance``: the share of reference scores in the score's bin that were matches, 0 where there is none.
+
+    The reference is reduced to one row per bin before it meets the scores; a
+    missing score has significance 0.
+    """
+    bins = reference.groupBy(F.floor(reference_score / width).alias("__bin")).agg(F.avg(matched.cast("double")).alias("__p"))
+    d = df.withColumn("__bin", F.floor(score / width)).join(bins.where("__bin IS NOT NULL"), "__bin", "left")
+    return d.withColumn("significance", F.coalesce("__p", F.lit(0.0))).drop("__bin", "__p")
+
+
 def lag_correlation(df: DataFrame, key: str, t: str | Sequence[str], a: str, b: str, lag: int) -> DataFrame:
     """(key, r, n): correlation per key of series ``a`` with series ``b`` shifted by ``lag``; NULL where one does not vary."""
     w = Window.partitionBy(key).orderBy(*([t] if isinstance(t, str) else t))
@@ -144,3 +157,13 @@ def cross_entropy(left: DataFrame, right: DataFrame, left_key: str, right_key: s
         .join(size, left_key)
         .select(left_key, right_key, (base - F.col("saved") / F.col("size")).alias("entropy"))
     )
+
+
+def history(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, history): the values of each key in order, NULL where none was ever set.
+
+    The result holds a key's whole history in one value, which is the feature;
+    use windows where a key may have more rows than a value can hold.
+    """
+    h = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("__h"))
+    return df.select(key).distinct().join(h, key, "left").select(key, F.transform("__h", lambda x: x[value]).alias("history"))

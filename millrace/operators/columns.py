@@ -133,10 +133,17 @@ def swap_levels(c: str, a: str, b: str) -> Column:
     return F.when(F.col(c) == a, F.lit(b)).when(F.col(c) == b, F.lit(a)).otherwise(F.col(c))
 
 
-def domain(df: DataFrame, c: str) -> DataFrame:
-    """(level, n, code): distinct values and their sorted 1-based code, numbered without one task for all levels."""
+def domain(df: DataFrame, c: str, ignore_case: bool = False, added: Sequence = ()) -> DataFrame:
+    """(level, n, code): distinct values and their sorted 1-based code, numbered without one task for all levels.
+
+    ``added`` are levels the domain has besides those that occur (n is 0).
+    """
     levels = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("level")).agg(F.count("*").alias("n"))
-    return with_ordinal(levels, "level", name="code").withColumn("code", F.col("code").cast("int"))
+    if added:
+        more = df.sparkSession.createDataFrame([(x, 0) for x in added], levels.schema)
+        levels = levels.unionByName(more).groupBy("level").agg(F.sum("n").alias("n"))
+    order = [F.lower("level"), F.col("level")] if ignore_case else ["level"]
+    return with_ordinal(levels, *order, name="code").withColumn("code", F.col("code").cast("int"))
 
 
 def class_order(df: DataFrame, c: str) -> DataFrame:

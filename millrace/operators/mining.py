@@ -7,6 +7,8 @@ passes are distributed.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -197,19 +199,29 @@ def _block_search(rows: DataFrame, block, k: int = 1) -> DataFrame:
     return rows.mapInPandas(search, schema)
 
 
-def outlier_factor(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, lof): local outlier factor of the queries from the k-distances of themselves and their neighbours."""
-    near = nearest(df, queries, key, vector, k)
-    neighbours = near.select(F.col("neighbour").alias(key)).distinct()
-    second = nearest(df, df.join(neighbours, key, "left_semi"), key, vector, k)
-    kdist = second.groupBy(F.col("query").alias("neighbour")).agg(F.max("distance").alias("kd"))
-    reach = near.join(kdist, "neighbour").withColumn("reach", F.greatest("distance", "kd"))
-    density = reach.groupBy("query").agg((F.count("*") / F.sum("reach")).alias("lrd"))
-    # densities of the neighbours need their own neighbours' k-distances
-    third = nearest(df, df.join(second.select(F.col("neighbour").alias(key)).distinct(), key, "left_semi"), key, vector, k)
-    kd3 = third.groupBy(F.col("query").alias("neighbour")).agg(F.max("distance").alias("kd"))
-    lrd_n = second.join(kd3, "neighbour").groupBy(F.col("query").alias("neighbour")).agg((F.count("*") / F.sum(F.greatest("distance", "kd"))).alias("lrd_n"))
-    return near.join(lrd_n, "neighbour").join(density, "query").groupBy("query").agg((F.avg("lrd_n") / F.first("lrd")).alias("lof"))
+def outlier_factor(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, upto: int | None = None) -> DataFrame:
+    """(query, lof): local outlier factor of the queries, the largest over all neighbourhoods of ``k`` to ``upto`` rows.
+
+    One search for the widest neighbourhood serves all; the queries, their
+    neighbours and the neighbours of those are searched, no other rows.  Where
+    all neighbours lie on the row itself the factor is 1.
+    """
+    most = upto or k
+    near = nearest(df, queries, key, vector, most)
+    second = nearest(df, df.join(near.select(F.col("neighbour").alias(key)).distinct(), key, "left_semi"), key, vector, most)
+    third = nearest(df, df.join(second.select(F.col("neighbour").alias(key)).distinct(), key, "left_semi"), key, vector, most)
+    sizes = F.explode(F.sequence(F.lit(k), F.lit(most))).alias("k")
+    at = lambda d: d.select("query", "neighbour", "distance", "rank", sizes).where("rank <= k")
+    near, second, third = at(near), at(second), at(third)
+
+    def density(pairs: DataFrame, around: DataFrame, name: str) -> DataFrame:
+        far = around.groupBy("k", F.col("query").alias("neighbour")).agg(F.max("distance").alias("kd"))
+        return pairs.join(far, ["k", "neighbour"]).groupBy("k", "query").agg(F.try_divide(F.count("*"), F.sum(F.greatest("distance", "kd"))).alias(name))
+
+    own = density(near, second, "lrd")
+    theirs = density(second, third, "lrd_n").withColumnRenamed("query", "neighbour")
+    factor = near.join(theirs, ["k", "neighbour"], "left").join(own, ["k", "query"]).groupBy("k", "query").agg(F.try_divide(F.avg("lrd_n"), F.first("lrd")).alias("lof"))
+    return factor.groupBy("query").agg(F.coalesce(F.max("lof"), F.lit(1.0)).alias("lof"))
 
 
 def smote(df: DataFrame, minority: DataFrame, key: str, vector: str, k: int, seed: int) -> DataFrame:
@@ -231,14 +243,18 @@ def one_rule(train: DataFrame, rows: DataFrame, key: str, attribute: str, cls: s
     return d.select(key, F.coalesce("predicted", zero_rule(train, cls).cast("string")).alias("predicted"))
 
 
+#: sets in a row that bring nothing better before the search for attributes ends
+STALE = 5
+
+
 def cfs_select(df: DataFrame, attributes: Sequence[str], cls: str) -> list[str]:
-    """Attributes chosen by correlation-based merit, added one at a time while it grows.
+    """Attributes chosen by correlation-based merit, best first, in the order of the schema.
 
     Correlation is symmetrical uncertainty.  One pass counts every pair of
-    attributes (their number is the schema's, not the data's).
+    attributes (their number is the schema's, not the data's).  The search
+    expands the best set that is still open and gives up after STALE sets that
+    brought nothing better.
     """
-    import math
-
     names = [*attributes, cls]
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     cell = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(names[i]).cast("string").alias("a"), F.col(names[j]).cast("string").alias("b")) for i, j in pairs])
@@ -253,19 +269,159 @@ def cfs_select(df: DataFrame, attributes: Sequence[str], cls: str) -> list[str]:
     for r in h:
         total = r["ha"] + r["hb"]
         su[r["i"], r["j"]] = su[r["j"], r["i"]] = 2 * (total - r["hab"]) / total if total > 0 else 0.0
-    last, chosen, merit = len(attributes), [], 0.0
-    while len(chosen) < len(attributes):
-        best = None
+    last = len(attributes)
+
+    def merit(s: frozenset) -> float:
+        rcf = sum(su.get((x, last), 0.0) for x in s)
+        rff = sum(su.get((x, y), 0.0) for x in s for y in s if x < y)
+        return rcf / math.sqrt(len(s) + 2 * rff)
+
+    best, chosen, stale = 0.0, frozenset(), 0
+    opened: list[tuple[float, list[int]]] = [(0.0, [])]
+    seen = {frozenset()}
+    while opened and stale < STALE:
+        _, head = heapq.heappop(opened)
+        better = False
         for a in range(len(attributes)):
-            if a in chosen:
+            s = frozenset([*head, a])
+            if s in seen:
                 continue
-            s = [*chosen, a]
-            rcf = sum(su.get((x, last), 0.0) for x in s)
-            rff = sum(su.get((x, y), 0.0) for x in s for y in s if x < y)
-            m = rcf / math.sqrt(len(s) + 2 * rff)
-            if best is None or m > best[0] + 1e-12:
-                best = (m, a)
-        if best[0] <= merit + 1e-12:
+            seen.add(s)
+            m = merit(s)
+            heapq.heappush(opened, (-m, sorted(s)))
+            if m > best + 1e-12:
+                best, chosen, better = m, s, True
+        stale = 0 if better else stale + 1
+    return [attributes[i] for i in sorted(chosen)]
+
+
+def naive_bayes_multinomial(train: DataFrame, rows: DataFrame, key: str, words: str, cls: str) -> DataFrame:
+    """(key, predicted): multinomial naive Bayes over an array of words, add-one smoothing.
+
+    The model is one count per (word, class).  A word is met by its logarithm
+    relative to an unseen word of the class, so words the class lacks cost one
+    number per row and class, and no row meets a word it does not hold.  Words
+    never seen in training are left out; rows without words get the prior.
+    """
+    used = train.where(F.col(cls).isNotNull()).select(F.col(cls).cast("string").alias("class"), F.explode(words).alias("word"))
+    counts = used.groupBy("word", "class").agg(F.count("*").alias("n"))
+    vocabulary = counts.select(F.countDistinct("word").alias("v")).scalar()
+    prior = train.where(F.col(cls).isNotNull()).groupBy(F.col(cls).cast("string").alias("class")).agg(F.count("*").alias("docs"))
+    totals = prior.join(counts.groupBy("class").agg(F.sum("n").alias("t")), "class", "left")
+    all_docs = prior.select(F.sum("docs").alias("d")).scalar()
+    classes = totals.select("class", F.log(F.col("docs") / all_docs).alias("prior"), F.log(F.coalesce("t", F.lit(0)) + vocabulary).alias("size"))
+    bag = rows.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("m"))
+    known = bag.join(counts.select("word").distinct(), "word", "left_semi")
+    length = known.groupBy(key).agg(F.sum("m").alias("len"))
+    hit = known.join(counts, "word").groupBy(key, "class").agg(F.sum(F.col("m") * F.log(F.col("n") + 1)).alias("gain"))
+    # one row per class and row to be classified: classes are few, their number is the domain's
+    table = F.broadcast(classes.agg(F.collect_list(F.struct("class", "prior", "size")).alias("all")))
+    gains = hit.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("class", "gain"))).alias("gains"))
+    d = rows.select(key).join(length, key, "left").join(gains, key, "left").withColumn("all", table.select("all").scalar())
+    score = F.transform(
+        "all",
+        lambda c: F.struct((-F.round(c["prior"] - F.coalesce("len", F.lit(0)) * c["size"] + F.coalesce(F.try_element_at("gains", c["class"]), F.lit(0.0)), 9)).alias("s"), c["class"].alias("class")),
+    )
+    return d.select(key, F.array_min(score)["class"].alias("predicted"))
+
+
+def decision_stump(train: DataFrame, rows: DataFrame, key: str, attributes: Sequence[str], cls: str, weight: str | None = None) -> DataFrame:
+    """(key, predicted): one test ``attribute = value`` of least weighted error; missing goes a way of its own.
+
+    Every test is scored from the contingency counts.
+    """
+    return _apply_stump(rows, key, _best_stump(train, attributes, cls, weight))
+
+
+def _best_stump(train: DataFrame, attributes: Sequence[str], cls: str, weight: str | None) -> dict:
+    pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes])
+    w = F.col(weight) if weight else F.lit(1.0)
+    cells = train.where(F.col(cls).isNotNull()).select(F.col(cls).cast("string").alias("class"), w.alias("w"), F.inline(pairs)).groupBy("attribute", "value", "class").agg(F.sum("w").alias("w"))
+    side = cells.where("value IS NOT NULL").groupBy("attribute", "class").agg(F.sum("w").alias("t"))
+    inside = cells.where("value IS NOT NULL").withColumnRenamed("w", "i")
+    # for each test and class: what holds the value, and the rest
+    split = inside.select("attribute", "value").distinct().join(side, "attribute").join(inside, ["attribute", "value", "class"], "left")
+    split = split.select("attribute", "value", "class", F.coalesce("i", F.lit(0.0)).alias("i"), (F.col("t") - F.coalesce("i", F.lit(0.0))).alias("o"))
+    top = lambda c: F.min_by("class", F.struct((-F.round(c, 9)).alias("w"), "class"))
+    scored = split.groupBy("attribute", "value").agg((F.max("i") + F.max("o")).alias("right"), top("i").alias("yes"), top("o").alias("no"))
+    best = scored.orderBy(F.desc(F.round("right", 9)), "attribute", "value").first()
+    missing = cells.groupBy("class").agg(F.sum("w").alias("w")).orderBy(F.desc(F.round("w", 9)), "class").first()
+    most = missing["class"] if missing else None
+    return {**best.asDict(), "missing": most} if best else {"attribute": None, "value": None, "yes": most, "no": most, "missing": most}
+
+
+def _stump_column(stump: dict) -> Column:
+    if stump["attribute"] is None:
+        return F.lit(stump["missing"]).cast("string")
+    v = F.col(stump["attribute"]).cast("string")
+    return F.when(v.isNull(), F.lit(stump["missing"])).when(v == stump["value"], F.lit(stump["yes"])).otherwise(F.lit(stump["no"]))
+
+
+def _apply_stump(rows: DataFrame, key: str, stump: dict) -> DataFrame:
+    return rows.select(key, _stump_column(stump).alias("predicted"))
+
+
+def ada_boost(train: DataFrame, rows: DataFrame, key: str, attributes: Sequence[str], cls: str, rounds: int) -> DataFrame:
+    """(key, predicted): stumps boosted by reweighting (AdaBoost.M1), votes weighted by log((1 - e) / e).
+
+    A row's weight is a product over the stumps so far, so it is an expression
+    of the row and no weights are stored.  The rounds end early when a stump
+    makes no error or errs on half of the weight.
+    """
+    known = train.where(F.col(cls).isNotNull())
+    weight, votes = F.lit(1.0), []
+    for _ in range(rounds):
+        d = known.withColumn("__w", weight)
+        stump = _best_stump(d, attributes, cls, "__w")
+        said = _stump_column(stump)
+        wrong = ~said.eqNullSafe(F.col(cls).cast("string"))
+        total, bad = d.agg(F.sum("__w").alias("t"), F.coalesce(F.sum(F.when(wrong, F.col("__w"))), F.lit(0.0)).alias("b")).first()
+        error = bad / total if total else 0.0
+        if not votes and (error >= 0.5 or error <= 0):
+            votes.append((said, 1.0))
+        if error >= 0.5 or error <= 0:
             break
-        merit, chosen = best[0], [*chosen, best[1]]
-    return [attributes[i] for i in chosen]
+        beta = (1 - error) / error
+        votes.append((said, math.log(beta)))
+        weight = weight * F.when(wrong, F.lit(beta)).otherwise(F.lit(1.0))
+    pairs = F.array(*[F.struct(c.alias("class"), F.lit(float(a)).alias("a")) for c, a in votes])
+    total = rows.select(key, F.inline(pairs)).groupBy(key, "class").agg(F.sum("a").alias("a"))
+    return total.groupBy(key).agg(F.min_by("class", F.struct((-F.round("a", 9)).alias("a"), "class")).alias("predicted"))
+
+
+def farthest_first(df: DataFrame, key: str, vector: str, k: int, first) -> list:
+    """Keys of ``k`` centres: from ``first`` on, always the row farthest from those chosen (ties to the smaller key).
+
+    One aggregate per centre; only centres reach the driver.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("__v"))
+    chosen, centres = [], []
+    start = rows.where(F.col(key) == first).first()
+    if start is None:
+        raise ValueError("the first centre is not among the rows")
+    while True:
+        chosen.append(start[key])
+        centres.append(start["__v"])
+        if len(chosen) == k:
+            return chosen
+        far = rows.where(~F.col(key).isin(*chosen)).agg(F.min_by(F.struct(key, "__v"), F.struct((-F.round(_closest(centres), 9)).alias("d"), key)).alias("m")).first()["m"]
+        if far is None:
+            return chosen
+        start = far
+
+
+def _distance(centre: list) -> Column:
+    point = F.array(*[F.lit(float(x)) for x in centre])
+    return F.sqrt(F.aggregate(F.zip_with("__v", point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+
+
+def _closest(centres: list[list]) -> Column:
+    each = [_distance(c) for c in centres]
+    return F.least(*each) if len(each) > 1 else each[0]
+
+
+def without_misclassified(rows: DataFrame, predicted: DataFrame, key: str, cls: str) -> DataFrame:
+    """The rows whose prediction agrees with their class; rows without a class or a prediction stay."""
+    p = predicted.select(key, F.col("predicted").cast("string").alias("__p"))
+    agrees = F.col("__p").isNull() | F.col(cls).isNull() | (F.col("__p") == F.col(cls).cast("string"))
+    return rows.join(p, key, "left").where(agrees).drop("__p")

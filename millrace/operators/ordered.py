@@ -83,3 +83,49 @@ def exponential_index(df: DataFrame, key: str, t: str, value: str, alpha: float)
 
     # a key's rows are in one partition and in order, so one pass with one state is enough
     return df.select(key, t, value).repartition(key).sortWithinPartitions(key, t).mapInPandas(smooth, schema)
+
+
+def natural_spline(x, y, at):
+    """Natural cubic spline through (x, y), x rising, at the positions ``at``; straight beyond the ends."""
+    import numpy as np
+
+    x, y, at = np.asarray(x, float), np.asarray(y, float), np.asarray(at, float)
+    n = len(x)
+    if n == 0:
+        return np.full(len(at), np.nan)
+    if n == 1:
+        return np.full(len(at), y[0])
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    m = np.zeros(n)  # second derivatives: a tridiagonal system, solved by elimination in both directions
+    if n > 2:
+        diag, right = 2 * (h[:-1] + h[1:]), 6 * np.diff(slope)
+        for i in range(1, n - 2):
+            f = h[i] / diag[i - 1]
+            diag[i] -= f * h[i]
+            right[i] -= f * right[i - 1]
+        m[n - 2] = right[-1] / diag[-1]
+        for i in range(n - 4, -1, -1):
+            m[i + 1] = (right[i] - h[i + 1] * m[i + 2]) / diag[i]
+    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    t, u = at - x[k], x[k + 1] - at
+    inside = (m[k] * u**3 + m[k + 1] * t**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * u + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * t
+    first = slope[0] - h[0] * (2 * m[0] + m[1]) / 6
+    last = slope[-1] + h[-1] * (m[-2] + 2 * m[-1]) / 6
+    return np.where(at < x[0], y[0] + first * (at - x[0]), np.where(at > x[-1], y[-1] + last * (at - x[-1]), inside))
+
+
+def cubic_spline(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
+    """(key, t, value, spline): a natural cubic spline per series through its known values, read at every ``t``.
+
+    The system of a spline couples all knots, so a series is one task's work
+    (its positions and values only, 16 bytes a row).  Several values at one
+    ``t`` count with their mean; a series without values has none.
+    """
+    schema = df.select(key, t, value).schema.add("spline", "double")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf[[t, value]].dropna().astype(float).groupby(t)[value].mean()
+        pdf["spline"] = natural_spline(known.index, known, pdf[t].astype(float))
+        return pdf
+
+    return df.select(key, t, value).groupBy(key).applyInPandas(fit, schema)

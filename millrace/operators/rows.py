@@ -120,6 +120,46 @@ def resample(df: DataFrame, share: float, seed: int, replacement: bool = True) -
     return df.sample(withReplacement=replacement, fraction=share, seed=seed)
 
 
+def resample_to_uniform(df: DataFrame, cls: str, share: float, bias: float, seed: int) -> DataFrame:
+    """A sample with replacement whose class shares move by ``bias`` (0 to 1) from those of the rows to equal ones.
+
+    Each row is repeated a Poisson number of times (normal from a rate of 30
+    on); the rates come from one count per class, so rows are never gathered.
+    A missing class is a class.
+    """
+    counts = df.groupBy(cls).agg(F.count("*").alias("__n")).withColumnRenamed(cls, "__c")
+    rows, classes = df.select(F.count("*").alias("n")).scalar(), counts.select(F.count("*").alias("k")).scalar()
+    rates = counts.select("__c", ((1 - bias) * share + bias * share * rows / (classes * F.col("__n"))).alias("__rate"))
+    # a Poisson number by the inverse of its distribution: how many of the cumulated probabilities lie below the draw
+    term = F.aggregate(
+        F.sequence(F.lit(1), F.lit(160)),
+        F.struct(F.lit(0).alias("k"), F.exp(-F.col("__rate")).alias("p"), F.exp(-F.col("__rate")).alias("c")),
+        lambda a, i: F.struct((a["k"] + (F.col("__u") > a["c"]).cast("int")).alias("k"), (a["p"] * F.col("__rate") / i).alias("p"), (a["c"] + a["p"] * F.col("__rate") / i).alias("c")),
+        lambda a: a["k"],
+    )
+    large = F.greatest(F.round(F.col("__rate") + F.sqrt("__rate") * F.col("__z")), F.lit(0)).cast("int")
+    drawn = df.withColumn("__u", F.rand(seed)).withColumn("__z", F.randn(seed + 1)).join(rates, F.col(cls).eqNullSafe(F.col("__c")))
+    drawn = drawn.withColumn("__k", F.when(F.col("__rate") < 30, term).otherwise(large))
+    return drawn.where("__k > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(df.columns)
+
+
+def rank_select(df: DataFrame, score: Column, ties: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """``draws`` rows drawn with replacement, the best of n with weight n, the next with n - 1, ... (``rank`` is added).
+
+    The weight of the ranks up to r is a square, so a uniform number gives a
+    rank in closed form, and drawn ranks meet rows by an equi-join.
+    """
+    ranked = with_ordinal(df, score.desc_nulls_last(), *ties, name="rank")
+    n = ranked.count()
+    if not n:
+        return ranked
+    u = F.rand(seed) * (n * (n + 1) / 2)
+    # from the last rank upwards weights are 1, 2, ...: the first place whose sum exceeds the number
+    at = F.least(F.floor((F.sqrt(8 * u + 1) - 1) / 2), F.lit(n - 1))
+    drawn = df.sparkSession.range(draws).select((F.lit(n) - at).cast("bigint").alias("rank"))
+    return drawn.groupBy("rank").agg(F.count("*").alias("__n")).join(ranked, "rank").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*df.columns, "rank")
+
+
 def shuffle_rows(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed))
 

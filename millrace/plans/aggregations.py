@@ -241,3 +241,22 @@ def _(t):
 def _(t):
     g = A.share_of_total(t.lineitem, "l_returnflag", F.count("*"))
     return g.withColumn("share", F.round("share", 6))
+
+
+@query("facet_valid", "SELECT client AS term, count(*) AS frequency FROM client_stats WHERE regexp_full_match(client, '[a-z0-9.]+') GROUP BY 1")
+def _(t):
+    return A.facet_field(t.client_stats, "client", F.col("client").rlike("^[a-z0-9.]+$"))
+
+
+@query(
+    "significance",
+    """WITH b AS (SELECT floor(o_totalprice / 20000) AS b, avg((o_orderstatus = 'F')::INT::DOUBLE) AS p FROM orders GROUP BY 1) SELECT c_custkey, round(coalesce(p, 0), 9) AS significance FROM customer LEFT JOIN b ON b = floor(c_acctbal * 30 / 20000)""",
+)
+def _(t):
+    d = A.significance(t.customer, F.col("c_acctbal") * 30, t.orders, F.col("o_totalprice"), F.col("o_orderstatus") == "F", 20000)
+    return d.select("c_custkey", F.round("significance", 9).alias("significance"))
+
+
+@query("value_history", "SELECT user_id, list(value ORDER BY event_id) FILTER (value IS NOT NULL) AS history FROM events GROUP BY 1")
+def _(t):
+    return A.history(t.events, "user_id", "event_id", "value")

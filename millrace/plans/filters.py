@@ -172,3 +172,29 @@ def _(t):
         args={"lo": 100000, "hi": 200000, "status": "O"},
         orders=t.orders,
     )
+
+
+@query("crit_in_folder", "SELECT DISTINCT path FROM source_file WHERE path LIKE 'scripts/%' AND path NOT LIKE 'scripts/%/%'")
+def _(t):
+    return t.source_file.where(K.in_folder("path", "scripts")).select("path").distinct()
+
+
+@query("crit_in_tree", "SELECT DISTINCT path FROM source_file WHERE path LIKE 'src/main/%' AND path <> 'src/main/'")
+def _(t):
+    return t.source_file.where(K.in_tree("path", "src/main/")).select("path").distinct()
+
+
+@query("crit_term_query", "SELECT stat_id FROM client_stats WHERE list_contains([client, count::VARCHAR], '7')")
+def _(t):
+    return t.client_stats.where(K.term_query(F.array("client", F.col("count").cast("string")), 7)).select("stat_id")
+
+
+@query("crit_identifier", "SELECT jo_id, jo_system FROM journal WHERE jo_system = 'ldap'")
+def _(t):
+    return t.journal.where(K.identifier("jo_system") == "ldap").select("jo_id", "jo_system")
+
+
+@query("crit_stored_clause", "SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def _(t):
+    store = {("customer", "where"): "c_acctbal < 0"}
+    return t.customer.where(K.clauses(store, "customer", "where") & K.clauses(store, "customer", "having")).select("c_custkey")

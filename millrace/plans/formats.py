@@ -91,7 +91,7 @@ def _(t):
     return R.shards(t.spark, {f"s{i}": f"{path}/s=s{i}" for i in range(3)}).select("o_orderkey", "shard")
 
 
-@query("empty_relation")
+@query("empty_relation", "SELECT 1 AS x WHERE false")
 def _(t):
     return R.empty(t.spark).select(F.lit(1).alias("x"))
 
@@ -177,7 +177,13 @@ def _(t):
     return t.spark.read.parquet(f"{root}/out").groupBy("jo_type").agg(F.count("*").alias("n"))
 
 
-@query("context_stack")
+@query(
+    "context_stack",
+    """WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_type WHEN 'click' THEN 'push' WHEN 'error' THEN 'clear' ELSE 'pop' END AS op FROM events),
+       s AS (SELECT user_id, event_id, i, CASE WHEN op = 'push' THEN [event_id::VARCHAR] ELSE []::VARCHAR[] END AS st FROM o WHERE i = 1 UNION ALL
+         SELECT o.user_id, o.event_id, o.i, CASE o.op WHEN 'push' THEN list_slice(list_append(s.st, o.event_id::VARCHAR), 1, 5) WHEN 'clear' THEN []::VARCHAR[] ELSE list_slice(s.st, 1, greatest(len(s.st) - 1, 0)) END FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1)
+       SELECT user_id, event_id, len(st)::INT AS depth, st[len(st)] AS top FROM s""",
+)
 def _(t):
     ops = t.events.select("user_id", "event_id", F.when(F.col("event_type") == "click", "push").when(F.col("event_type") == "error", "clear").otherwise("pop").alias("op"), F.col("event_id").cast("string").alias("item"))
     return P.context_stacks(ops, "user_id", "event_id", "op", "item", 5)
@@ -216,3 +222,107 @@ def _(t):
     s = P.event_time(P.event_source(t.spark, t.folder, "events"), "ts", "1 hour")
     out = P.run_to_table(P.window_stats(s, "ts", "1 day", "value"), f"g{os.urandom(4).hex()}", "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("mean", 6).alias("mean"), "high")
+
+
+@query("io_arff", "SELECT ord, StringAtt1, NominalAtt1, CASE WHEN isnan(NumericAtt1) THEN NULL ELSE NumericAtt1 END AS NumericAtt1, date_trunc('second', DateAtt1) AS DateAtt1 FROM filter_row")
+def _(t):
+    path = _folder(t, "arff")
+    W.write_arff(t.filter_row.select("ord", "StringAtt1", "NominalAtt1", "NumericAtt1", "DateAtt1"), path, "filter_row", "ord", nominal=["NominalAtt1"])
+    d = R.arff(t.spark, path).drop("ord")
+    return d.select(F.col("pos").cast("bigint").alias("ord"), "StringAtt1", "NominalAtt1", "NumericAtt1", F.col("DateAtt1").cast("timestamp_ntz").alias("DateAtt1"))
+
+
+@query("io_jdbc", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0")
+def _(t):
+    url = f"jdbc:derby:memory:m{os.urandom(6).hex()};create=true"
+    W.write_jdbc(t.customer.select("c_custkey", "c_name", "c_acctbal"), url, "customer")
+    d = R.jdbc(t.spark, url, 'SELECT "c_custkey", "c_name", "c_acctbal" FROM customer WHERE "c_acctbal" > 0', partition=('"c_custkey"', 1, 1500, 4))
+    return d.select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("io_fastq", "SELECT n_nationkey::VARCHAR AS id, n_name AS comment, translate(n_name, ' ', 'N') AS bases, list_transform(string_split(n_name, ''), lambda c: ascii(c) - 33) AS qualities FROM nation")
+def _(t):
+    path = _folder(t, "fastq")
+    n = F.translate("n_name", " ", "N")
+    record = F.concat(F.lit("@"), F.col("n_nationkey").cast("string"), F.lit(" "), "n_name", F.lit("\n"), n, F.lit("\n+\n"), F.translate("n_name", " ", "A"))
+    t.nation.select(record.alias("value")).coalesce(2).write.text(path)
+    d = R.fastq(t.spark, path)
+    blank = F.zip_with(F.col("qualities"), F.split("comment", ""), lambda q, c: F.when(c == " ", F.lit(-1)).otherwise(q))
+    return d.select("id", "comment", "bases", blank.alias("qualities"))
+
+
+@query("io_hl7", "SELECT n_nationkey::VARCHAR AS key, rep, value FROM (SELECT n_nationkey, 0 AS rep, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 1, n_regionkey::VARCHAR FROM nation)")
+def _(t):
+    path = _folder(t, "hl7")
+    lines = F.concat(F.lit("PID|"), F.col("n_nationkey").cast("string"), F.lit("|"), "n_name", F.lit("~"), F.col("n_regionkey").cast("string"), F.lit("^x"))
+    t.nation.select(lines.alias("value")).write.text(path)
+    d = R.hl7(t.spark, path).where("segment = 'PID' AND component = 0")
+    keys = d.where("field = 1").select("file", "n", F.col("value").alias("key"))
+    return d.where("field = 2").join(keys, ["file", "n"]).select("key", "rep", "value")
+
+
+@query("io_aleph", "SELECT lpad(n_nationkey::VARCHAR, 9, '0') AS id, '245' AS tag, n_name AS title, n_regionkey = 0 AS deleted FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT lpad(n_nationkey::VARCHAR, 9, '0'), 'DEL', n_name, true FROM nation WHERE n_regionkey = 0")
+def _(t):
+    path = _folder(t, "aleph")
+    tag = F.when(F.col("n_regionkey") == 0, F.lit("DEL")).otherwise(F.lit("245"))
+    t.nation.select(F.concat(F.lpad(F.col("n_nationkey").cast("string"), 9, "0"), F.lit(" "), tag, F.lit("00 L $$a"), "n_name", F.lit("$$b-")).alias("value")).write.text(path)
+    return R.aleph(t.spark, path).select("id", "tag", F.col("subfields")[0]["text"].alias("title"), "deleted")
+
+
+@query("io_splits", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, 's' || (n_regionkey % 2) AS split FROM nation")
+def _(t):
+    path = _folder(t, "splits")
+    for i in range(2):  # each split is a file that holds one array
+        part = t.nation.where(F.pmod("n_regionkey", F.lit(2)) == i)
+        part.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value")).write.text(f"{path}/s{i}")
+    return R.json_splits(t.spark, [f"{path}/s0", f"{path}/s1"], "n_nationkey bigint, n_name string", level=-2)
+
+
+@query("io_file_filter", "SELECT r_regionkey::BIGINT AS r_regionkey FROM region")
+def _(t):
+    path = _folder(t, "filter")
+    t.region.select("r_regionkey").write.json(path)
+    return R.file_filter(t.spark, "json", path, ["part-0*.json", "none*"], "r_regionkey bigint")
+
+
+@query("io_cursor", "SELECT r_regionkey, r_name FROM region")
+def _(t):
+    d = t.region.select("r_regionkey", "r_name")
+    return t.spark.createDataFrame([tuple(r) for r in R.cursor(d)], d.schema)
+
+
+@query("io_labels", "SELECT 'a' AS x, 'b' AS y UNION ALL SELECT 'c', NULL")
+def _(t):
+    return R.with_labels(t.spark, ["x", "y"], [["a", "b"], ["c", None]])
+
+
+@query("io_each_row", "SELECT count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM nation")
+def _(t):
+    n, total = t.spark.sparkContext.accumulator(0), t.spark.sparkContext.accumulator(0)
+
+    def send(row: dict) -> None:
+        n.add(1)
+        total.add(row["n_nationkey"])
+
+    W.each_row(t.nation.select("n_nationkey"), send)
+    return t.spark.createDataFrame([(n.value, total.value)], "n bigint, total bigint")
+
+
+@query("python_function", "SELECT p_partkey, upper(p_brand) || '/' || p_size AS label FROM part")
+def _(t):
+    import pandas as pd
+
+    def label(brand: pd.Series, size: pd.Series) -> pd.Series:
+        return brand.str.upper() + "/" + size.astype(str)
+
+    t.spark.udf.register("millrace_label", F.pandas_udf(label, "string"))
+    return t.spark.sql("SELECT p_partkey, millrace_label(p_brand, p_size) AS label FROM {part}", part=t.part)
+
+
+@query("stream_fan_out", "SELECT 'click' AS view, count(*) FILTER (event_type = 'click') AS n FROM events UNION ALL SELECT 'all', count(*) FROM events")
+def _(t):
+    root = _folder(t, "fan")
+    sink = lambda name, cond: lambda b: b.where(cond).write.mode("append").parquet(f"{root}/{name}")
+    P.fan_out(P.event_source(t.spark, t.folder, "events").select("event_id", "event_type"), [sink("click", "event_type = 'click'"), sink("all", "true")], f"{root}/ckpt")
+    count = lambda name: t.spark.read.schema("event_id bigint, event_type string").parquet(f"{root}/{name}").agg(F.lit(name).alias("view"), F.count("*").alias("n"))
+    return count("click").unionByName(count("all"))

@@ -25,7 +25,17 @@ def _(t):
     return t.filter_row.select("ord", M.zero_rule(t.filter_row, "NominalAtt2").alias("predicted"))
 
 
-@query("naive_bayes")
+_CELLS = "SELECT ord, NominalAtt2 AS class, unnest(['NominalAtt1', 'StringAtt2']) AS attribute, unnest([NominalAtt1, StringAtt2]) AS value FROM filter_row"
+
+
+@query(
+    "naive_bayes",
+    f"""WITH p AS ({_CELLS}), c AS (SELECT attribute, value, class, count(*) AS n FROM p WHERE value IS NOT NULL AND class IS NOT NULL GROUP BY ALL), k AS (SELECT NominalAtt2 AS class, count(*) AS nc FROM filter_row WHERE NominalAtt2 IS NOT NULL GROUP BY 1),
+       l AS (SELECT attribute, count(DISTINCT value) AS levels FROM c GROUP BY 1), v AS (SELECT DISTINCT attribute, value FROM c),
+       m AS (SELECT v.attribute, v.value, k.class, ln((coalesce(n, 0) + 1)::DOUBLE / (nc + levels)) AS s FROM v JOIN l USING (attribute) CROSS JOIN k LEFT JOIN c ON c.attribute = v.attribute AND c.value = v.value AND c.class = k.class),
+       s AS (SELECT ord, m.class, sum(s) AS l FROM p JOIN m USING (attribute, value) GROUP BY 1, 2), t AS (SELECT ord, class, round(l + ln(nc::DOUBLE / (SELECT sum(nc) FROM k)), 9) AS score FROM s JOIN k USING (class))
+       SELECT ord, arg_min(class, (-score, class)) AS predicted FROM filter_row LEFT JOIN t USING (ord) GROUP BY 1""",
+)
 def _(t):
     return M.naive_bayes(t.filter_row, t.filter_row, "ord", ["NominalAtt1", "StringAtt2"], "NominalAtt2")
 
@@ -36,20 +46,29 @@ def _(t):
     return r.select(F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"), "n")
 
 
-@query("linear_regression")
+@query(
+    "linear_regression",
+    """WITH s AS (SELECT covar_pop(l_quantity, l_quantity) AS qq, covar_pop(l_quantity, l_discount) AS qd, covar_pop(l_discount, l_discount) AS dd, covar_pop(l_extendedprice, l_quantity) AS yq, covar_pop(l_extendedprice, l_discount) AS yd,
+       avg(l_quantity) AS mq, avg(l_discount) AS md, avg(l_extendedprice) AS my FROM lineitem), b AS (SELECT *, (yq * dd - yd * qd) / (qq * dd - qd * qd) AS b1, (yd * qq - yq * qd) / (qq * dd - qd * qd) AS b2 FROM s)
+       SELECT l_orderkey, round(my + b1 * (l_quantity - mq) + b2 * (l_discount - md), 3) AS prediction FROM lineitem, b""",
+)
 def _(t):
     from pyspark.ml.regression import LinearRegression
 
     d = M.features(t.lineitem.select("l_orderkey", "l_quantity", "l_discount", "l_extendedprice"), ["l_quantity", "l_discount"])
-    return M.fit_predict(LinearRegression(labelCol="l_extendedprice", maxIter=5), d).select("l_orderkey", "prediction")
+    return M.fit_predict(LinearRegression(labelCol="l_extendedprice", solver="normal"), d).select("l_orderkey", F.round("prediction", 3).alias("prediction"))
 
 
-@query("isotonic_regression")
+@query(
+    "isotonic_regression",
+    """WITH u AS (SELECT p_size::DOUBLE AS x, count(*) AS w, avg(p_retailprice) AS y FROM part GROUP BY 1), r AS (SELECT a.x AS lo, b.x AS hi, sum(u.w * u.y) / sum(u.w) AS m FROM u a JOIN u b ON b.x >= a.x JOIN u ON u.x BETWEEN a.x AND b.x GROUP BY 1, 2),
+       g AS (SELECT u.x, lo, min(m) AS least FROM u JOIN r ON lo <= u.x AND hi >= u.x GROUP BY 1, 2), f AS (SELECT x, max(least) AS v FROM g GROUP BY 1) SELECT p_partkey, round(v, 4) AS prediction FROM part JOIN f ON x = p_size""",
+)
 def _(t):
     from pyspark.ml.regression import IsotonicRegression
 
     d = M.features(t.part.select("p_partkey", F.col("p_size").cast("double").alias("x"), "p_retailprice"), ["x"])
-    return M.fit_predict(IsotonicRegression(labelCol="p_retailprice"), d).select("p_partkey", "prediction")
+    return M.fit_predict(IsotonicRegression(labelCol="p_retailprice"), d).select("p_partkey", F.round("prediction", 4).alias("prediction"))
 
 
 @query("logistic")
@@ -91,13 +110,22 @@ def _(t):
     return M.fit_predict(GaussianMixture(k=3, seed=1, maxIter=5), d).select("c_custkey", F.col("prediction").alias("cluster"))
 
 
-@query("fpgrowth")
+@query(
+    "fpgrowth",
+    """WITH RECURSIVE b AS (SELECT DISTINCT l_orderkey AS o, 's' || l_suppkey AS i FROM lineitem), n AS (SELECT ceil(count(DISTINCT o) * 0.05) AS c FROM b), one AS (SELECT i FROM b GROUP BY i HAVING count(*) >= (SELECT c FROM n)), f AS (SELECT o, i FROM b JOIN one USING (i)),
+       s AS (SELECT o, [i] AS items, i AS top FROM f UNION ALL SELECT f.o, list_append(items, f.i), f.i FROM s JOIN f ON f.o = s.o AND f.i > s.top) SELECT items, count(*) AS freq FROM s GROUP BY 1 HAVING count(*) >= (SELECT c FROM n)""",
+)
 def _(t):
     baskets = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("items"))
     return M.fp_growth(baskets, "items", 0.05, 0.1)[0].select(F.array_sort("items").alias("items"), "freq")
 
 
-@query("sequential_patterns")
+@query(
+    "sequential_patterns",
+    """WITH e AS (SELECT user_id, event_type AS i, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events), n AS (SELECT ceil(count(DISTINCT user_id) * 0.9) AS c FROM events), a AS (SELECT user_id, [[i]] AS sequence, min(p) AS p FROM e GROUP BY user_id, i),
+       b AS (SELECT a.user_id, list_append(sequence, [i]) AS sequence, min(e.p) AS p FROM a JOIN e ON e.user_id = a.user_id AND e.p > a.p GROUP BY a.user_id, sequence, i), c AS (SELECT b.user_id, list_append(sequence, [i]) AS sequence, min(e.p) AS p FROM b JOIN e ON e.user_id = b.user_id AND e.p > b.p GROUP BY b.user_id, sequence, i)
+       SELECT sequence, count(*) AS freq FROM (FROM a UNION ALL FROM b UNION ALL FROM c) GROUP BY 1 HAVING count(*) >= (SELECT c FROM n)""",
+)
 def _(t):
     seq = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))
     return M.sequential_patterns(seq.select(F.transform("s", lambda x: F.array(x["event_type"])).alias("sequence")), "sequence", 0.9, 3)
@@ -113,9 +141,15 @@ def _(t):
     return M.nearest(t.embeddings, q, "vec_id", "embedding", 5).select("query", "neighbour", F.round("distance", 5).alias("distance"))
 
 
-@query("outlier_factor")
+@query(
+    "outlier_factor",
+    """WITH d AS (SELECT a.vec_id AS q, b.vec_id AS n, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id), r AS (SELECT q, n, d, row_number() OVER (PARTITION BY q ORDER BY d, n) AS r FROM d QUALIFY r <= 10),
+       w AS (SELECT q, n, d, k FROM r, unnest(range(5, 11)) AS u(k) WHERE r <= k), kd AS (SELECT q, k, max(d) AS kd FROM w GROUP BY 1, 2), l AS (SELECT w.q, w.k, count(*) / nullif(sum(greatest(w.d, kd.kd)), 0) AS lrd FROM w JOIN kd ON kd.q = w.n AND kd.k = w.k GROUP BY 1, 2),
+       f AS (SELECT w.q, w.k, avg(b.lrd) / any_value(a.lrd) AS lof FROM w JOIN l b ON b.q = w.n AND b.k = w.k JOIN l a ON a.q = w.q AND a.k = w.k WHERE w.q % 100 = 0 GROUP BY 1, 2) SELECT q AS query, round(coalesce(max(lof), 1), 4) AS lof FROM f GROUP BY 1""",
+)
 def _(t):
-    return M.outlier_factor(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
+    f = M.outlier_factor(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", 5, 10)
+    return f.select("query", F.round("lof", 4).alias("lof"))
 
 
 @query("smote")
@@ -134,7 +168,87 @@ def _(t):
     return M.one_rule(t.filter_row, t.filter_row, "ord", "StringAtt2", "NominalAtt2")
 
 
-@query("attribute_selection")
+_PAIRS = """x AS (SELECT unnest(['a', 'a', 'a', 'b', 'b', 'c']) AS i, unnest(['b', 'c', 'k', 'c', 'k', 'k']) AS j, unnest([StringAtt1, StringAtt1, StringAtt1, NominalAtt1, NominalAtt1, StringAtt2]) AS u,
+  unnest([NominalAtt1, StringAtt2, NominalAtt2, StringAtt2, NominalAtt2, NominalAtt2]) AS v FROM filter_row), y AS (SELECT * FROM x WHERE u IS NOT NULL AND v IS NOT NULL), t AS (SELECT i, j, count(*)::DOUBLE AS n FROM y GROUP BY 1, 2),
+  hu AS (SELECT i, j, -sum(c / n * log2(c / n)) AS h FROM (SELECT i, j, u, count(*)::DOUBLE AS c FROM y GROUP BY 1, 2, 3) JOIN t USING (i, j) GROUP BY 1, 2), hv AS (SELECT i, j, -sum(c / n * log2(c / n)) AS h FROM (SELECT i, j, v, count(*)::DOUBLE AS c FROM y GROUP BY 1, 2, 3) JOIN t USING (i, j) GROUP BY 1, 2),
+  hj AS (SELECT i, j, -sum(c / n * log2(c / n)) AS h FROM (SELECT i, j, u, v, count(*)::DOUBLE AS c FROM y GROUP BY 1, 2, 3, 4) JOIN t USING (i, j) GROUP BY 1, 2),
+  su AS (SELECT i || j AS p, CASE WHEN hu.h + hv.h > 0 THEN 2 * (hu.h + hv.h - hj.h) / (hu.h + hv.h) ELSE 0 END AS s FROM hu JOIN hv USING (i, j) JOIN hj USING (i, j)), m AS (SELECT map(list(p), list(s)) AS m FROM su)"""
+
+
+@query(
+    "attribute_selection",
+    f"""WITH {_PAIRS}, s AS (SELECT ['StringAtt1'] AS names, m['ak'] AS merit FROM m UNION ALL SELECT ['NominalAtt1'], m['bk'] FROM m UNION ALL SELECT ['StringAtt2'], m['ck'] FROM m UNION ALL SELECT ['StringAtt1', 'NominalAtt1'], (m['ak'] + m['bk']) / sqrt(2 + 2 * m['ab']) FROM m
+       UNION ALL SELECT ['StringAtt1', 'StringAtt2'], (m['ak'] + m['ck']) / sqrt(2 + 2 * m['ac']) FROM m UNION ALL SELECT ['NominalAtt1', 'StringAtt2'], (m['bk'] + m['ck']) / sqrt(2 + 2 * m['bc']) FROM m
+       UNION ALL SELECT ['StringAtt1', 'NominalAtt1', 'StringAtt2'], (m['ak'] + m['bk'] + m['ck']) / sqrt(3 + 2 * (m['ab'] + m['ac'] + m['bc'])) FROM m) SELECT unnest(arg_max(names, merit)) AS attribute FROM s""",
+)
 def _(t):
     chosen = M.cfs_select(t.filter_row, ["StringAtt1", "NominalAtt1", "StringAtt2"], "NominalAtt2")
-    return t.spark.createDataFrame([(i, c) for i, c in enumerate(chosen, 1)], "rank int, attribute string")
+    return t.spark.createDataFrame([(c,) for c in chosen], "attribute string")
+
+
+@query(
+    "naive_bayes_multinomial",
+    """WITH w AS (SELECT doc_id, doc_kind AS class, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT word, class, count(*) AS n FROM w WHERE class IS NOT NULL GROUP BY 1, 2), k AS (SELECT doc_kind AS class, count(*) AS docs FROM documents WHERE doc_kind IS NOT NULL GROUP BY 1),
+       t AS (SELECT class, sum(n) AS t FROM c GROUP BY 1), v AS (SELECT count(DISTINCT word) AS v FROM c), b AS (SELECT doc_id, word, count(*) AS m FROM w WHERE word IN (SELECT word FROM c) GROUP BY 1, 2), l AS (SELECT doc_id, sum(m) AS len FROM b GROUP BY 1),
+       g AS (SELECT doc_id, c.class, sum(m * ln((n + 1)::DOUBLE)) AS gain FROM b JOIN c USING (word) GROUP BY 1, 2), s AS (SELECT d.doc_id, k.class, round(ln(docs::DOUBLE / (SELECT sum(docs) FROM k)) - coalesce(len, 0) * ln((coalesce(t, 0) + v)::DOUBLE) + coalesce(gain, 0), 6) AS s
+         FROM documents d CROSS JOIN k CROSS JOIN v LEFT JOIN t ON t.class = k.class LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id AND g.class = k.class) SELECT doc_id, arg_min(class, (-s, class)) AS predicted FROM s GROUP BY 1""",
+)
+def _(t):
+    d = t.documents.select("doc_id", "doc_kind", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("words"))
+    return M.naive_bayes_multinomial(d, d, "doc_id", "words", "doc_kind")
+
+
+@query(
+    "decision_stump",
+    f"""WITH p AS ({_CELLS}), c AS (SELECT attribute, value, class, count(*)::DOUBLE AS w FROM p WHERE class IS NOT NULL GROUP BY ALL), t AS (SELECT attribute, class, sum(w) AS t FROM c WHERE value IS NOT NULL GROUP BY 1, 2), v AS (SELECT DISTINCT attribute, value FROM c WHERE value IS NOT NULL),
+       s AS (SELECT v.attribute, v.value, t.class, coalesce(w, 0) AS i, t - coalesce(w, 0) AS o FROM v JOIN t USING (attribute) LEFT JOIN c ON c.attribute = v.attribute AND c.value = v.value AND c.class = t.class),
+       b AS (SELECT attribute, value, max(i) + max(o) AS ok, arg_min(class, (-i, class)) AS yes, arg_min(class, (-o, class)) AS no FROM s GROUP BY 1, 2 ORDER BY ok DESC, attribute, value LIMIT 1), m AS (SELECT arg_min(class, (-w, class)) AS most FROM (SELECT class, sum(w) AS w FROM c GROUP BY 1))
+       SELECT ord, CASE WHEN p.value IS NULL THEN most WHEN p.value = b.value THEN yes ELSE no END AS predicted FROM p JOIN b ON p.attribute = b.attribute, m""",
+)
+def _(t):
+    return M.decision_stump(t.filter_row, t.filter_row, "ord", ["NominalAtt1", "StringAtt2"], "NominalAtt2")
+
+
+@query("ada_boost")
+def _(t):
+    return M.ada_boost(t.filter_row, t.filter_row, "ord", ["StringAtt1", "NominalAtt1", "StringAtt2"], "NominalAtt2", 5)
+
+
+@query(
+    "farthest_first",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), a AS (SELECT * FROM e ORDER BY vec_id LIMIT 1), b AS (SELECT e.* FROM e, a WHERE e.vec_id <> a.vec_id ORDER BY round(list_distance(e.v, a.v), 9) DESC, e.vec_id LIMIT 1),
+       c AS (SELECT e.* FROM e, a, b WHERE e.vec_id NOT IN (a.vec_id, b.vec_id) ORDER BY round(least(list_distance(e.v, a.v), list_distance(e.v, b.v)), 9) DESC, e.vec_id LIMIT 1), d AS (SELECT e.* FROM e, a, b, c WHERE e.vec_id NOT IN (a.vec_id, b.vec_id, c.vec_id)
+         ORDER BY round(least(list_distance(e.v, a.v), list_distance(e.v, b.v), list_distance(e.v, c.v)), 9) DESC, e.vec_id LIMIT 1)
+       SELECT 1 AS rank, vec_id FROM a UNION ALL SELECT 2, vec_id FROM b UNION ALL SELECT 3, vec_id FROM c UNION ALL SELECT 4, vec_id FROM d""",
+)
+def _(t):
+    first = t.embeddings.agg(F.min("vec_id")).first()[0]
+    return t.spark.createDataFrame(list(enumerate(M.farthest_first(t.embeddings, "vec_id", "embedding", 4, first), 1)), "rank int, vec_id bigint")
+
+
+@query("bisecting_kmeans")
+def _(t):
+    from pyspark.ml.clustering import BisectingKMeans
+
+    return M.fit_predict(BisectingKMeans(k=5, seed=1, maxIter=5), M.vector_column(t.embeddings, "embedding")).select("vec_id", F.col("prediction").alias("cluster"))
+
+
+@query("cluster_membership", "SELECT c_custkey, true AS whole, 3 AS clusters FROM customer")
+def _(t):
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import vector_to_array
+
+    d = M.features(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"])
+    d = M.fit_predict(GaussianMixture(k=3, seed=1, maxIter=5), d).select("c_custkey", vector_to_array("probability").alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return d.select("c_custkey", (F.abs(total - 1) < 1e-9).alias("whole"), F.size("p").alias("clusters"))
+
+
+@query(
+    "remove_misclassified",
+    """WITH c AS (SELECT StringAtt2 AS value, NominalAtt2 AS class, count(*) AS n FROM filter_row WHERE StringAtt2 IS NOT NULL AND NominalAtt2 IS NOT NULL GROUP BY 1, 2), r AS (SELECT value, arg_min(class, (-n, class)) AS p FROM c GROUP BY 1),
+       z AS (SELECT NominalAtt2 AS p FROM filter_row WHERE NominalAtt2 IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT ord FROM filter_row LEFT JOIN r ON StringAtt2 = value, z WHERE NominalAtt2 IS NULL OR NominalAtt2 = coalesce(r.p, z.p)""",
+)
+def _(t):
+    said = M.one_rule(t.filter_row, t.filter_row, "ord", "StringAtt2", "NominalAtt2")
+    return M.without_misclassified(t.filter_row.select("ord", "NominalAtt2"), said, "ord", "NominalAtt2").select("ord")

@@ -59,16 +59,26 @@ def _(t):
     return t.events.select("event_id", F.round(F.col("value") / F.sum("value").over(Window.partitionBy("user_id")), 6).alias("share"))
 
 
-@query("quality_trim")
+@query(
+    "quality_trim",
+    """WITH c AS (SELECT repo_id, i, ascii(substr(repo_name, i::INT, 1)) - 90 - 10 AS q FROM repo, unnest(range(1, length(repo_name) + 1)) AS u(i)), p AS (SELECT repo_id, i, sum(q) OVER (PARTITION BY repo_id ORDER BY i) AS s FROM c),
+       b AS (SELECT repo_id, i, s FROM p UNION ALL SELECT repo_id, 0, 0 FROM repo), r AS (SELECT x.repo_id, x.i AS b, y.i - 1 AS e, y.s - x.s AS m FROM b x JOIN p y ON x.repo_id = y.repo_id AND y.i > x.i WHERE y.s > x.s),
+       k AS (SELECT repo_id, arg_min({'b': b, 'e': e}, (-m, e, -b)) AS v FROM r GROUP BY 1) SELECT repo_id, coalesce(v.b, 0)::INT AS "begin", coalesce(v.e, -1)::INT AS "end" FROM repo LEFT JOIN k USING (repo_id)""",
+)
 def _(t):
     q = F.transform(F.split("repo_name", ""), lambda x: F.ascii(x) - 90)
     r = O.quality_trim(q, 10)
     return t.repo.select("repo_id", r["begin"].alias("begin"), r["end"].alias("end"))
 
 
-@query("exponential_index")
+@query(
+    "exponential_index",
+    """WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), s AS (SELECT user_id, event_id, i, value AS v FROM o WHERE i = 1 UNION ALL
+       SELECT o.user_id, o.event_id, o.i, CASE WHEN o.value IS NULL THEN s.v WHEN s.v IS NULL THEN o.value ELSE 0.3::DOUBLE * o.value + 0.7::DOUBLE * s.v END FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1)
+       SELECT user_id, event_id, round(v, 6) AS smooth FROM s""",
+)
 def _(t):
-    return O.exponential_index(t.events, "user_id", "event_id", "value", 0.3)
+    return O.exponential_index(t.events, "user_id", "event_id", "value", 0.3).select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
 
 
 @query("page_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
@@ -142,9 +152,16 @@ def _(t):
     return R.fold(t.filter_row.select("ord"), "ord", 10, 1)
 
 
-@query("stratified_fold")
+@query("stratified_fold", "SELECT NominalAtt2, ceil(count(*) / 10)::BIGINT AS n FROM filter_row GROUP BY 1")
 def _(t):
-    return R.stratified_fold(t.filter_row.select("ord", "NominalAtt2"), "ord", "NominalAtt2", 10, 1)
+    kept = R.stratified_fold(t.filter_row.select("ord", "NominalAtt2"), "ord", "NominalAtt2", 10, 1)
+    return kept.groupBy("NominalAtt2").agg(F.countDistinct("ord").alias("n"))
+
+
+@query("stratified_folds_are_a_partition", "SELECT ord, 1::BIGINT AS folds FROM filter_row")
+def _(t):
+    d = t.filter_row.select("ord", "NominalAtt2")
+    return R.union_all([R.stratified_fold(d, "ord", "NominalAtt2", 4, k) for k in (1, 2, 3, 4)]).groupBy("ord").agg(F.count("*").alias("folds"))
 
 
 @query("folds_modulo", "SELECT o_orderkey, (o_orderkey % 10)::BIGINT AS fold FROM orders")
@@ -157,24 +174,47 @@ def _(t):
     return R.class_cap(t.documents.select("doc_id", "source"), "source", ["doc_id"], 20)
 
 
-@query("train_test_split")
+# Random operators are held to what must be true of any draw; four standard errors bound the shares.
+@query("train_test_split", "SELECT count(*) AS n, count(*) AS kept, true AS near FROM documents")
 def _(t):
-    return R.hash_split(t.documents.select("doc_id"), "doc_id", {"train": 0.8, "test": 0.2})
+    s = R.hash_split(t.documents.select("doc_id"), "doc_id", {"train": 0.8, "test": 0.2})
+    share = F.avg((F.col("split") == "train").cast("double"))
+    return s.agg(F.count("*").alias("n"), F.count("split").alias("kept"), (F.abs(share - 0.8) <= 4 * F.sqrt(F.lit(0.16) / F.count("*"))).alias("near"))
 
 
-@query("reservoir_sample")
+@query("reservoir_sample", "SELECT 100::BIGINT AS n, 100::BIGINT AS known")
 def _(t):
-    return R.reservoir(t.orders.select("o_orderkey"), 100, 1)
+    s = R.reservoir(t.orders.select("o_orderkey"), 100, 1)
+    return s.join(t.orders.select("o_orderkey", F.lit(1).alias("k")), "o_orderkey", "left").agg(F.countDistinct("o_orderkey").alias("n"), F.count("k").alias("known"))
 
 
-@query("resample")
+@query("resample", "SELECT true AS near, true AS repeats")
 def _(t):
-    return R.resample(t.orders.select("o_orderkey"), 0.5, 1)
+    s = R.resample(t.orders.select("o_orderkey"), 0.5, 1).groupBy("o_orderkey").agg(F.count("*").alias("c"))
+    total = t.orders.select(F.count("*").alias("n")).scalar()
+    return s.agg((F.abs(F.sum("c") - total * 0.5) <= 4 * F.sqrt(total * 0.5)).alias("near"), (F.max("c") > 1).alias("repeats"))
 
 
-@query("gaussian_column")
+@query("resample_to_uniform", "SELECT o_orderstatus, true AS near FROM orders GROUP BY 1")
 def _(t):
-    return R.gaussian(t.region, 10, 4, 1)
+    s = R.resample_to_uniform(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", 0.5, 1.0, 1).groupBy("o_orderstatus").agg(F.count("*").alias("c"))
+    want = t.orders.select((F.count("*") * 0.5 / F.countDistinct("o_orderstatus")).alias("n")).scalar()
+    return s.select("o_orderstatus", (F.abs(F.col("c") - want) <= 4 * F.sqrt(want)).alias("near"))
+
+
+@query("gaussian_column", "SELECT count(*) AS n, true AS near FROM orders")
+def _(t):
+    g = R.gaussian(t.orders.select("o_orderkey"), 10, 4, 1)
+    n = F.count("*")
+    return g.agg(n.alias("n"), ((F.abs(F.avg("gauss") - 10) <= 8 / F.sqrt(n)) & (F.abs(F.var_samp("gauss") - 4) <= 16 * F.sqrt(2 / n))).alias("near"))
+
+
+@query("rank_selection", "SELECT true AS near")
+def _(t):
+    picked = R.rank_select(t.orders.select("o_orderkey", "o_totalprice"), F.col("o_totalprice"), ["o_orderkey"], 20_000, 1)
+    # of n ranks, the one at r is drawn with weight n + 1 - r, so the mean rank is (n + 2) / 3
+    n = t.orders.select(F.count("*").alias("n")).scalar().cast("double")
+    return picked.agg((F.abs(F.avg("rank") - (n + 2) / 3) <= 4 * n * F.sqrt(F.lit(1 / 18)) / F.sqrt(F.count("*"))).alias("near"))
 
 
 @query("union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT s_name FROM supplier")
@@ -237,7 +277,11 @@ def _(t):
     return t.lineitem.join(p, "l_partkey").join(s, "l_suppkey").select("l_orderkey", "l_linenumber", "p_brand", "s_nationkey")
 
 
-@query("implied_fk")
+@query(
+    "implied_fk",
+    """WITH c AS (SELECT table_name AS "table", regexp_replace(column_name, '^[^_]*_', '') AS "column", data_type AS type, ordinal_position = 1 AS is_key FROM information_schema.columns WHERE table_name IN ('nation', 'region', 'customer', 'orders'))
+       SELECT c."table", c."column", k."table" AS parent FROM c JOIN c k ON k.is_key AND k."column" = c."column" AND k.type = c.type AND k."table" <> c."table" """,
+)
 def _(t):
     rows = []
     for name in ("nation", "region", "customer", "orders"):
@@ -303,3 +347,35 @@ def _(t):
 )
 def _(t):
     return J.bidirectional(t.customer, "c_custkey", "c_mktsegment", "c_custkey")
+
+
+@query(
+    "mate_pairs",
+    "SELECT l_orderkey, max(l_partkey) - min(l_partkey) AS distance FROM lineitem GROUP BY 1 HAVING count(*) = 2 AND count(DISTINCT l_returnflag) = 2 AND max(l_partkey) - min(l_partkey) BETWEEN 10 AND 100",
+)
+def _(t):
+    return J.partners(t.lineitem, "l_orderkey", "l_partkey", "l_returnflag", 10, 100)
+
+
+@query("key_mapping", "SELECT o_orderkey, c_custkey + 1000000 AS target FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(t):
+    mapping = t.customer.select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") + 1_000_000).alias("target"))
+    return t.orders.select("o_orderkey", "o_custkey").join(mapping, "o_custkey").select("o_orderkey", "target")
+
+
+@query("randomized_order", "SELECT count(*) AS n, count(DISTINCT ord) AS kinds, true AS mixed FROM filter_row")
+def _(t):
+    from ..operators.ordinal import with_ordinal
+
+    d = with_ordinal(t.filter_row.select("ord").withColumn("u", F.rand(3)), "u", "ord", name="at")
+    return d.agg(F.count("*").alias("n"), F.countDistinct("ord").alias("kinds"), (F.abs(F.corr("at", "ord")) < 0.5).alias("mixed"))
+
+
+@query(
+    "spline_index",
+    """WITH k AS (SELECT n_nationkey AS x, (n_nationkey * n_nationkey % 7)::DOUBLE AS y FROM nation) SELECT x, round(y, 6) AS spline FROM k""",
+)
+def _(t):
+    # at its knots a spline is the series itself; tests/test_operators.py compares what lies between with a linear solve
+    d = t.nation.select(F.lit("a").alias("k"), F.col("n_nationkey").alias("x"), (F.col("n_nationkey") * F.col("n_nationkey") % 7).cast("double").alias("y"))
+    return O.cubic_spline(d, "k", "x", "y").select("x", F.round("spline", 6).alias("spline"))

@@ -277,19 +277,24 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(attenuated("l_extendedprice", F.col("l_quantity") * 1000, 0.5), 6).alias("v"))
 
 
-@query("add_noise")
+@query("add_noise", "SELECT count(*) AS n, true AS near, true AS within FROM filter_row")
 def _(t):
-    return C.add_noise(t.filter_row, "NominalAtt2", 10, ["a", "b", "c", "d"], 1).select("ord", "NominalAtt2")
+    d = C.add_noise(t.filter_row.withColumn("was", F.col("NominalAtt2")), "NominalAtt2", 50, ["x1", "x2"], 1)
+    n, noisy = F.count("*"), F.col("NominalAtt2").isin("x1", "x2")
+    kept = noisy | F.col("NominalAtt2").eqNullSafe(F.col("was"))
+    return d.agg(n.alias("n"), (F.abs(F.count_if(noisy) - n * 0.5) <= 2 * F.sqrt(n)).alias("near"), F.bool_and(kept).alias("within"))
 
 
-@query("random_columns")
+@query("random_columns", "SELECT count(*) AS n, 4 AS columns, true AS known FROM filter_row")
 def _(t):
-    return C.random_subset(t.filter_row, 0.5, 1)
+    d = C.random_subset(t.filter_row, 0.5, 1)
+    return d.agg(F.count("*").alias("n"), F.lit(len(set(d.columns))).alias("columns"), F.lit(set(d.columns) <= set(t.filter_row.columns)).alias("known"))
 
 
-@query("class_assigned", "SELECT ord, NominalAtt2 FROM filter_row")
+@query("class_assigned", """SELECT column_name AS "column", column_name = 'NominalAtt2' AS is_class FROM information_schema.columns WHERE table_name = 'filter_row'""")
 def _(t):
-    return C.with_class(t.filter_row, "NominalAtt2").select("ord", "NominalAtt2")
+    d = C.with_class(t.filter_row, "NominalAtt2")
+    return t.spark.createDataFrame([(f.name, bool(f.metadata.get("class"))) for f in d.schema.fields], "column string, is_class boolean")
 
 
 @query("mdl_discretize")
@@ -297,3 +302,18 @@ def _(t):
     cuts = C.mdl_cuts(t.filter_row, "NumericAtt1", "NominalAtt2")
     bin_ = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda x: x < C.clean("NumericAtt1"))) + 1
     return t.filter_row.select("ord", F.when(C.clean("NumericAtt1").isNull(), None).otherwise(bin_).alias("bin"))
+
+
+@query("domain_sorted", "SELECT row_number() OVER (ORDER BY lower(level), level)::INT AS code, level FROM (SELECT DISTINCT NominalAtt1 AS level FROM filter_row WHERE NominalAtt1 IS NOT NULL)")
+def _(t):
+    return C.domain(t.filter_row, "NominalAtt1", ignore_case=True).select("code", "level")
+
+
+@query("domain_added", "SELECT level FROM (SELECT DISTINCT NominalAtt1 AS level FROM filter_row WHERE NominalAtt1 IS NOT NULL UNION SELECT unnest(['added', 'r']))")
+def _(t):
+    return C.domain(t.filter_row, "NominalAtt1", added=["added", "r"]).select("level")
+
+
+@query("string_to_nominal", "WITH s AS (SELECT StringAtt1 AS v, min(ord) AS o FROM filter_row WHERE StringAtt1 IS NOT NULL GROUP BY 1), c AS (SELECT v, row_number() OVER (ORDER BY o, v)::INT AS code FROM s) SELECT ord, code FROM filter_row LEFT JOIN c ON v = StringAtt1")
+def _(t):
+    return C.first_seen_code(t.filter_row.select("ord", "StringAtt1"), "StringAtt1", "ord").select("ord", "code")

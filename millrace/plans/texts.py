@@ -37,9 +37,16 @@ def _(t):
     return t.documents.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("v"))
 
 
-@query("text_hashes", "SELECT doc_id, sha1(text) AS s1, sha256(text) AS s256 FROM documents")
+@query("text_hashes", "SELECT doc_id, sha1(text) AS s1, sha256(text) AS s256, md5(text) AS m, sha256(hex(text)) AS h, sha1(base64(encode(text))) AS b FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("s1"), F.sha2(F.encode("text", "UTF-8"), 256).alias("s256"))
+    u = F.encode("text", "UTF-8")
+    return t.documents.select("doc_id", X.digest("text", "SHA-1").alias("s1"), X.digest("text", "SHA-256").alias("s256"), X.digest("text", "MD5").alias("m"), X.digest(F.hex(u), "SHA-256").alias("h"), X.digest(F.regexp_replace(F.base64(u), r"\s", ""), "SHA-1").alias("b"))
+
+
+@query("hashes_from_encodings", "SELECT doc_id, md5(text) AS from_hex, sha256(text) AS from_base64 FROM documents WHERE text IS NOT NULL")
+def _(t):
+    d = t.documents.where("text IS NOT NULL").select("doc_id", F.hex(F.encode("text", "UTF-8")).alias("h"), F.base64(F.encode("text", "UTF-8")).alias("b"))
+    return d.select("doc_id", X.digest("h", "MD5", "hex").alias("from_hex"), X.digest("b", "SHA-256", "base64").alias("from_base64"))
 
 
 @query("url_escape", "SELECT jo_id, replace(url_encode(jo_request_message), '%20', '+') AS v FROM journal WHERE regexp_full_match(jo_request_message, '[A-Za-z0-9 |<>/=\"]*')")
@@ -123,12 +130,18 @@ def _(t):
     return t.documents.where("lang = 'ru'").select("doc_id", F.decode(F.encode("text", "UTF-16"), "UTF-16").alias("text"))
 
 
-@query("ascii_fold")
+@query(
+    "ascii_fold",
+    "SELECT doc_id, md5(regexp_replace(translate(text, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿąćęłńśźżÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝĄĆĘŁŃŚŹŻ', 'aaaaaaceeeeiiiinooooouuuuyyacelnszzAAAAAACEEEEIIIINOOOOOUUUUYACELNSZZ'), '[^\\x00-\\x7F]', '?', 'g')) AS v FROM documents",
+)
 def _(t):
     return t.documents.select("doc_id", F.md5(F.encode(X.ascii_fold("text"), "UTF-8")).alias("v"))
 
 
-@query("html_text")
+@query(
+    "html_text",
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS v FROM documents WHERE doc_kind = 'javadoc'""",
+)
 def _(t):
     return t.documents.where("doc_kind = 'javadoc'").select("doc_id", X.html_text("text").alias("v"))
 

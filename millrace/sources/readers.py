@@ -19,8 +19,9 @@ def json_arrays(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
     return reader.json(paths)
 
 
-def json_splits(spark: SparkSession, paths: Sequence[str], schema=None) -> DataFrame:
-    return json_arrays(spark, paths, schema).withColumn("split", F.element_at(F.split(F.input_file_name(), "/"), -1))
+def json_splits(spark: SparkSession, paths: Sequence[str], schema=None, level: int = -1) -> DataFrame:
+    """Records with the split they came from: the part of their file's path at ``level``, -1 being the file name."""
+    return json_arrays(spark, paths, schema).withColumn("split", F.element_at(F.split(F.input_file_name(), "/"), level))
 
 
 def delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, schema=None) -> DataFrame:

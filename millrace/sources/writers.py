@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,3 +70,38 @@ def each_row(df: DataFrame, send: Callable[[dict], None]) -> None:
             send(r.asDict(recursive=True))
 
     df.foreachPartition(run)
+
+
+def write_arff(df: DataFrame, path: str, relation: str, order: str, nominal: Sequence[str] = ()) -> None:
+    """A declared relation: the header in a file of its own that sorts first, the rows in order of ``order`` (written as ``pos``)."""
+    from ..operators.columns import clean, domain
+
+    def quoted(c: Column) -> Column:
+        return F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("")), F.lit("'"))
+
+    head, values = [f"@relation {relation}", "", "@attribute pos numeric"], [F.col(order).cast("string")]
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if f.name == order:
+            continue
+        if f.name in nominal:
+            levels = [r["level"] for r in domain(df, f.name).orderBy("code").collect()]
+            head.append(f"@attribute {f.name} {{{','.join(levels)}}}")
+            text = quoted(c)
+        elif isinstance(f.dataType, T.NumericType):
+            head.append(f"@attribute {f.name} numeric")
+            text = clean(f.name).cast("string")
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            head.append(f"@attribute {f.name} date \"yyyy-MM-dd'T'HH:mm:ss\"")
+            text = quoted(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"))
+        else:
+            head.append(f"@attribute {f.name} string")
+            text = quoted(c)
+        values.append(F.coalesce(text, F.lit("?")))
+    spark = df.sparkSession
+    df.orderBy(order).select(F.concat_ws(",", *values).alias("value")).write.text(path)
+    spark.createDataFrame([("\n".join([*head, "@data"]),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 10_000, **options) -> None:
+    df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).mode(mode).save()

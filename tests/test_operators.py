@@ -363,3 +363,166 @@ def test_long_paths_are_followed(spark):
         assert R.reachable(edges, "0").count() == 56
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+# -------------------------------------------------------------- learners
+def test_boosting_against_one_process(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        a, b, c = (rng.choice(["u", "v", "w", None]) for _ in range(3))
+        cls = rng.choice([None, "n"]) if i % 37 == 0 else "y" if (a == "u") ^ (b == "v") or rng.random() < 0.1 else "n"
+        rows.append((i, a, b, c, cls))
+    df = spark.createDataFrame(rows, "i int, a string, b string, c string, k string")
+    known = [r for r in rows if r[4] is not None]
+
+    def stump(w):
+        best = None
+        for at in (1, 2, 3):
+            for value in sorted({r[at] for r in known if r[at] is not None}):
+                side = {True: {}, False: {}}
+                for r, x in zip(known, w):
+                    if r[at] is not None:
+                        side[r[at] == value][r[4]] = side[r[at] == value].get(r[4], 0) + x
+                right = max(side[True].values()) + max(side[False].values())
+                top = lambda s: min(s, key=lambda k: (-round(s[k], 9), k))
+                if best is None or round(right, 9) > round(best[0], 9):
+                    best = (right, at, value, top(side[True]), top(side[False]))
+        missing = {}
+        for r, x in zip(known, w):
+            missing[r[4]] = missing.get(r[4], 0) + x
+        _, at, value, yes, no = best
+        most = min(missing, key=lambda k: (-round(missing[k], 9), k))
+        return lambda r: most if r[at] is None else yes if r[at] == value else no
+
+    w, votes = [1.0] * len(known), []
+    for _ in range(4):
+        s = stump(w)
+        bad = [s(r) != r[4] for r in known]
+        e = sum(x for x, b in zip(w, bad) if b) / sum(w)
+        if e >= 0.5 or e <= 0:
+            break
+        votes.append((s, math.log((1 - e) / e)))
+        w = [x * ((1 - e) / e if b else 1) for x, b in zip(w, bad)]
+    assert len(votes) > 1
+
+    def vote(r):
+        total = {}
+        for s, x in votes:
+            total[s(r)] = total.get(s(r), 0) + x
+        return min(total, key=lambda k: (-round(total[k], 9), k))
+
+    got = {r["i"]: r["predicted"] for r in M.ada_boost(df, df, "i", ["a", "b", "c"], "k", 4).collect()}
+    assert got == {r[0]: vote(r) for r in rows}
+    assert M.ada_boost(df, df.limit(0), "i", ["a"], "k", 2).count() == 0
+    one_class = df.where("k = 'y'")
+    assert {r["predicted"] for r in M.ada_boost(one_class, df, "i", ["a", "b"], "k", 3).collect()} == {"y"}
+    blank = df.select("i", F.lit(None).cast("string").alias("a"), "k")
+    assert M.decision_stump(blank, blank, "i", ["a"], "k").count() == 400
+
+
+def test_multinomial_bayes_edges(spark):
+    rows = [(1, ["a", "b", "a"], "x"), (2, ["c"], "y"), (3, [], "y"), (4, None, "y"), (5, ["never"], None), (6, ["a", "never"], None)]
+    df = spark.createDataFrame(rows, "i int, words array<string>, k string")
+    got = {r["i"]: r["predicted"] for r in M.naive_bayes_multinomial(df, df, "i", "words", "k").collect()}
+    assert got == {1: "x", 2: "y", 3: "y", 4: "y", 5: "y", 6: "y"}  # 6: 1/4 * 3/6 against 3/4 * 1/4
+    assert M.naive_bayes_multinomial(df, df.limit(0), "i", "words", "k").count() == 0
+
+
+def test_misclassified_rows_leave(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "i int, k string")
+    said = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "i int, predicted string")
+    assert sorted(r["i"] for r in M.without_misclassified(rows, said, "i", "k").collect()) == [1, 3, 4]
+
+
+def test_best_first_finds_pairs(spark):
+    rows = [(a, b, c, str(a ^ b)) for a in (0, 1) for b in (0, 1) for c in (0, 1, 2)] * 3 + [(1, 0, 2, None)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, k string")
+    assert M.cfs_select(df, ["a", "b", "c"], "k") == []
+    same = df.withColumn("d", F.col("k"))
+    assert M.cfs_select(same, ["a", "d", "c"], "k") == ["d"]
+
+
+def test_farthest_first_edges(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [3.0, 4.0]), (4, None)], "i int, v array<double>")
+    assert M.farthest_first(df, "i", "v", 9, 1) == [1, 3, 2]
+    with pytest.raises(ValueError):
+        M.farthest_first(df, "i", "v", 2, 77)
+
+
+def test_spline_against_a_linear_solve(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 4, 9):
+        x = np.sort(rng.choice(50, n, replace=False)).astype(float)
+        y = rng.normal(size=n)
+        a, r = np.eye(n), np.zeros(n)
+        for i in range(1, n - 1):
+            h0, h1 = x[i] - x[i - 1], x[i + 1] - x[i]
+            a[i, i - 1 : i + 2] = h0, 2 * (h0 + h1), h1
+            r[i] = 6 * ((y[i + 1] - y[i]) / h1 - (y[i] - y[i - 1]) / h0)
+        m = np.linalg.solve(a, r)
+        at = np.linspace(x[0], x[-1], 33)
+        want = []
+        for t in at:
+            k = max(0, min(int(np.searchsorted(x, t, side="right")) - 1, n - 2))
+            if n == 1:
+                want.append(y[0])
+                continue
+            h = x[k + 1] - x[k]
+            p, q = (x[k + 1] - t) / h, (t - x[k]) / h
+            want.append(p * y[k] + q * y[k + 1] + ((p**3 - p) * m[k] + (q**3 - q) * m[k + 1]) * h * h / 6)
+        assert np.allclose(O.natural_spline(x, y, at), want)
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("a", 3, 3.0), ("a", 3, 5.0), ("b", 1, None), (None, 1, 2.0)], "k string, t int, v double")
+    got = {(r["k"], r["t"]): r["spline"] for r in O.cubic_spline(df, "k", "t", "v").collect()}
+    assert got["a", 2] == pytest.approx(2.5) and got[None, 1] == 2.0 and (got["b", 1] is None or math.isnan(got["b", 1]))
+
+
+def test_resample_to_uniform_edges(spark):
+    df = spark.createDataFrame([(i, "a" if i < 900 else "b" if i < 990 else None) for i in range(1000)], "i int, k string")
+    got = {r["k"]: r["n"] for r in R.resample_to_uniform(df, "k", 3.0, 1.0, 1).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {"a", "b", None} and all(abs(n - 1000) < 200 for n in got.values())
+    assert R.resample_to_uniform(df.limit(0), "k", 1.0, 1.0, 1).count() == 0
+    assert R.rank_select(df.limit(0), F.col("i"), ["i"], 5, 1).count() == 0
+
+
+def test_digests(spark):
+    import hashlib
+
+    for name in ("MD5", "SHA-1", "SHA-256", "SHA-384", "SHA-512"):
+        want = hashlib.new(name.replace("-", "").lower(), "né".encode()).hexdigest()
+        assert one(spark, X.digest("x", name), x="né") == want
+        assert one(spark, X.digest("x", name, "hex"), x="6ec3a9") == want
+        assert one(spark, X.digest("x", name, "base64"), x="bsOp") == want
+    with pytest.raises(ValueError):
+        X.digest("x", "MD2")
+
+
+def test_folders(spark):
+    d = spark.createDataFrame([("a/b",), ("a/b/c",), ("a",), ("a/",), ("ab/c",), (None,)], "p string")
+    assert [r["p"] for r in d.where(K.in_folder("p", "a")).collect()] == ["a/b"]
+    assert [r["p"] for r in d.where(K.in_tree("p", "a/")).collect()] == ["a/b", "a/b/c"]
+
+
+def test_checkpoints_need_shared_storage(spark, monkeypatch):
+    from millrace import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                class S:
+                    @staticmethod
+                    def getCheckpointDir():  # noqa: N802
+                        return type("O", (), {"isEmpty": staticmethod(lambda: True)})
+
+                return S
+
+    fake = type("Spark", (), {"conf": type("C", (), {"get": staticmethod(lambda *a: None)}), "sparkContext": Context})
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(fake)
