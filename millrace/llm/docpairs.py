@@ -345,10 +345,10 @@ def lexed_rows(files: DataFrame, with_code: bool = False) -> DataFrame:
             names = batch.schema.names
             values = [batch.column(names.index(n)).to_pylist() for n in ("file_id", "ext", "content")]
             for file_id, ext, text in zip(*values):
-                if syntax.broken(ext, text):
-                    continue
+                if ext != "py" and "/**" not in text:
+                    continue  # nothing is documented
                 rows = lex_functions(ext, text, with_code)
-                if not any(r.real for r in rows):
+                if not any(r.real for r in rows) or syntax.broken(ext, text):
                     continue
                 n = len(rows)
                 cols[0] += [file_id] * n
