@@ -263,8 +263,13 @@ _LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-.%@$#&\\])(?=[^\s=]{16})[A-Za-z0-9
 _BLOCK = re.compile(r"(?:[ \t]*(?:#|//|\*|;)?[ \t]*[A-Za-z0-9+/]{40,}={0,2}[ \t]*\r?\n){2,}(?:[ \t]*(?:#|//|\*|;)?[ \t]*[A-Za-z0-9+/]+={0,2})?")
 _HASHED = re.compile(r"(?i)(?:\b(?:sha\d*|md5|ssh-\w+)[-_: ]+|base64,\s*|\benc\()\Z")
 _PEM_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END|\Z)", re.S)
-#: lines on which an unquoted credential can stand
-_KEYWORD = re.compile(r"(?i)pass|pwd|\bpw\b|secret|token|credential|auth|[\w.\-]key[ \t]*[:=]|\bpin[ \t]*[:=]|licen[cs]e|kennwort")
+#: words of lines on which an unquoted credential can stand; some only where the characters from the one before on have a shape
+_KEYWORDS = (
+    *((w, None) for w in ("pass", "pwd", "secret", "token", "credential", "auth", "license", "licence", "kennwort")),
+    ("pw", re.compile(r"(?:^|\W|(?<!.)(?=p))pw\b", re.S)),
+    ("key", re.compile(r"[\w.\-]key[ \t]*[:=]")),
+    ("pin", re.compile(r"(?:^|\W|(?<!.)(?=p))pin[ \t]*[:=]", re.S)),
+)
 _COMMENT_LINE = re.compile(r"^\s*(?:#|//|/\*|\*|<!--|--|;)|/\*|//\s|<!--|\s#\s")
 _UNQUOTED_EXTS = frozenset("properties yml yaml sh conf cfg ini env txt sql opml xml xsl json css toml".split())
 
@@ -403,12 +408,9 @@ def decided(text: str, ext: str = "") -> list[tuple[int, int, str]]:
             for m in _ELEMENT.finditer(text):
                 if m.group(1) in _PASSWORDS and accepts(2, m.group(3)):
                     spans.append((*m.span(3), _named(m.group(3))))
-        at = 0
-        while (k := _KEYWORD.search(text, at)) is not None:
-            start = text.rfind("\n", 0, k.start()) + 1
-            stop = text.find("\n", k.end())
+        for start in _keyword_lines(text):
+            stop = text.find("\n", start)
             stop = len(text) if stop < 0 else stop
-            at = stop
             if text[stop - 1 : stop] == "\\" or text[stop - 2 : stop] == "\\\r":  # the value continues on the next line
                 stop = text.find("\n", stop + 1)
                 stop = len(text) if stop < 0 else stop
@@ -439,6 +441,24 @@ def decided(text: str, ext: str = "") -> list[tuple[int, int, str]]:
     return out
 
 
+def _keyword_lines(text: str) -> list[int]:
+    """Where the lines on which an unquoted credential can stand begin: plain searches in the lower-case text."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case has another length would shift the places
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    starts = set()
+    for word, shape in _KEYWORDS:
+        at = low.find(word)
+        while at >= 0:
+            if shape is None or shape.match(low, max(at - 1, 0)) is not None:
+                starts.add(low.rfind("\n", 0, at) + 1)
+                at = low.find("\n", at)
+                if at < 0:
+                    break
+            at = low.find(word, at + 1)
+    return sorted(starts)
+
+
 def _statement(text: str, start: int, end: int) -> str:
     """The text before ``end`` back to ``start``, or to the last sign that ends a statement or opens a block."""
     return text[max(start, *(text.rfind(c, start, end) + 1 for c in ";{}")) : end]
