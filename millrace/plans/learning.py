@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import learners as L
 from ..operators import mining as M
 from .registry import query
 
@@ -252,3 +253,98 @@ def _(t):
 def _(t):
     said = M.one_rule(t.filter_row, t.filter_row, "ord", "StringAtt2", "NominalAtt2")
     return M.without_misclassified(t.filter_row.select("ord", "NominalAtt2"), said, "ord", "NominalAtt2").select("ord")
+
+
+@query(
+    "nearest_class",
+    """WITH d AS (SELECT a.vec_id AS vec_id, b.label AS predicted, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND b.label IS NOT NULL WHERE a.vec_id % 100 = 0)
+       SELECT vec_id, predicted FROM d WHERE r = 1""",
+)
+def _(t):
+    return L.nearest_class(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", "label")
+
+
+_NUMBERS = "CASE WHEN isnan(NumericAtt1) THEN NULL ELSE NumericAtt1 END AS x, CASE WHEN isnan(NumericAtt2) THEN NULL ELSE NumericAtt2 END AS y"
+
+
+@query(
+    "gaussian_bayes",
+    f"""WITH d AS (SELECT ord, NominalAtt2 AS class, {_NUMBERS} FROM filter_row), m AS (SELECT class, count(*) AS n, avg(x) AS mx, greatest(coalesce(stddev_samp(x), 0), 1e-3) AS sx, avg(y) AS my, greatest(coalesce(stddev_samp(y), 0), 1e-3) AS sy FROM d WHERE class IS NOT NULL GROUP BY 1),
+       s AS (SELECT ord, m.class, round(ln(n::DOUBLE / (SELECT sum(n) FROM m)) + coalesce(-((x - mx) / sx) * ((x - mx) / sx) / 2 - ln(sx), 0) + coalesce(-((y - my) / sy) * ((y - my) / sy) / 2 - ln(sy), 0), 9) AS s FROM d CROSS JOIN m) SELECT ord, arg_min(class, (-s, class)) AS predicted FROM s GROUP BY 1""",
+)
+def _(t):
+    return L.gaussian_bayes(t.filter_row, t.filter_row, "ord", ["NumericAtt1", "NumericAtt2"], "NominalAtt2")
+
+
+@query(
+    "hyper_pipes",
+    f"""WITH d AS (SELECT ord, NominalAtt2 AS class, {_NUMBERS} FROM filter_row), m AS (SELECT class, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM d WHERE class IS NOT NULL GROUP BY 1),
+       s AS (SELECT ord, m.class, CASE WHEN x BETWEEN lx AND hx THEN 1 ELSE 0 END + CASE WHEN y BETWEEN ly AND hy THEN 1 ELSE 0 END AS n FROM d CROSS JOIN m) SELECT ord, arg_min(class, (-n, class)) AS predicted FROM s GROUP BY 1""",
+)
+def _(t):
+    return L.hyper_pipes(t.filter_row, t.filter_row, "ord", ["NumericAtt1", "NumericAtt2"], "NominalAtt2")
+
+
+@query(
+    "averaged_dependence",
+    """WITH f AS (SELECT ord, NominalAtt2 AS class, NominalAtt1 AS a, StringAtt2 AS b FROM filter_row), k AS (SELECT * FROM f WHERE class IS NOT NULL), z AS (SELECT count(*) AS total, count(DISTINCT class) AS kinds, count(DISTINCT a) AS la, count(DISTINCT b) AS lb FROM k),
+       c AS (SELECT DISTINCT class FROM k), pa AS (SELECT a, class, count(*) AS n FROM k WHERE a IS NOT NULL GROUP BY 1, 2), pb AS (SELECT b, class, count(*) AS n FROM k WHERE b IS NOT NULL GROUP BY 1, 2), ab AS (SELECT a, b, class, count(*) AS n FROM k WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2, 3),
+       s AS (SELECT f.ord, c.class, CASE WHEN f.a IN (SELECT a FROM pa) THEN (coalesce(pa.n, 0) + 1) / (total + kinds * la)::DOUBLE * CASE WHEN f.b IS NULL THEN 1 ELSE (coalesce(ab.n, 0) + 1) / (coalesce(pa.n, 0) + lb)::DOUBLE END ELSE 0 END
+         + CASE WHEN f.b IN (SELECT b FROM pb) THEN (coalesce(pb.n, 0) + 1) / (total + kinds * lb)::DOUBLE * CASE WHEN f.a IS NULL THEN 1 ELSE (coalesce(ab.n, 0) + 1) / (coalesce(pb.n, 0) + la)::DOUBLE END ELSE 0 END AS s
+         FROM f CROSS JOIN c CROSS JOIN z LEFT JOIN pa ON pa.a = f.a AND pa.class = c.class LEFT JOIN pb ON pb.b = f.b AND pb.class = c.class LEFT JOIN ab ON ab.a = f.a AND ab.b = f.b AND ab.class = c.class)
+       SELECT ord, arg_min(class, (-round(ln(s), 9), class)) FILTER (s > 0) AS predicted FROM s GROUP BY 1""",
+)
+def _(t):
+    return L.averaged_dependence(t.filter_row, t.filter_row, "ord", ["NominalAtt1", "StringAtt2"], "NominalAtt2")
+
+
+@query("consistency", "WITH c AS (SELECT NominalAtt1, StringAtt2, NominalAtt2, count(*) AS n FROM filter_row WHERE NominalAtt2 IS NOT NULL GROUP BY 1, 2, 3), b AS (SELECT max(n) AS m, sum(n) AS t FROM c GROUP BY NominalAtt1, StringAtt2) SELECT round(sum(m) / sum(t)::DOUBLE, 9) AS consistency FROM b")
+def _(t):
+    return t.spark.range(1).select(F.round(L.consistency(t.filter_row, ["NominalAtt1", "StringAtt2"], "NominalAtt2"), 9).alias("consistency"))
+
+
+@query(
+    "association_rules",
+    """WITH RECURSIVE b AS (SELECT DISTINCT user_id AS o, event_type AS i FROM events WHERE value > 50), n AS (SELECT count(DISTINCT o) AS c FROM b), one AS (SELECT i FROM b GROUP BY i HAVING count(*) >= (SELECT ceil(c * 0.05) FROM n)), f AS (SELECT o, i FROM b JOIN one USING (i)),
+       s AS (SELECT o, [i] AS items, i AS top FROM f UNION ALL SELECT f.o, list_append(items, f.i), f.i FROM s JOIN f ON f.o = s.o AND f.i > s.top), q AS (SELECT items, count(*) AS freq FROM s GROUP BY 1 HAVING count(*) >= (SELECT ceil(c * 0.05) FROM n)),
+       r AS (SELECT list_filter(items, lambda x: x <> i) AS antecedent, i AS consequent, freq FROM (SELECT items, freq, unnest(items) AS i FROM q WHERE len(items) > 1))
+       SELECT antecedent, consequent, round(r.freq / a.freq, 9) AS confidence, round((r.freq / a.freq) / (c.freq / (SELECT c FROM n)), 9) AS lift FROM r JOIN q a ON a.items = antecedent JOIN q c ON c.items = [consequent] WHERE r.freq / a.freq >= 0.5""",
+)
+def _(t):
+    d = t.events.where("value > 50").groupBy("user_id").agg(F.collect_set("event_type").alias("items"))
+    r = L.association_rules(d, "items", 0.05, 0.5)
+    return r.select("antecedent", "consequent", F.round("confidence", 9).alias("confidence"), F.round("lift", 9).alias("lift"))
+
+
+@query("id3")
+def _(t):
+    return L.id3(t.filter_row, t.filter_row, "ord", ["NominalAtt1", "StringAtt2", "StringAtt1"], "NominalAtt2")
+
+
+@query(
+    "evaluation",
+    """WITH c AS (SELECT StringAtt2 AS value, NominalAtt2 AS class, count(*) AS n FROM filter_row WHERE StringAtt2 IS NOT NULL AND NominalAtt2 IS NOT NULL GROUP BY 1, 2), r AS (SELECT value, arg_min(class, (-n, class)) AS p FROM c GROUP BY 1),
+       z AS (SELECT NominalAtt2 AS p FROM filter_row WHERE NominalAtt2 IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), d AS (SELECT NominalAtt2 AS a, coalesce(r.p, z.p) AS p FROM filter_row LEFT JOIN r ON StringAtt2 = value, z WHERE NominalAtt2 IS NOT NULL),
+       x AS (SELECT a AS k, count(*)::DOUBLE AS na FROM d GROUP BY 1), y AS (SELECT p AS k, count(*) AS np FROM d GROUP BY 1), e AS (SELECT sum(na * np) AS e FROM x JOIN y USING (k)), s AS (SELECT count(*) AS n, avg((a = p)::INT) AS po FROM d)
+       SELECT n, round(po, 9) AS accuracy, round((po - e / (n * n)) / (1 - e / (n * n)), 9) AS kappa FROM s, e""",
+)
+def _(t):
+    said = M.one_rule(t.filter_row, t.filter_row, "ord", "StringAtt2", "NominalAtt2")
+    e = L.evaluation(t.filter_row.select("ord", "NominalAtt2").join(said, "ord"), "NominalAtt2", "predicted")
+    return e.select("n", F.round("accuracy", 9).alias("accuracy"), F.round("kappa", 9).alias("kappa"))
+
+
+@query("linear_svc")
+def _(t):
+    from pyspark.ml.classification import LinearSVC
+
+    d = M.vector_column(t.embeddings.withColumn("label", F.pmod("label", F.lit(2)).cast("double")), "embedding")
+    return M.fit_predict(LinearSVC(maxIter=5), d).select("vec_id", "prediction")
+
+
+@query("boosted_trees")
+def _(t):
+    from pyspark.ml.classification import GBTClassifier
+
+    d = M.vector_column(t.embeddings.withColumn("label", F.pmod("label", F.lit(2)).cast("double")), "embedding")
+    return M.fit_predict(GBTClassifier(maxIter=3, maxDepth=3, seed=1), d).select("vec_id", "prediction")

@@ -11,6 +11,7 @@ from millrace.functions import text as X
 from millrace.operators import aggregates as A
 from millrace.operators import columns as C
 from millrace.operators import joins as J
+from millrace.operators import learners as L
 from millrace.operators import mining as M
 from millrace.operators import ordered as O
 from millrace.operators import rows as R
@@ -526,3 +527,80 @@ def test_checkpoints_need_shared_storage(spark, monkeypatch):
     fake = type("Spark", (), {"conf": type("C", (), {"get": staticmethod(lambda *a: None)}), "sparkContext": Context})
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(fake)
+
+
+def test_id3_against_recursion(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        a, b, c = rng.choice("uvw"), rng.choice(["p", "q", None]), rng.choice("xy")
+        rows.append((i, a, b, c, rng.choice("mn") if rng.random() < 0.15 else "m" if (a == "u" and b == "p") or c == "y" and a == "w" else "n"))
+    rows += [(300, "u", "p", "x", None), (301, "new", "p", "x", None), (302, None, None, "z", None)]
+    df = spark.createDataFrame(rows, "i int, a string, b string, c string, k string")
+    known = [r for r in rows if r[4] is not None]
+
+    def h(part):
+        n = len(part)
+        return -sum(x / n * math.log2(x / n) for x in Counter(r[4] for r in part).values())
+
+    def grow(part, free):
+        counts = Counter(r[4] for r in part)
+        most = min(counts, key=lambda k: (-counts[k], k))
+        best = None
+        for at in free:
+            values = {r[at] for r in part}
+            gain = round(h(part) - sum(len(p) / len(part) * h(p) for v in values for p in [[r for r in part if r[at] == v]]), 9)
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, at, values)
+        if best is None:
+            return lambda r: most
+        _, at, values = best
+        below = {v: grow([r for r in part if r[at] == v], [f for f in free if f != at]) for v in values}
+        return lambda r: below[r[at]](r) if r[at] in below else most
+
+    tree = grow(known, [1, 2, 3])
+    got = {r["i"]: r["predicted"] for r in L.id3(df, df, "i", ["a", "b", "c"], "k").collect()}
+    assert got == {r[0]: tree(r) for r in rows}
+    assert L.id3(df, df.limit(0), "i", ["a"], "k").count() == 0
+    assert {r["predicted"] for r in L.id3(df.limit(0), df, "i", ["a"], "k").collect()} == {None}
+
+
+def test_votes_and_evaluation(spark):
+    p = [spark.createDataFrame([(1, x), (2, y), (3, z)], "i int, predicted string") for x, y, z in (("a", "b", None), ("a", "c", None), ("b", None, None))]
+    assert {r["i"]: r["predicted"] for r in L.vote(p, "i").collect()} == {1: "a", 2: "b", 3: None}
+    d = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b"), (None, "a"), ("a", None)], "x string, y string")
+    e = L.evaluation(d, "x", "y").first()
+    assert (e["n"], e["accuracy"]) == (4, 0.75) and e["kappa"] == pytest.approx(0.5)
+    empty = L.evaluation(d.limit(0), "x", "y").first()
+    assert (empty["n"], empty["accuracy"], empty["kappa"]) == (0, None, None)
+
+
+def test_counted_learners_at_the_edges(spark):
+    df = spark.createDataFrame([(1, 1.0, None, "a"), (2, 1.2, "p", "a"), (3, 9.0, "q", "b"), (4, None, None, None), (5, float("nan"), "new", None)], "i int, x double, n string, k string")
+    rest = spark.createDataFrame([(7, 9.0, "q", None), (8, None, None, None)], "i int, x double, n string, k string")
+    assert {r["i"]: r["predicted"] for r in L.gaussian_bayes(df, rest, "i", ["x"], "k").collect()} == {7: "b", 8: "a"}
+    assert {r["i"]: r["predicted"] for r in L.hyper_pipes(df, df, "i", ["x"], "k").collect()} == {1: "a", 2: "a", 3: "b", 4: "a", 5: "a"}
+    assert {r["i"]: r["predicted"] for r in L.averaged_dependence(df, rest, "i", ["n"], "k").collect()} == {7: "b", 8: None}
+    for fn, cols in ((L.gaussian_bayes, ["x"]), (L.hyper_pipes, ["x"]), (L.averaged_dependence, ["n"])):
+        assert fn(df, rest.limit(0), "i", cols, "k").count() == 0
+
+
+def test_iterative_learners_on_held_out_rows(spark):
+    import random
+
+    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(c * 4.0, 1.0), rng.gauss(-c * 4.0, 1.0)], float(c)) for i in range(600) for c in [i % 2]]
+    df = M.vector_column(spark.createDataFrame(rows, "i int, v array<double>, label double"), "v")
+    train, held = df.where("i < 400"), df.where("i >= 400")
+    for e in (LogisticRegression(maxIter=5), DecisionTreeClassifier(maxDepth=3, seed=1), RandomForestClassifier(numTrees=5, maxDepth=3, seed=1), LinearSVC(maxIter=5), GBTClassifier(maxIter=3, maxDepth=3, seed=1)):
+        said = e.fit(train).transform(held).select(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()["a"]
+        assert said > 0.95, e
+    for e in (KMeans(k=2, seed=1, maxIter=5), BisectingKMeans(k=2, seed=1, maxIter=5), GaussianMixture(k=2, seed=1, maxIter=5)):
+        same = e.fit(train).transform(held).groupBy("prediction").agg(F.avg("label").alias("m")).collect()
+        assert len(same) == 2 and all(r["m"] < 0.05 or r["m"] > 0.95 for r in same), e
