@@ -7,13 +7,16 @@ values are NULL (NaN is read as missing) and are skipped by statistics.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .ordinal import with_ordinal
 
 
@@ -27,20 +30,65 @@ def stat(df: DataFrame, agg: Column) -> Column:
     return df.select(agg.alias("v")).scalar()
 
 
+#: bins of one counting pass, and values that are fetched at once when only so many are left
+QUANTILE_BINS = 4096
+QUANTILE_VALUES = 200_000
+
+
 def quantiles(df: DataFrame, c: str, shares: Sequence[float]) -> list[float | None]:
-    """Exact interpolated quantiles: the column is sorted across partitions and only the rows at the wanted positions are read.
+    """Exact interpolated quantiles by counting: nothing is sorted, shuffled or written.
 
-    The exact aggregate would gather every distinct value in one task.  An
-    empty column has NULL quantiles.
+    A pass counts the values in bins between the least and the greatest; only
+    the bins that hold a wanted rank go on, each between its own least and
+    greatest value, until few values are left or all are equal.  Infinite
+    values have their places at the ends.  An empty column has NULL quantiles.
     """
-    values = with_ordinal(df.select(clean(c).cast("double").alias("v")).where("v IS NOT NULL"), "v", start=0)
-    n = values.count()
+    values = df.select(clean(c).cast("double").alias("v")).where("v IS NOT NULL")
+    inf = float("inf")
+    finite = F.when(F.abs(F.col("v")) != inf, F.col("v"))
+    row = values.agg(F.count("*").alias("n"), F.count_if(F.col("v") == -inf).alias("low"), F.count_if(F.col("v") == inf).alias("high"), F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
+    n = row["n"]
     if not n:
         return [None for _ in shares]
     places = [(n - 1) * s for s in shares]
     wanted = {int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places}
-    at = {r["ordinal"]: r["v"] for r in values.where(F.col("ordinal").isin(*wanted)).collect()}
-    return [at[int(p)] + (at[min(int(p) + 1, n - 1)] - at[int(p)]) * (p - int(p)) for p in places]
+    at = {r: -inf if r < row["low"] else inf for r in wanted if r < row["low"] or r >= n - row["high"]}
+    if len(at) < len(wanted):
+        at |= _ranks(values, row["lo"], row["hi"], row["low"], sorted(wanted - set(at)))
+    between = lambda x, y, f: x if x == y else x + (y - x) * f
+    return [between(at[int(p)], at[min(int(p) + 1, n - 1)], p - int(p)) for p in places]
+
+
+def _ranks(values: DataFrame, lo: float, hi: float, before: int, ranks: Sequence[int]) -> dict[int, float]:
+    """The values at global ``ranks``, which all lie in ``[lo, hi]``; ``before`` values are smaller than ``lo``."""
+    import numpy as np
+
+    if lo == hi:
+        return dict.fromkeys(ranks, lo)
+    # halves, so that the width of the whole range of doubles is still a number
+    share = (F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2)
+    number = F.least(F.floor(share * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1))
+    inside = values.where(F.col("v").between(lo, hi))
+    bins = sorted(inside.groupBy(number.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(), key=lambda r: r["b"])
+    out: dict[int, float] = {}
+    small, left = [], list(ranks)
+    for r in bins:
+        own = [k for k in left if k < before + r["n"]]
+        left = left[len(own) :]
+        if own and r["lo"] == r["hi"]:
+            out |= dict.fromkeys(own, r["lo"])
+        elif own and sum(x["n"] for x, _, _ in small) + r["n"] <= QUANTILE_VALUES:
+            small.append((r, before, own))
+        elif own:
+            out |= _ranks(values, r["lo"], r["hi"], before, own)
+        before += r["n"]
+    if small:
+        spans = [F.col("v").between(r["lo"], r["hi"]) for r, _, _ in small]
+        found = values.where(reduce(lambda x, y: x | y, spans)).toArrow().column("v").to_numpy()
+        for r, first, own in small:
+            part = np.sort(found[(found >= r["lo"]) & (found <= r["hi"])])
+            out |= {k: float(part[k - first]) for k in own}
+    return out
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -190,57 +238,91 @@ def equal_width(df: DataFrame, c: str, bins: int, name: str = "bin") -> DataFram
     return df.withColumn(name, F.when(clean(c).isNull(), None).otherwise(F.least(F.coalesce(at, F.lit(1)), F.lit(bins)).cast("int")))
 
 
-#: cells of neighbouring values an entropy split looks at
+#: distinct values up to which the table of counts of an entropy split is handled on the driver
 MDL_CELLS = 100_000
 
 
 def mdl_cuts(df: DataFrame, c: str, label: str) -> list[float]:
-    """Cut points of the entropy split with the minimum description length stop.
+    """Cut points of the entropy split with the minimum description length stop, exact at any size.
 
-    Class counts are aggregated per distinct value, and neighbouring values are
-    joined until at most MDL_CELLS are left; only those reach the driver.
+    Class counts are aggregated per distinct value.  Up to MDL_CELLS values the
+    table of counts is split on the driver; a longer one keeps running counts
+    per class in order of the value, and each split is one aggregate over it.
     """
-    import math
-
-    counts = df.where(clean(c).isNotNull() & F.col(label).isNotNull()).groupBy(clean(c).cast("double").alias("v"), F.col(label).cast("string").alias("l")).agg(F.count("*").alias("n"))
-    values = with_ordinal(counts.select("v").distinct(), "v", start=0)
-    size = max(1, -(-values.count() // MDL_CELLS))
-    cells = counts.join(values, "v").groupBy(F.expr(f"ordinal div {size}").alias("cell"), "l").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    rows = cells.collect()
-    labels = sorted({r["l"] for r in rows})
-    table: dict[int, list[int]] = {}
-    low: dict[int, float] = {}
-    high: dict[int, float] = {}
-    for r in rows:
-        k = r["cell"]
-        table.setdefault(k, [0] * len(labels))[labels.index(r["l"])] += r["n"]
-        low[k], high[k] = min(low.get(k, r["lo"]), r["lo"]), max(high.get(k, r["hi"]), r["hi"])
-    values = sorted(table)
-
-    def entropy(counts):
-        n = sum(counts)
-        return -sum(x / n * math.log2(x / n) for x in counts if x) if n else 0.0
-
-    def split(lo, hi):
-        total = [sum(table[v][k] for v in values[lo:hi]) for k in range(len(labels))]
-        n, left, best = sum(total), [0] * len(labels), None
-        for i in range(lo, hi - 1):
-            left = [a + b for a, b in zip(left, table[values[i]])]
-            right = [a - b for a, b in zip(total, left)]
-            e = (sum(left) * entropy(left) + sum(right) * entropy(right)) / n
-            if best is None or e < best[0] - 1e-12:
-                best = (e, i, left, right)
+    known = df.where(clean(c).isNotNull() & F.col(label).isNotNull()).select(clean(c).cast("double").alias("v"), F.col(label).cast("string").alias("l"))
+    labels = sorted(r["l"] for r in known.select("l").distinct().collect())
+    if not labels:
+        return []
+    table = known.groupBy("v").agg(*[F.count_if(F.col("l") == x).alias(f"n{i}") for i, x in enumerate(labels)])
+    rows = table.limit(MDL_CELLS + 1).collect()
+    if len(rows) <= MDL_CELLS:
+        find, ends, total = _local_boundaries(sorted(tuple(r) for r in rows), len(labels))
+    else:
+        find, ends, total = _stored_boundaries(table, len(labels))
+
+    def split(lo: int, hi: int, counts: list[int], base: list[int]) -> list[float]:
+        """Cuts between the values lo..hi, whose classes count ``counts`` behind ``base``."""
+        best = find(lo, hi, counts, base) if lo < hi else None
         if best is None:
             return []
-        e, i, left, right = best
-        k, k1, k2 = (sum(x > 0 for x in t) for t in (total, left, right))
-        gain = entropy(total) - e
-        delta = math.log2(3**k - 2) - (k * entropy(total) - k1 * entropy(left) - k2 * entropy(right))
+        at, middle, left = best
+        right = [x - y for x, y in zip(counts, left)]
+        n = sum(counts)
+        gain = _entropy(counts) - (sum(left) * _entropy(left) + sum(right) * _entropy(right)) / n
+        k, k1, k2 = (sum(x > 0 for x in t) for t in (counts, left, right))
+        delta = math.log2(3**k - 2) - (k * _entropy(counts) - k1 * _entropy(left) - k2 * _entropy(right))
         if gain <= (math.log2(max(n - 1, 1)) + delta) / n:
             return []
-        return [*split(lo, i + 1), (high[values[i]] + low[values[i + 1]]) / 2, *split(i + 1, hi)]
+        return [*split(lo, at, left, base), middle, *split(at + 1, hi, right, [x + y for x, y in zip(base, left)])]
+
+    return split(*ends, total, [0] * len(labels))
+
+
+def _entropy(counts: Sequence[int]) -> float:
+    n = sum(counts)
+    return -sum(x / n * math.log2(x / n) for x in counts if x) if n else 0.0
+
+
+def _local_boundaries(rows: list[tuple], k: int):
+    """The best boundary inside a stretch of the sorted rows (value, counts...): (last position, middle, counts before it)."""
+
+    def find(lo, hi, counts, base):
+        left, best, n = [0] * k, None, sum(counts)
+        for i in range(lo, hi):
+            left = [x + y for x, y in zip(left, rows[i][1:])]
+            right = [x - y for x, y in zip(counts, left)]
+            e = round((sum(left) * _entropy(left) + sum(right) * _entropy(right)) / n, 12)
+            if best is None or e < best[0]:
+                best = (e, i, left)
+        return best and (best[1], (rows[best[1]][0] + rows[best[1] + 1][0]) / 2, best[2])
+
+    return find, (0, len(rows) - 1), [sum(r[i + 1] for r in rows) for i in range(k)]
+
+
+def _stored_boundaries(table: DataFrame, k: int):
+    """The same over a table of any length: running counts are kept with each value, a boundary is one aggregate."""
+    from .ordinal import Ordered
+
+    kept = Ordered(table, "v")
+    for i in range(k):
+        kept.total(f"s{i}", F.col(f"n{i}"))
+    d = cut(kept.ordinal("o", 0).rows())
+    size, *total = d.agg(F.count("*"), *[F.sum(f"n{i}") for i in range(k)]).first()
+
+    def weighted(parts: list[Column]) -> Column:
+        n = sum(parts[1:], parts[0])
+        logs = [F.when(x > 0, x * F.log2(n / x)).otherwise(0.0) for x in parts]
+        return sum(logs[1:], logs[0])
+
+    def find(lo, hi, counts, base):
+        left = [F.col(f"s{i}") - F.lit(base[i]) for i in range(k)]
+        right = [F.lit(counts[i]) - x for i, x in enumerate(left)]
+        e = F.round((weighted(left) + weighted(right)) / float(sum(counts)), 12)
+        best = d.where(F.col("o").between(lo, hi - 1)).agg(F.min_by(F.struct("o", "v", *[x.alias(f"l{i}") for i, x in enumerate(left)]), F.struct(e.alias("e"), "o")).alias("b")).first()["b"]
+        following = d.where(F.col("o") == best["o"] + 1).first()["v"]
+        return best["o"], (best["v"] + following) / 2, [best[f"l{i}"] for i in range(k)]
 
-    return split(0, len(values))
+    return find, (0, size - 1), total
 
 
 def drop_useless(df: DataFrame, max_share: float = 0.99) -> DataFrame:

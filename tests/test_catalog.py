@@ -50,3 +50,13 @@ def test_runs(spark, data, name):
     df = QUERIES[name](spark, data)
     assert df.columns
     df.count()
+
+
+def test_coverage_names_registered_queries():
+    import re
+
+    text = (Path(__file__).resolve().parent.parent / "COVERAGE.md").read_text()
+    rows = [r for r in text.splitlines() if re.match(r"\| [A-M]\d+ \|", r)]
+    named = {m for r in rows for m in re.findall(r"`(\w+)`(?=\*?(?:,| \|))", r)}
+    assert len(rows) == 324 and len(named) > 200 and named <= set(QUERIES)
+    assert {m for r in rows for m in re.findall(r"`(\w+)`\*", r)}.isdisjoint(SQL)

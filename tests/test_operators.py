@@ -604,3 +604,45 @@ def test_iterative_learners_on_held_out_rows(spark):
     for e in (KMeans(k=2, seed=1, maxIter=5), BisectingKMeans(k=2, seed=1, maxIter=5), GaussianMixture(k=2, seed=1, maxIter=5)):
         same = e.fit(train).transform(held).groupBy("prediction").agg(F.avg("label").alias("m")).collect()
         assert len(same) == 2 and all(r["m"] < 0.05 or r["m"] > 0.95 for r in same), e
+
+
+def test_quantiles_by_counting(spark, monkeypatch):
+    import random
+
+    inf = float("inf")
+    rng = random.Random(4)
+    sets = [
+        [rng.gauss(0, 1) for _ in range(999)],
+        [1.0] * 500 + [2.0] * 3 + [7.5],
+        [rng.choice([-inf, inf, 0.0, 5.0, 1e308, -1e308]) for _ in range(200)],
+        [1e-300 * i for i in range(50)] + [1e300],
+        [3.0],
+        [inf, inf],
+    ]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for limit in (200_000, 4):
+        monkeypatch.setattr(C, "QUANTILE_VALUES", limit)
+        for values in sets:
+            ordered = sorted(values)
+            want = []
+            for q in shares:
+                p = (len(ordered) - 1) * q
+                x, y = ordered[int(p)], ordered[min(int(p) + 1, len(ordered) - 1)]
+                want.append(x if x == y else x + (y - x) * (p - int(p)))
+            df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+            got = C.quantiles(df, "v", shares)
+            assert [repr(g) for g in got] == [repr(w) for w in want]
+    assert C.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_mdl_cuts_of_long_tables(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    rows = [(x, "abc"[(x > 20) + (x > 55)] if rng.random() < 0.9 else rng.choice("abc")) for x in (rng.uniform(0, 80) for _ in range(600))] + [(None, "a"), (float("nan"), "b"), (3.0, None)]
+    df = spark.createDataFrame(rows, "v double, l string")
+    whole = C.mdl_cuts(df, "v", "l")
+    monkeypatch.setattr(C, "MDL_CELLS", 10)
+    assert C.mdl_cuts(df, "v", "l") == pytest.approx(whole) and len(whole) == 2
+    assert C.mdl_cuts(df.limit(0), "v", "l") == []
+    assert C.mdl_cuts(df.withColumn("l", F.lit("a")), "v", "l") == []
