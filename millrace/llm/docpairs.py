@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import syntax
-from .sources import with_ext
+from .sources import with_ext, without_blocks
 
 EXTS = ("java", "py", "js")
 #: a description of up to this many words is not a sentence
@@ -76,7 +76,7 @@ def prose(desc: str) -> str:
     return desc
 
 
-_BLOCK_TAG = re.compile(r"(?m)^\s*@[A-Za-z][\w.]*.*?(?=^\s*@[A-Za-z]|\Z)", re.S)
+_BLOCK_TAG = re.compile(r"(?m)^[ \t]*@[A-Za-z][\w.]*.*?(?=^[ \t]*@[A-Za-z]|\Z)", re.S)
 _PY_FIELD = re.compile(r"(?m)^\s*:\w[^\n:]*:[^\n]*$|^\s*(?:Args|Arguments|Parameters|Returns|Raises|Yields)\s*:?\s*$.*\Z|^\s*>>>.*$", re.S)
 
 
@@ -84,11 +84,12 @@ def description(raw: str, python: bool = False) -> str:
     """The prose of a documentation comment: markup, code samples and tags removed, white space folded."""
     if python:
         s = re.sub(r"(?m)^[ \t]*:\w[^\n:]*:[^\n]*$|^[ \t]*>>>[^\n]*$", " ", raw)
-        s = re.split(r"(?m)^\s*(?:Args|Arguments|Parameters|Returns|Raises|Yields)\s*:\s*$", s)[0]
+        s = re.split(r"(?m)^[ \t]*(?:Args|Arguments|Parameters|Returns|Raises|Yields)\s*:\s*$", s)[0]
     else:
         s = re.sub(r"(?m)^[ \t]*\*+ ?", "", raw)
         s = _BLOCK_TAG.sub(" ", s)
-    s = re.sub(r"(?is)<(pre|code)\b[^>]*>.*?</\1\s*>", " ", s)
+    if "</" in s:
+        s = without_blocks(s, ("pre", "code"))
     s = re.sub(r"(?s)\{@(?:inheritDoc|docRoot)\s*\}", " ", s)
     s = re.sub(r"(?s)\{@(?:code|literal|snippet)\b[^{}]*\}", " ", s)
     s = re.sub(r"(?s)\{@link(?:plain)?\s+([^{}]*)\}", r"\1", s)

@@ -65,12 +65,12 @@ _STATEMENT = re.compile(r"[^;{}]*[;{}]|[^;{}]+")
 _RULE = re.compile(r"[^}]*\}|[^}]+")
 _HEAD_LINE = re.compile(r"(?:import|package|from|use|using|include|require)\b")
 _ANNOTATIONS = re.compile(r"(?:@\w[\w.]*(?:\s*\([^()]*\))?\s*)+(?!interface\b)")
-_SEQUENCED = re.compile(r"([A-Za-z_$][A-Za-z_$]*?)(\d+)(?![\w$])")
+_SEQUENCED = re.compile(r"(?<![A-Za-z_$])([A-Za-z_$]++)(\d++)(?![\w$])")
 _DIGIT = re.compile(r"\d")
 _INTEGER = re.compile(r"(?<![\w$])\d{1,9}(?![\w$])")
 _SHAPED = re.compile(r"\w+")
 _BLANKED = re.compile(r"[;,{](?=(\S)?)")
-_JOINED = re.compile(r"(?:\"|\b\d[\w.]*)\s*[,+]")
+_JOINED = re.compile(r"(?:\"|(?<![\w.])\d[\w.]*+)\s*+[,+]")
 _COMMENT = {
     "slash": re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*", re.S),
     "hash": re.compile(r"(?m)(?:^|(?<=\s))[#!][^\n]*"),
@@ -134,13 +134,10 @@ _SOURCE_ROOT = re.compile(r"^(?:.*/)?(?:src/(?:main|test)/java|src/java|java/src
 _PACKAGE = re.compile(r"(?m)^[\s\ufeff]*package\s+([\w.]+)\s*;")
 
 
-_INDENT = [" " * (4 * n) for n in range(32)]
-
-
 class Layout(NamedTuple):
     """A text in canonical layout, and what the original shows against it."""
 
-    lines: list[str]
+    lines: list[tuple[int, str]]  # (level, statement)
     expansion: float = 0.0
     tightness: float = 0.0
     regularity: float = 0.0
@@ -150,6 +147,11 @@ class Layout(NamedTuple):
     single: float = 0.0
 
 
+def emitted(y: Layout) -> str:
+    """The text in canonical layout."""
+    return "".join(f"{'    ' * level}{statement}\n" for level, statement in y.lines)
+
+
 def layout(ext: str, text: str) -> Layout:
     """``text`` emitted in canonical layout (comments dropped, each string as ``"``), with the measures of the original."""
     text = text.replace("\r\n", "\n")
@@ -175,7 +177,7 @@ def layout(ext: str, text: str) -> Layout:
         statements = _RULE.findall(code)  # a style sheet has a line for each rule, a program for each statement
     else:
         statements = _STATEMENT.findall(_FOR.sub(lambda m: m.group().replace(";", ","), code))
-    lines: list[str] = []
+    lines: list[tuple[int, str]] = []
     own: list[tuple[int, str]] = []  # (level, blanks before it) of each statement that starts a line of the original
     depth = 0
     broken = 0
@@ -198,7 +200,7 @@ def layout(ext: str, text: str) -> Layout:
             t = " ".join(t.split())
         elif "  " in t or "\t" in t:
             t = " ".join(t.split())
-        lines.append(_INDENT[depth] + t if depth < 32 else " " * (4 * depth) + t)
+        lines.append((depth, t))
         if t[-1] == "{" and ext not in ("py", "css"):
             depth += 1
         elif t[-1] == "}" and t != "}" and ext != "css":
@@ -216,7 +218,7 @@ def layout(ext: str, text: str) -> Layout:
     missing = sum(c is not None and c not in "})];," for c in set_blanks)
     return Layout(
         lines,
-        sum(x[-1] in ";{}" for x in lines) / physical,
+        sum(x[-1] in ";{}" for _, x in lines) / physical,
         missing / max(len(set_blanks), 1),
         1 - (_irregular(own) + (broken if ext != "css" else 0)) / max(len(own), 1),
         uniformity(lines),
@@ -235,14 +237,14 @@ def _irregular(own: list[tuple[int, str]]) -> int:
     return len(own) - sum(most.values())
 
 
-def uniformity(lines: list[str]) -> float:
+def uniformity(lines: list[tuple[int, str]]) -> float:
     """Share of canonical lines that carry on a numbered sequence.
 
     A name belongs to one when the numbers at its end first occur in order,
     without a gap, from 0 or 1 on.  A line also does when it differs from the
     one before only in its words and in an integer that is one higher.
     """
-    body = [t for x in lines if (t := x.strip()) not in "{}" and not _HEAD_LINE.match(t)]
+    body = [t for _, t in lines if t not in "{}" and not _HEAD_LINE.match(t)]
     if not body:
         return 0.0
     order: dict[str, list[int]] = {}

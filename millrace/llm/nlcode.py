@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import charmodel, masks, syntax
-from .sources import with_ext
+from .sources import with_ext, without_blocks
 
 EXTS = ("java", "py", "js")
 LATIN = ("en", "de", "fr", "es", "pt", "it", "nl", "pl")
@@ -74,7 +74,7 @@ _CJK = re.compile(r"[぀-ヿㇰ-ㇿｦ-ﾟ㐀-䶿一-鿿々豈-﫿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _PARAGRAPH = re.compile(r"</?(?:p|br|hr|li|ul|ol|dl|dt|dd|div|table|tr|td|th|h[1-6]|blockquote)\b[^<>]*>", re.I)
 _DROP = re.compile(
-    r"<(pre|code|script|style)\b[^>]*>.*?</\1\s*>|\{@\w+[^{}]*\}|</?[A-Za-z][^<>\n]*>|\b\w+://\S+|\S+@\S+\.\S+|(?<!\S)[\w.\-]*[/\\][\w./\\\-]+",
+    r"\{@\w+[^{}]*\}|</?[A-Za-z][^<>\n]*>|\b\w+://\S+|(?<![^\s<>()\"'])[^\s@<>()\"']++@[^\s.@]+\.\S+|(?<!\S)[\w.\-]*[/\\][\w./\\\-]+",
     re.S | re.I,
 )
 _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*[\w.$]+\s*\([^)]*\)\s*;?\s*$|^\s*(?:@\w+|:\w[^:\n]*:|>>>|\$)\s*|^\s*(?:import|package|from|return|throw)\s+[\w.]+\s*;")
@@ -172,6 +172,8 @@ def sentences(text: str) -> list[str]:
     """Sentences and clauses of a cleaned text that could be natural language."""
     if "<" in text or "{@" in text or "/" in text or "@" in text or "\\" in text:
         if "<" in text:
+            if "</" in text:
+                text = without_blocks(text, ("pre", "code", "script", "style"))
             text = _PARAGRAPH.sub("\n\n", text)
         text = _DROP.sub(" ", text)
     if len(text) < 8:

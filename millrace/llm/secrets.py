@@ -237,13 +237,13 @@ _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"[\s\"'+#*/;\\nr,>|-]*[A-Za-z0-9+/=]{16,}")
 _URL_LOGIN = re.compile(r"://[^\s:/@\"'<>]*:")
 _URL_LOGIN_END = re.compile(r"[\s@\"'<>]")
-_NAMED = re.compile(r"([\w.$\-]+)[\"'\]]*\s*(?:\)\s*)?(?:=>|:=|===?|!==?|[:=(,])\s*[urbfURBF]?\Z")
+_NAMED = re.compile(r"(?<![\w.$\-])([\w.$\-]++)[\"'\]]*\s*(?:\)\s*)?(?:=>|:=|===?|!==?|[:=(,])\s*[urbfURBF]?\Z")
 _ATTRIBUTE = re.compile(r"(?:name|key|id|property)\s*=\s*([\"'])([\w.\-]+)\1[^<>]*?\b(?:value|select|content|default)\s*=\s*\Z")
-_TERNARY = re.compile(r"([\w.$]+)\s*=\s*[^;={}]*\?[^;{}]*:\s*\Z")
+_TERNARY = re.compile(r"(?<![\w.$])([\w.$]++)\s*=\s*[^;={}]*\?[^;{}]*:\s*\Z")
 _CONNECT = re.compile(r"\b(?:getConnection|connect|login|authenticate)\s*\(\s*[^;()]*,\s*\Z")
 _PAIR = re.compile(r"[\"'][^\"'\s@]+@[^\"'\s@]+\.[^\"'\s@]+[\"']\s*,\s*\Z")
 _AFTER_EQUALS = re.compile(r"\s*\.equals(?:IgnoreCase)?\s*\(\s*([\w.]+)|\s*[!=]==?\s*([\w.]+)")
-_BEFORE_EQUALS = re.compile(r"([\w]+)\s*(?:\(\s*\))?\s*\.\s*equals(?:IgnoreCase)?\s*\(\s*\Z")
+_BEFORE_EQUALS = re.compile(r"(?<!\w)(\w++)\s*(?:\(\s*\))?\s*\.\s*equals(?:IgnoreCase)?\s*\(\s*\Z")
 _DECODE = re.compile(r"(?:[dD]ecode(?:Base64|String|Buffer)?|atob|b64decode|from_base64)\s*\(\s*[urbf]?\Z")
 _SHELL_P = re.compile(r"(?:(?:^|\s)(?:-p|--password[= ]|-u\s*[\w.\-]+:)|\b(?i:identified\s+by|password)\s+)\Z")
 _SHELL = re.compile(r"(?<!\S)(?:-u[ \t]*[\w.\-]+:|--(?:[\w\-]*password|passwd|token|api-key|secret)[= ])([^\s\"'<>|;&]+)")

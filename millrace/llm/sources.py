@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,6 +43,19 @@ def with_ext(files: DataFrame, exts: tuple[str, ...], content: str = "content")
     return spread(rows, "file_id")
 
 
+def without_blocks(text: str, names: tuple[str, ...]) -> str:
+    """``text`` with a blank for each marked-up block ``<name ...> ... </name>``.
+
+    Only what stands before the last closing tag is searched, so openings that
+    are never closed cost nothing.
+    """
+    for name in names:
+        closing = [m.end() for m in re.finditer(rf"(?i)</{name}\s*>", text)]
+        if closing:
+            text = re.sub(rf"(?is)<{name}\b[^<>]*>.*?</{name}\s*>", " ", text[: closing[-1]]) + text[closing[-1] :]
+    return text
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` where ``fn`` takes and returns a dict of column lists (one Arrow batch at a time)."""
     from pyspark.sql.pandas.types import to_arrow_schema

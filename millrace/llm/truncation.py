@@ -41,14 +41,14 @@ MIN_EXCESS = 0.7
 
 COMPLETE, WEAK, STRONG = 0, 1, 2
 
-_TERMINAL = re.compile(r"[.!?。！？．؟:]+[\"'»”’)\]}>`*_~」』）]*$")
+_TERMINAL = re.compile(r"(?<![.!?。！？．؟:])[.!?。！？．؟:]++[\"'»”’)\]}>`*_~」』）]*+$")
 _MARK = re.compile(
-    r"\s*(?:\[\s*(?:…|\.{2,}|truncated|cut(?:\s+off)?|snip(?:ped)?|more|continued)\s*(?:…|\.{3})?\s*\]?|\((?:…|\.{3}|truncated|continued|cut\s+off)\)"
-    r"|<(?:truncated|snip|cut|more)[^<>]*>|…|\.{3,}|(?:\.{3}\s*)?(?:read|show|see)\s+more)\s*$",
+    r"(?:\[\s*(?:…|\.{2,}|truncated|cut(?:\s+off)?|snip(?:ped)?|more|continued)\s*(?:…|\.{3})?\s*\]?|\((?:…|\.{3}|truncated|continued|cut\s+off)\)"
+    r"|<(?:truncated|snip|cut|more)[^<>]*>|…|(?<!\.)\.{3,}|(?:\.{3}\s*)?\b(?:read|show|see)\s+more)$",
     re.I,
 )
 #: a remark an author may append: a mark inside a complete text
-_REMARK = re.compile(r"\s*\([^()\n]{1,60}\.{2,}\s*\)$")
+_REMARK = re.compile(r"\([^()\n]{1,60}\.{2,}\s*\)$")
 _CLOSING = re.compile(
     r"(?i)^(?:(?:best|kind|warm|many)?\s*(?:regards|wishes|greetings)|cheers|thanks(?: in advance)?|thank you|sincerely|yours(?: \w+)?|viele grüße|gruß|grüße|mit freundlichen grüßen"
     r"|mfg|cordialement|bien à vous|amicalement|saludos(?: cordiales)?|un saludo|atentamente|atenciosamente|abraços|saluti|cordiali saluti|groeten|groetjes|met vriendelijke groet(?:en)?"

@@ -64,6 +64,27 @@ def test_deep_and_long_texts():
     assert not syntax.broken("js", "var a = " + "1 + " * 20_000 + "2;" + "f(a);" * 20_000)
 
 
+@pytest.mark.parametrize("unit", ["a1b", "a.", "a-", "1.", "{", "[", '"a"+', "\n", "\t ", ":", "...", "a@", "://a:b@", "</", "<pre>", "@a ", "for(", "password=", "(...)", "key: ", "/** x ", "x=$y;", "f0 ", "\r"])
+def test_long_runs_take_linear_time(unit):
+    """A minute would not do for any of these if a pattern went back over the whole run from each of its places."""
+    import time
+
+    for tail in ("", ' "x1y2z3q4w5"'):
+        text = unit * (100_000 // len(unit)) + tail
+        start = time.time()
+        secrets.find(text, "properties")
+        handwritten.judge("java", "A.java", "class A{" + text)
+        handwritten.judge("py", "a.py", "a = 1\n" + text)
+        for ext in ("java", "js", "py"):
+            docpairs.lex_functions(ext, text, True)
+        docpairs.description(text)
+        docpairs.description(text, True)
+        truncation.ending(text, "page")
+        truncation.ending(text, "code")
+        nlcode.sentences(text)
+        assert time.time() - start < 20, unit
+
+
 def test_broken_files_edges(spark):
     df = files(spark, ("a.java", None), ("b.java", ""), ("c.json", ""), ("d.java", "class D {"), ("e.txt", "{{{"), (None, "class {"), ("F.JAVA", "class"), ("g.java", JAVA))
     df = df.unionByName(df)
@@ -455,7 +476,7 @@ def test_layout_and_notices(ext, path, text, want):
 
 def test_canonical_layout():
     y = handwritten.layout("java", "class A{int a;/* c */ void f(){for(int i=0;i<3;i++){g( \"x;\" );}}\n}")
-    assert y.lines == ["class A{", "    int a;", "    void f(){", "        for(int i=0,i<3,i++){", '            g( " );', "        }", "    }", "}"]
+    assert handwritten.emitted(y).splitlines() == ["class A{", "    int a;", "    void f(){", "        for(int i=0,i<3,i++){", '            g( " );', "        }", "    }", "}"]
     assert handwritten.layout("java", "") == handwritten.Layout([])
 
 
