@@ -130,10 +130,14 @@ _PLACES = frozenset(
     "third_party third-party thirdparty node_modules bower_components vendor vendors vendored external externals ext extern deps contrib-ext jspm_packages".split()
 )
 _TOOL_PLACE = re.compile(r"(?:^|/)(?:generated-sources|generated-src|generated|target/generated[\w-]*)/")
-_SOURCE_ROOT = re.compile(r"^(?:.*/)?(?:src/(?:main|test)/java|src/java|java/src|[\w-]*tests?|src)/")
+_SOURCE_ROOT = re.compile(r"^(?:(?:.*/)?(?:src/(?:main|test)/java|src/java|java/src|src)|[\w-]+-tests?)/")
 _PACKAGE = re.compile(r"(?m)^[\s\ufeff]*package\s+([\w.]+)\s*;")
 
 
+#: an unresolved merge: the first side is kept, the marks and the other sides say nothing about who wrote the file
+_CONFLICT = re.compile(r"^<{7}.*\n((?:(?![|=>]{7}).*\n)*+)(?:\|{7}.*\n(?:(?!={7}).*\n)*+)?(?:={7}.*\n(?:(?!>{7}).*\n)*+)?(?:>{7}.*(?:\n|\Z))?", re.M)
+
+
 class Layout(NamedTuple):
     """A text in canonical layout, and what the original shows against it."""
 
@@ -155,6 +159,8 @@ def emitted(y: Layout) -> str:
 def layout(ext: str, text: str) -> Layout:
     """``text`` emitted in canonical layout (comments dropped, each string as ``"``), with the measures of the original."""
     text = text.replace("\r\n", "\n")
+    if "\n<<<<<<<" in text:
+        text = _CONFLICT.sub(r"\1", text)
     literal = longest = strings = comment = comment_lines = 0
 
     def bare(m: re.Match) -> str:

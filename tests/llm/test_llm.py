@@ -465,6 +465,7 @@ LICENCE = "/*\n" + " * The licence grants a right to use the files of this proje
         ("js", "a.js", "var a=1;b(a);c(a,b);d(c);", ["minified"]),
         ("js", "a.js", "var a = 1; b(a); c(a, b); d(c);\n", []),
         ("java", "A.java", "class A {\n" + "".join(f"  int f{i};\n  int getF{i}() {{ return f{i}; }}\n" for i in range(6)) + "}\n", ["uniform"]),
+        ("java", "A.java", "class A {\n" + "".join(f"  int f{i};\n  int getF{i}() {{ return f{i}; }}\n" for i in range(3)) + "<<<<<<< HEAD\n  int f3;\n=======\n  int f907;\n>>>>>>> trunk\n  int f4;\n}\n", ["uniform"]),
         ("py", "a.py", "import b\n" + "".join(f"ROW_{i} = make({i}, kind={i % 3})\n" for i in range(9)), ["uniform"]),
         ("java", "A.java", "class A {\n" + "".join(f"  static final int T_{x} = {i};\n" for i, x in enumerate("ABCDEFG")) + "}\n", ["uniform"]),
         ("java", "A.java", "class A {\n  int x1 = 4;\n    int other = y();\n  void test3() { run(x1); }\n  void go() { stop(); }\n}\n", []),
@@ -480,6 +481,12 @@ def test_canonical_layout():
     assert handwritten.layout("java", "") == handwritten.Layout([])
 
 
+def test_packages_of_files_without_a_declaration(spark):
+    rows = [("src/test/java/A.java", "class A {\n}\n"), ("src/test/java/my/own/B.java", "class B {\n}\n"), ("unit-tests/org/x/C.java", "class C {\n}\n"), ("src/test/java/org/x/D.java", "class D {\n}\n"), ("a/src/my/own/E.java", "class E {\n}\n")]
+    repos = spark.createDataFrame([(1, "my.own")], "repo_id bigint, root_package string")
+    assert ids(handwritten.files_not_by_hand(files(spark, *rows), repos)) == [3, 4]
+
+
 def test_stages(spark):
     df = files(spark, ("a.js", "var a=1;b(a);c(a,b);d(c);"), ("b.java", "// do not edit this file\nclass B {\n  int f;\n}\n"), ("c.java", None))
     repos = spark.createDataFrame([(1, "my.own")], "repo_id bigint, root_package string")
