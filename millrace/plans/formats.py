@@ -78,10 +78,16 @@ def _(t):
 @query("io_fixed_records", "SELECT c_custkey, substr(c_name, 1, 30) AS c_name FROM customer")
 def _(t):
     path = _folder(t, "fixed")
-    # the line break is the last byte of a record of 41 bytes
-    t.customer.select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 10, "0"), F.rpad("c_name", 30, " ")).alias("value")).write.text(path)
-    record = F.decode("record", "UTF-8")
-    return R.fixed_records(t.spark, f"{path}/*.txt", 41).select(F.substring(record, 1, 10).cast("bigint").alias("c_custkey"), F.trim(F.substring(record, 11, 30)).alias("c_name"))
+    # a record of 144 bytes: key (20), bytes of the name (3, -1 for none), 30 characters of UTF-8 (120), the line break
+    name = F.substring("c_name", 1, 30)
+    size = F.octet_length(name)
+    key = F.lpad(F.coalesce(F.col("c_custkey").cast("string"), F.lit("")), 20, " ")
+    used = F.coalesce(size, F.lit(0))
+    value = F.concat(key, F.lpad(F.coalesce(size, F.lit(-1)).cast("string"), 3, " "), F.coalesce(name, F.lit("")), F.repeat(F.lit(" "), 120 - used))
+    t.customer.select(value.alias("value")).write.text(path)
+    field = lambda at, n: F.decode(F.substr("record", F.lit(at), n), "UTF-8")
+    size = F.trim(field(21, F.lit(3))).cast("int")
+    return R.fixed_records(t.spark, f"{path}/*.txt", 144).select(F.trim(field(1, F.lit(20))).try_cast("bigint").alias("c_custkey"), F.when(size >= 0, field(24, size)).alias("c_name"))
 
 
 @query("io_shards", "SELECT o_orderkey, 's' || (o_custkey % 3) AS shard FROM orders")

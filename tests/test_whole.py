@@ -1,11 +1,13 @@
 """Whole inputs: results that a cut of the rows, of the ids or of the rounds would change."""
 
+import time
 from itertools import product
 from pathlib import Path
 
 import pyarrow.parquet as pq
 
 from millrace.plans.catalog import QUERIES
+from millrace.sources import readers
 
 
 def holds(sequence, pattern):
@@ -28,3 +30,20 @@ def test_itemsets_are_over_the_suppliers(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey bigint, l_suppkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {tuple(r["items"]): r["freq"] for r in QUERIES["fpgrowth"](spark, str(tmp_path)).collect()}
     assert got == {("s25",): 10, ("s45",): 5, ("s5",): 5, ("s25", "s45"): 5, ("s25", "s5"): 5}
+
+
+def test_fixed_records_take_linear_time(spark, tmp_path):
+    content = b"".join(b"%09d\n" % i for i in range(800_000)) + b"rest"
+    (tmp_path / "a.bin").write_bytes(content)
+    (tmp_path / "b.bin").write_bytes(b"")
+    began = time.time()
+    got = readers.fixed_records(spark, str(tmp_path / "*.bin"), 10).select("n", "record").toPandas()
+    assert time.time() - began < 30  # a copy of the file for each record is 6.4 TB
+    assert list(got["n"]) == list(range(800_001)) and b"".join(map(bytes, got["record"])) == content
+
+
+def test_fixed_records_hold_any_key_and_name(spark, tmp_path):
+    rows = [(1, None), (None, "a"), (-5, ""), (12345678901, "  b  "), (-(2**63), "é" * 31), (2**63 - 1, "\U0001f600" * 31), (7, "c\nd\n"), (8, "x" * 41)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = QUERIES["io_fixed_records"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(k, v and v[:30]) for k, v in rows} and len(got) == len(rows)
