@@ -26,6 +26,11 @@ def build_session(app: str = "millrace", cpus: int | str = "*", partitions: int
     )
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether the executors run in the driver's JVM."""
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -36,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not named and not re.match(r"local(\[|$)", context.master):
+        if not named and not one_process(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-ckpt-"))
     return context._jsc.sc().getCheckpointDir().get()

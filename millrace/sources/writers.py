@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import shutil
+import zipfile
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,3 +109,50 @@ def write_arff(df: DataFrame, path: str, relation: str, order: str, nominal: Seq
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 10_000, **options) -> None:
     df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).mode(mode).save()
+
+
+def derby_archive(df: DataFrame, folder: str, table: str) -> str:
+    """Save ``df`` as a table of a Derby database that every process can read; its URL.
+
+    Only one process can have an embedded database open, so executors with JVMs
+    of their own can not insert into one.  They write delimited files into the
+    shared ``folder``, the database imports them on the driver and is packed
+    into a jar, which Derby opens for reading in any number of processes.
+    """
+    from py4j.protocol import Py4JJavaError
+
+    path = re.sub(r"^file:(//)?(?=/)", "", folder)
+    if not path.startswith("/"):
+        raise ValueError(f"Derby reads and writes local and mounted folders only: {folder}")
+    spark, db = df.sparkSession, f"{path}/db"
+    values = []
+    for f in df.schema.fields:
+        if not isinstance(f.dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            raise ValueError(f"no import of {f.dataType.simpleString()}: {f.name}")
+        text = F.col(f.name).cast("string")
+        if isinstance(f.dataType, T.StringType):
+            text = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        values.append(F.coalesce(text, F.lit("")))  # an empty field without quotes is NULL
+    df.select(F.concat_ws(",", *values).alias("value")).write.text(f"{folder}/rows")
+    write_jdbc(spark.createDataFrame([], df.schema).limit(0), f"jdbc:derby:{db};create=true", table)  # no task: the driver creates the table
+
+    connect = spark._jvm.java.sql.DriverManager.getConnection
+    con = connect(f"jdbc:derby:{db}")
+    load = con.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+    for part in sorted(Path(path, "rows").glob("part-*")):
+        if part.stat().st_size:
+            load.setString(1, table.upper())
+            load.setString(2, str(part))
+            load.execute()
+    con.close()
+    try:
+        connect(f"jdbc:derby:{db};shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # what a shutdown that went well says
+            raise
+    with zipfile.ZipFile(f"{path}/db.jar", "w") as jar:  # stored, so that a page is reached without unpacking those before it
+        for f in sorted(Path(db).rglob("*")):
+            jar.write(f, f.relative_to(path))
+    shutil.rmtree(db)
+    shutil.rmtree(f"{path}/rows")
+    return f"jdbc:derby:jar:({path}/db.jar)db"

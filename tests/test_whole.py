@@ -1,13 +1,19 @@
 """Whole inputs: results that a cut of the rows, of the ids or of the rounds would change."""
 
+import ast
+import os
+import subprocess
+import sys
 import time
 from itertools import product
 from pathlib import Path
 
 import pyarrow.parquet as pq
+import pyspark
 
 from millrace.plans.catalog import QUERIES
 from millrace.sources import readers
+from millrace.sources import writers as W
 
 
 def holds(sequence, pattern):
@@ -47,3 +53,42 @@ def test_fixed_records_hold_any_key_and_name(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey bigint, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
     got = QUERIES["io_fixed_records"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {(k, v and v[:30]) for k, v in rows} and len(got) == len(rows)
+
+
+ODD = [(1, None, 1.5), (None, "a", 2.0), (-5, "", None), (2**63 - 1, "  b  ", -3.0), (-(2**63), "é,\U0001f600", 0.1), (7, 'c"\n\r\nd\n', 1e300), (8, "\\", 0.0), (9, '"', 5.0)]
+
+
+def test_derby_archive_keeps_values(spark, tmp_path):
+    df = spark.createDataFrame(ODD, "k bigint, name string, v double").repartition(3)
+    url = W.derby_archive(df, f"file:{tmp_path}", "odd")
+    got = readers.jdbc(spark, url, 'SELECT "k", "name", "v" FROM odd').collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, ODD))
+    assert [p.name for p in tmp_path.iterdir()] == ["db.jar"]
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from millrace.plans.catalog import QUERIES
+folder = sys.argv[1]
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": f"file://{folder}/shared", "spark.local.dir": f"{folder}/local"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+print("ROWS", [tuple(r) for r in QUERIES["io_jdbc"](spark, folder).collect()], flush=True)
+spark.stop()
+"""
+
+
+def test_jdbc_with_executors_of_their_own(spark, tmp_path):
+    spark.createDataFrame(ODD, "c_custkey bigint, c_name string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # the executors log to Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    root = str(Path(__file__).resolve().parent.parent)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))}
+    env |= {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    got = [x for x in run.stdout.splitlines() if x.startswith("ROWS ")]
+    assert got, run.stderr[-2000:]
+    assert sorted(map(repr, ast.literal_eval(got[0][5:]))) == sorted(repr(r) for r in ODD if (r[2] or 0) > 0)
